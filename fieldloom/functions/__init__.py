@@ -1,0 +1 @@
+"""fieldloom.functions"""
