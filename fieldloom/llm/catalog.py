@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing
+from fieldloom.llm import mixing, quality
 
-QUERIES = {"op4_mixing": mixing.op4_mixing}
-ORACLE = {"op4_mixing": mixing.OP4_SQL}
+QUERIES = {"op4_mixing": mixing.op4_mixing, "op5_quality_rules": quality.op5_quality_rules}
+ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL}
