@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing, quality
+from fieldloom.llm import mixing, quality, tokenstore
 
-QUERIES = {"op4_mixing": mixing.op4_mixing, "op5_quality_rules": quality.op5_quality_rules}
+QUERIES = {
+    "op2_token_store": tokenstore.op2_token_store,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_quality_rules": quality.op5_quality_rules,
+}
 ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL}
