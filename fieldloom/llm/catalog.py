@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import mixing, packing, quality, tokencounts, tokenstore
+from fieldloom.llm import convnet, mixing, packing, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_store": tokenstore.op2_token_store,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op7_quality_classifier": convnet.op7_quality_classifier,
     "op9_token_counts": tokencounts.op9_token_counts,
 }
 ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL}
