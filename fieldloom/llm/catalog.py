@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import convnet, mixing, packing, quality, tokencounts, tokenstore
+from fieldloom.llm import contexttree, convnet, mixing, packing, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_token_store": tokenstore.op2_token_store,
+    "op3_lm_scoring": contexttree.op3_lm_scoring,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_quality_classifier": convnet.op7_quality_classifier,
