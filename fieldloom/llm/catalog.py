@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contexttree, convnet, mixing, packing, quality, tokencounts, tokenstore
+from fieldloom.llm import contexttree, convnet, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,5 +12,6 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op7_quality_classifier": convnet.op7_quality_classifier,
     "op9_token_counts": tokencounts.op9_token_counts,
+    "op10_ngram_jaccard_join": jaccardjoin.op10_ngram_jaccard_join,
 }
 ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL}
