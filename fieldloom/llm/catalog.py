@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contexttree, convnet, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
+from fieldloom.llm import contexttree, convnet, fingerprints, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scoring": contexttree.op3_lm_scoring,
     "op4_mixing": mixing.op4_mixing,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality_classifier": convnet.op7_quality_classifier,
     "op9_token_counts": tokencounts.op9_token_counts,
     "op10_ngram_jaccard_join": jaccardjoin.op10_ngram_jaccard_join,
