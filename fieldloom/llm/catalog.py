@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contexttree, convnet, fingerprints, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
+from fieldloom.llm import chaining, contexttree, convnet, fingerprints, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality_classifier": convnet.op7_quality_classifier,
+    "op8_substring_dedup": chaining.op8_substring_dedup,
     "op9_token_counts": tokencounts.op9_token_counts,
     "op10_ngram_jaccard_join": jaccardjoin.op10_ngram_jaccard_join,
 }
