@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from fieldloom.llm.common import documents, fold, labels, text_of
 
@@ -155,21 +156,24 @@ def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE) -> Net | floa
     return trained([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, c in got], good)
 
 
-def scored(docs: DataFrame, net: Net | float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and `score` (0 to 1) of every document."""
-    rows = docs.select(*keep, text_of().alias("_cnn_text"))
+def with_score(docs: DataFrame, net: Net | float, name: str = "score") -> DataFrame:
+    """docs with the probability (0 to 1) of every whole text in the column `name`."""
     if not isinstance(net, Net):
-        return rows.select(*keep, F.lit(net).alias("score"))
-    from pyspark.sql.pandas.functions import pandas_udf
+        return docs.withColumn(name, F.lit(float(net)))
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(net.score([t.encode() for t in texts]))
 
-    return rows.select(*keep, score("_cnn_text").alias("score"))
+    return docs.withColumn(name, score(text_of()))
+
+
+def accepted(docs: DataFrame, quality: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject."""
+    return with_score(docs, fit(docs, quality), "_cnn_score").filter(F.col("_cnn_score") >= cutoff).select(*docs.columns)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    out = scored(docs, fit(docs, labels(spark, sf_dir)))
+    out = with_score(docs.select("doc_id", "text"), fit(docs, labels(spark, sf_dir)))
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))

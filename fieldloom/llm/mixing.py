@@ -30,6 +30,8 @@ MAX_EPOCHS = 3
 RANGE_ROWS = 20_000
 #: The key is a 60-bit number: the first fifteen hexadecimal digits of the id's MD5.
 KEY_BITS = 60
+#: A table of sources up to this many rows is broadcast; a larger one is joined by shuffle.
+MOST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -93,31 +95,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_start") - F.col("inner_start"))).cast("long")
     placed = placed.withColumn("epochs", epochs).withColumn("cut", cut)
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "key", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"), "epochs", "cut",
     )
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself with the columns of docs: a row per whole take, and one with the first `cut` words for a partial take."""
-    taken = mix(docs, **options).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-        F.col("epochs").alias("_mix_epochs"), F.col("cut").alias("_mix_cut"),
-    ).dropDuplicates(["_mix_id", "_mix_source", "_mix_size"])
-    sized = docs.withColumn("_mix_own", word_count(text_of()))
-    joined = sized.join(
-        taken,
-        sized["doc_id"].eqNullSafe(taken["_mix_id"]) & sized["source"].eqNullSafe(taken["_mix_source"]) & (sized["_mix_own"] == taken["_mix_size"]),
-    )
-    whole = F.col("_mix_epochs") + (F.col("_mix_cut") == F.col("_mix_size")).cast("long")
-    partial = (F.col("_mix_cut") > 0) & (F.col("_mix_cut") < F.col("_mix_size"))
-    takes = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(partial, F.array("_mix_cut")).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("_mix_take", F.explode(F.when(F.col("_mix_size") > 0, takes)))
-    head = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("_mix_take") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), 0)
-    cut_text = F.when(F.col("_mix_take") > 0, head).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut_text)
+    """The mix itself with the columns of docs: a row per whole take, and one with the first `cut` words for a partial take.
+
+    A source's cut is one place in the order of its keys, so the texts needn't move: each row is held against
+    its source's cut. Rows that equal the document on the cut in id and size are all taken as that one is.
+    """
+    taken = mix(docs, **options)
+    last = F.max(F.when(F.col("cut") > 0, F.struct("key", "size", "cut")))
+    cuts = stored(taken.groupBy(F.col("source").alias("_mix_source")).agg(F.max("epochs").alias("_mix_epochs"), last.alias("_mix_last")))
+    small = cuts.count() <= MOST_SOURCES
+    rows = docs.withColumn("_mix_size", word_count(text_of())).withColumn("_mix_key", hash_key())
+    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("_mix_source")))
+    own, at = F.struct(F.col("_mix_key").alias("key"), F.col("_mix_size").alias("size")), F.struct(F.col("_mix_last.key").alias("key"), F.col("_mix_last.size").alias("size"))
+    on_cut = F.coalesce(own == at, F.lit(False))
+    inside = F.coalesce(own < at, F.lit(False)) | on_cut & (F.col("_mix_last.cut") == F.col("_mix_size"))
+    none = F.array().cast("array<bigint>")
+    whole = F.array_repeat(F.lit(0).cast("long"), (F.col("_mix_epochs") + inside.cast("long")).cast("int"))
+    takes = F.concat(whole, F.when(on_cut & ~inside, F.array("_mix_last.cut")).otherwise(none))
+    rows = rows.withColumn("_mix_take", F.explode(F.when(F.col("_mix_size") > 0, takes)))
+    # each piece is a word with the white space before it, so the first pieces are the text up to a word's end
+    pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    head = F.array_join(F.slice(pieces, 1, F.col("_mix_take").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("_mix_take") > 0, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col("_mix_take") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 
