@@ -1 +1,7 @@
-"""fieldloom.functions"""
+"""Column functions of the raster engine."""
+
+from fieldloom.operators.clustering import squared_distance
+from fieldloom.operators.sidewise import side_name
+from fieldloom.sources.raster import hash_order, notebook_ndre, pixel_size, ratio_index, valid_elevation
+
+__all__ = ["hash_order", "notebook_ndre", "pixel_size", "ratio_index", "side_name", "squared_distance", "valid_elevation"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import morphology, zones
+from fieldloom.session import stored
 
 #: Runs of this many pixels or fewer are dropped.
 MIN_RUN = 3
@@ -67,7 +68,7 @@ def corridor(zone_map: DataFrame, target: DataFrame, reach: int = 8) -> DataFram
 def swaths(zone_map: DataFrame, rule: str = "water", target: DataFrame | None = None, spacing: int = 4, reach: int = 8, least: int = 3) -> DataFrame:
     """Sweeps of the corridor; with fewer than `least` of them, of the target itself."""
     wanted = target if target is not None else zones.target(zone_map, rule)
-    found = sweep(corridor(zone_map, wanted, reach), spacing)
+    found = stored(sweep(corridor(zone_map, wanted, reach), spacing))
     return found if len(found.take(least)) >= least else sweep(wanted, spacing)
 
 
@@ -149,7 +150,7 @@ def connected(chain: DataFrame, cost: DataFrame, margin: int = 45, diagonal: flo
     reach = F.greatest(F.lit(margin), F.ceil(0.35 * F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).cast("int")
     rows = legs.withColumn("reach", reach).select("mission", "seq", "ax", "ay", "bx", "by", "reach", F.explode(F.sequence((F.least("ay", "by") - F.col("reach")).cast("int"), (F.greatest("ay", "by") + F.col("reach")).cast("int"))).alias("w_row"))
     inside = (F.col("w_row") == F.col("row")) & (F.col("col") >= F.least("ax", "bx") - F.col("reach")) & (F.col("col") <= F.greatest("ax", "bx") + F.col("reach"))
-    cells = rows.join(cost, inside).select("mission", "seq", "row", "col", "cost")
+    cells = rows.join(cost, inside).select(F.col("mission").alias("c_mission"), F.col("seq").alias("c_seq"), "row", "col", "cost")
 
     def run(key: tuple, leg: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in HOPS.split(", ")]
@@ -161,7 +162,7 @@ def connected(chain: DataFrame, cost: DataFrame, margin: int = 45, diagonal: flo
         points = path if path and len(path) > 1 else [(a.ay, a.ax), (b.by, b.bx)]
         return pd.DataFrame([(key[0], key[1], i, float(p[1]), float(p[0]), float(q[1]), float(q[0]), path is not None) for i, (p, q) in enumerate(zip(points, points[1:], strict=False))], columns=names)
 
-    return legs.groupBy("mission", "seq").cogroup(cells.groupBy("mission", "seq")).applyInPandas(run, HOPS)
+    return legs.groupBy("mission", "seq").cogroup(cells.groupBy("c_mission", "c_seq")).applyInPandas(run, HOPS)
 
 
 def straight(chain: DataFrame) -> DataFrame:

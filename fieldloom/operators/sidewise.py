@@ -125,7 +125,7 @@ def corridor_grid(region: DataFrame, risk: DataFrame | None = None) -> DataFrame
     if risk is None:
         return region.select("row", "col").distinct().withColumn("cost", F.lit(1.0))
     met = region.select("row", "col").distinct().join(risk, ["row", "col"], "left")
-    return met.select("row", "col", (1 + 5 * F.coalesce(F.least(F.greatest("risk", F.lit(0.0)), F.lit(1.0)), F.lit(1.0))).alias("cost"))
+    return met.select("row", "col", (1 + 5 * F.least(F.greatest(F.coalesce("risk", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))).alias("cost"))
 
 
 def nearest_free(points: DataFrame, free: DataFrame, most: int = 8) -> DataFrame:

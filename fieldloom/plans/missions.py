@@ -62,7 +62,10 @@ def corridor_mask(spark, sf_dir):
     return P.corridor(z, Z.target(z, "water"), 8)
 
 
-@query('SELECT min(col) AS x1, "row" AS y1, max(col) AS x2, "row" AS y2 FROM (SELECT "row", col, col - row_number() OVER (PARTITION BY "row" ORDER BY col) k FROM cr WHERE "row" % 4 = 0) GROUP BY "row", k HAVING count(*) > 3', _CORRIDOR, True)
+_RUNS = "SELECT min(col) AS x1, \"row\" AS y1, max(col) AS x2, \"row\" AS y2 FROM (SELECT \"row\", col, col - row_number() OVER (PARTITION BY \"row\" ORDER BY col) k FROM {} WHERE \"row\" % 4 = 0{}) GROUP BY \"row\", k HAVING count(*) > 3"
+
+
+@query("SELECT * FROM ca WHERE (SELECT count(*) FROM ca) >= 3 UNION ALL SELECT * FROM ta WHERE (SELECT count(*) FROM ca) < 3", f"{_CORRIDOR}, ca AS ({_RUNS.format('cr', '')}), ta AS ({_RUNS.format('z', ' AND zone > 0')})", True)
 def zone_swaths(spark, sf_dir):
     return P.swaths(zoned(spark, sf_dir), "water")
 

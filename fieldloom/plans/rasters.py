@@ -149,7 +149,7 @@ def dem_alignment(spark, sf_dir):
     return rounded(R.align_bilinear(px, px, 0.5, 0.5), "elev", places=4)
 
 
-@query("""SELECT "row", col, round(coalesce(least(greatest(m, 0), 1), 1), 9) AS risk FROM (SELECT DISTINCT CAST("row" // 2 AS INT) "row", CAST(col // 2 AS INT) col FROM f) c
+@query("""SELECT "row", col, round(least(greatest(coalesce(m, 1), 0), 1), 9) AS risk FROM (SELECT DISTINCT CAST("row" // 2 AS INT) "row", CAST(col // 2 AS INT) col FROM f) c
  LEFT JOIN (SELECT CAST("row" // 2 AS INT) "row", CAST(col // 2 AS INT) col, avg(ndvi * 1.3 - 0.2) m FROM f WHERE "row" % 5 <> 0 AND col > 3 GROUP BY 1, 2) p USING ("row", col)""")
 def risk_resample(spark, sf_dir):
     px = pixels(spark, sf_dir)

@@ -150,7 +150,7 @@ def align_bilinear(source: DataFrame, target: DataFrame, scale_row: float, scale
 def resample_risk(cells: DataFrame, points: DataFrame, resolution: float = 0.5) -> DataFrame:
     """Mean risk of the points (x, y, risk) in each cell (row, col), clipped to [0, 1]; a cell without data has risk 1."""
     per = points.groupBy(F.floor(F.col("y") / resolution).cast("int").alias("row"), F.floor(F.col("x") / resolution).cast("int").alias("col")).agg(F.avg("risk").alias("risk"))
-    return cells.join(per, ["row", "col"], "left").withColumn("risk", F.coalesce(F.least(F.greatest("risk", F.lit(0.0)), F.lit(1.0)), F.lit(1.0)))
+    return cells.join(per, ["row", "col"], "left").withColumn("risk", F.least(F.greatest(F.coalesce("risk", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)))
 
 
 def valid_elevation() -> Column:

@@ -1 +1 @@
-"""fieldloom.streaming"""
+"""Kept for streams; the engine's inputs are bounded rasters and tables, so nothing here yet."""
