@@ -257,9 +257,13 @@ def _scored(depth: int, buckets: int):
     return run
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> DataFrame:
-    """Scores of every text by the mixture that the texts outside the held-out fold give. 2 <= depth <= 7."""
+def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """Scores of every text by the mixture that the texts outside the held-out fold give. 2 <= depth <= 7.
+
+    Without a number of buckets there is one for four blocks, at least BUCKETS, so that a bucket's share stays bounded.
+    """
     blocks = blocks_for(docs, block_bytes)
+    buckets = buckets or max(BUCKETS, blocks // 4)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), (fold("doc_id", FOLDS) == HELD).alias("held_out"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     rows = rows.repartition(max(blocks, 1), "block")  # one exchange of the texts, used for counting and for scoring
