@@ -16,6 +16,7 @@ their own, ordered by id, then by content; an empty table is an empty store; ext
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from fieldloom.llm.common import documents, text_of
 from fieldloom.llm.tokens import default_tokenizer, encoder
 from fieldloom.session import scratch, stored
 
-#: Chunks of MIN to MAX ids, cut where the rolling hash of the last WINDOW ids has its MASK bits zero.
+#: Chunks of MIN to MAX ids, cut where the rolling hash of the last WINDOW ids begins with the bits of MASK zero.
 MIN, MAX, WINDOW, MASK = 64, 2048, 8, 0xFF
 #: Rows of recipes a part holds about.
 PART_ROWS = 100_000
@@ -58,13 +59,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
+def gears() -> np.ndarray:
+    """The values of all 16-bit ids."""
+    return (mixed(np.arange(1 << 16)) >> np.uint64(32)).astype(np.uint32)
+
+
 def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     """For documents that begin at `starts` in ids (the last entry is the end): the ends of their chunks."""
-    gear = mixed(ids)
+    gear = gears()[ids] if ids.dtype == np.uint16 else (mixed(ids) >> np.uint64(32)).astype(np.uint32)
     roll = gear.copy()
     for k in range(1, WINDOW):
-        roll[k:] += gear[:-k] << np.uint64(k)
-    at = np.flatnonzero((roll >> np.uint64(40)) & np.uint64(MASK) == 0) + 1
+        roll[k:] += gear[:-k] << np.uint32(k)
+    at = np.flatnonzero(roll < np.uint32((1 << 32) // (MASK + 1))) + 1  # the highest bits of all WINDOW ids
     first = np.searchsorted(at, starts)
     out = []
     for d in range(len(starts) - 1):
