@@ -357,6 +357,29 @@ def test_substring_dedup(spark, docs, rows, empty):
     assert chaining.passages(empty).count() == 0 and chaining.without_repeats(empty).count() == 0
 
 
+def test_passages_tiled_by_shorter_shared_parts(spark):
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, passages = [], []
+    for p in range(12):  # a passage in two documents, its parts of under 50 words in 24 others
+        passage = text(60)
+        passages.append(passage)
+        docs = [text(20) + passage + text(20) for _ in range(2)]
+        docs += [text(20) + passage[a:b] + text(20) for a, b in ((0, 35), (25, 60), (0, 40), (20, 60), (0, 30), (30, 60)) for _ in range(4)]
+        rows += [(100 * p + i, " ".join(d)) for i, d in enumerate(docs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = chaining.passages(docs, block_bytes=20_000, buckets=3).collect()
+    words = {i: t.split(" ") for i, t in rows}
+    for p, passage in enumerate(passages):
+        pair = {100 * p, 100 * p + 1}
+        assert any({r.doc_id, r.ref_id} == pair and r.start_word <= 20 and r.end_word >= 80 for r in found)
+    for r in found:
+        a, b = words[r.doc_id][r.start_word : r.end_word], words[r.ref_id][r.ref_start : r.ref_end]
+        assert len(a) >= 50 and (r.equal_words < len(a) or a == b)
+    left = [" ".join(WORD.findall(r.text)) for r in chaining.without_repeats(docs, block_bytes=20_000, buckets=3).collect()]
+    assert all(sum(" ".join(p) in t for t in left) == 1 for p in passages)
+
+
 def test_chains_and_alignment():
     x = np.array([0, 5, 9, 20, 21, 400])
     y = np.array([100, 105, 3, 118, 119, 500])
