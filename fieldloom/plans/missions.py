@@ -176,8 +176,7 @@ def scanline_swaths(spark, sf_dir):
 
 def patch_route(spark, sf_dir):
     """Swaths of the side patches' rows in snake order with straight connectors; cells are a metre wide."""
-    cells = side_patches(spark, sf_dir).filter("patch_id <= 6")
-    r = M.runs(cells, "side_id", "patch_id").filter("c1 > c0")
+    r = M.runs(side_patches(spark, sf_dir), "side_id", "patch_id").filter("c1 > c0")
     keys = Window.partitionBy("side_id", "patch_id")
     s = r.select("side_id", "patch_id", F.col("row").alias("row_index"), (F.row_number().over(keys.orderBy("row", "c0")) - 1).alias("segment_id"),
                  (F.col("c0") + 0.5).alias("x1"), (F.col("row") + 0.5).alias("y1"), (F.col("c1") + 0.5).alias("x2"), (F.col("row") + 0.5).alias("y2"))
@@ -202,13 +201,14 @@ _ROUTE = _SIDE_PATCH + """, pp AS (SELECT pc.grp side_id, pn.patch_id, "row", co
 
 @query("SELECT side_id, CAST(patch_id AS INT) AS patch_id, CAST(o AS INT) AS mission_order, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2 FROM rt", _ROUTE, True)
 def snake_rows(spark, sf_dir):
-    return patch_route(spark, sf_dir)[0].select("side_id", "patch_id", "mission_order", "x1", "y1", "x2")
+    """The SQL asks for the six largest patches of each side; the routes and metrics below are of all patches."""
+    return patch_route(spark, sf_dir)[0].filter("patch_id <= 6").select("side_id", "patch_id", "mission_order", "x1", "y1", "x2")
 
 
 @query("""SELECT side_id, CAST(patch_id AS INT) AS patch_id, count(*) AS points, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y FROM (SELECT side_id, patch_id, x1 + i / n * (x2 - x1) x, y1 y FROM
  (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) i FROM (SELECT *, greatest(1, ceil(abs(x2 - x1) / 0.5)) n FROM rt))) GROUP BY 1, 2""", _ROUTE, True)
 def waypoint_totals(spark, sf_dir):
-    w = S.waypoints(patch_route(spark, sf_dir)[0], S.WAYPOINT_M, "side_id", "patch_id")
+    w = S.waypoints(patch_route(spark, sf_dir)[0].filter("patch_id <= 6"), S.WAYPOINT_M, "side_id", "patch_id")
     return rounded(w.groupBy("side_id", "patch_id").agg(F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")), "sum_x", "sum_y")
 
 
@@ -218,7 +218,7 @@ def waypoints_heading(spark, sf_dir):
 
 
 def _target(spark, sf_dir):
-    return stored(side_patches(spark, sf_dir).filter("patch_id <= 6").select("side_id", "patch_id", "row", "col"))
+    return stored(side_patches(spark, sf_dir).select("side_id", "patch_id", "row", "col"))
 
 
 @query()

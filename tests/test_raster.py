@@ -190,3 +190,14 @@ def test_decimation_drops_what_is_left_over(spark):
     px = grid(spark, [(r, c, float(r)) for r in range(5) for c in range(5)], ("row", "col", "nir"), ("int", "int", "double"))
     got = {(r["row"], r["col"]): r["nir"] for r in raster.decimate_average(px, 2, ("nir",)).collect()}
     assert got == {(0, 0): 0.5, (0, 1): 0.5, (1, 0): 2.5, (1, 1): 2.5}
+
+
+def test_routes_and_metrics_hold_all_patches(spark, monkeypatch):
+    from fieldloom.plans import missions as plans
+
+    cells = [(1, p, 3 * p + r, c) for p in range(1, 10) for r in range(2) for c in range(4)]
+    monkeypatch.setattr(plans, "side_patches", lambda *_: grid(spark, cells, ("side_id", "patch_id", "row", "col"), ("int",) * 4))
+    monkeypatch.setattr(plans, "zoned", lambda *_: grid(spark, [(r, c, 1) for _, _, r, c in cells], ("row", "col", "zone"), ("int",) * 3))
+    got = {r["patch_id"]: (r["swaths"], r["target_cells"], r["covered_cells"]) for r in plans.patch_metrics(spark, "").collect()}
+    assert got == {p: (2, 8, 8) for p in range(1, 10)}
+    assert plans.mission_metrics(spark, "").first()["target_cells"] == len(cells)
