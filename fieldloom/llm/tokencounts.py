@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, text_of
+from fieldloom.llm.common import bounded, documents, id_text, text_of
 from fieldloom.llm.tokens import default_tokenizer, encoder
 from fieldloom.session import stored
 
@@ -50,7 +50,7 @@ def _written(tokenizer: str, separator: int, block: int):
                     n = len(flat) // block
                     yield pd.DataFrame({"kind": "tokens", "file": file, "block": range(number, number + n), "data": [flat[i * block : (i + 1) * block].tobytes() for i in range(n)], "doc_id": None})
                     pending, held, number = [flat[n * block :]], len(flat) - n * block, number + n
-            yield pd.DataFrame({"kind": "order", "file": file, "block": np.arange(doc, doc + len(batch)), "data": None, "doc_id": batch["doc_id"].astype("Int64").astype(object).where(batch["doc_id"].notna(), None)})
+            yield pd.DataFrame({"kind": "order", "file": file, "block": np.arange(doc, doc + len(batch)), "data": None, "doc_id": batch["doc_id"]})
             doc += len(batch)
         if held:
             yield pd.DataFrame({"kind": "tokens", "file": file, "block": [number], "data": [np.concatenate(pending).tobytes()], "doc_id": None})
@@ -60,10 +60,11 @@ def _written(tokenizer: str, separator: int, block: int):
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, separator: int = SEPARATOR, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Token files of all texts, one for each partition of docs, and the order of the documents in them (file, place, doc_id)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    kinds = "kind string, file int, block long, data binary, doc_id long"
+    bounded(docs.sparkSession)
+    rows = docs.select(id_text(), text_of().alias("text"))
+    kinds = "kind string, file int, block long, data binary, doc_id string"
     both = stored(rows.mapInPandas(_written(tokenizer or default_tokenizer(), separator, block), kinds), "kind")
-    order = both.filter("kind = 'order'").select("file", F.col("block").alias("place"), "doc_id")
+    order = both.filter("kind = 'order'").select("file", F.col("block").alias("place"), F.col("doc_id").cast("long").alias("doc_id"))
     return both.filter("kind = 'tokens'").select("file", "block", "data"), order
 
 

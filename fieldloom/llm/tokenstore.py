@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, text_of
+from fieldloom.llm.common import bounded, documents, id_text, text_of, with_ids
 from fieldloom.llm.tokens import default_tokenizer, encoder
 from fieldloom.session import scratch, stored
 
@@ -117,7 +117,7 @@ def _chunked(tokenizer: str, end_id: int):
                     recipes.append(b"".join(names))
                 if len(sent) > 200_000:  # this only saves work: the store makes chunks unique
                     sent.clear()
-                yield pd.DataFrame({"kind": "recipe", "doc_id": part["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None), "n_tokens": np.diff(starts), "hash": None, "data": recipes})
+                yield pd.DataFrame({"kind": "recipe", "doc_id": part["doc_id"].to_numpy(), "n_tokens": np.diff(starts), "hash": None, "data": recipes})
                 yield pd.DataFrame({"kind": "chunk", "doc_id": None, "n_tokens": 0, "hash": [h for h, _ in chunks], "data": [x for _, x in chunks]})
 
     return run
@@ -148,16 +148,18 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0) -> None:
     """Encode every text, append end_id to each document and write the store under path."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    kinds = "kind string, doc_id long, n_tokens long, hash binary, data binary"
+    bounded(spark)
+    rows = docs.select(id_text(), text_of().alias("text"))
+    kinds = "kind string, doc_id string, n_tokens long, hash binary, data binary"
     staged = stored(rows.mapInPandas(_chunked(tokenizer or default_tokenizer(), end_id), kinds), "kind")
     unique = staged.filter("kind = 'chunk'").groupBy("hash").agg(F.first("data").alias("data"))
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = staged.filter("kind = 'recipe'").select("doc_id", "n_tokens", F.col("data").alias("chunks"))
+    recipes = staged.filter("kind = 'recipe'").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", F.col("data").alias("chunks"))
     parts = max(1, -(-recipes.count() // PART_ROWS))
     order = [F.col("doc_id").asc_nulls_first(), F.col("chunks").asc()]
     ranged = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.mapInPandas(_placed, RECIPES).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed = ranged.withColumn("doc_id", id_text()).mapInPandas(_placed, RECIPES.replace("doc_id long", "doc_id string"))
+    with_ids(placed, "doc_id").write.option("compression", "zstd").parquet(f"{path}/recipes")
     per = spark.read.schema(RECIPES).parquet(f"{path}/recipes").select("part", "pos", "n_tokens", "root").groupBy("part").applyInPandas(_summed, PARTS)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     per = stored(per.withColumn("part_start", F.coalesce(F.sum("tokens").over(before), F.lit(0))))
@@ -268,7 +270,7 @@ def checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     met = _refs(spark, path).join(chunks, "hash", "left")
     per = met.groupBy("part", "pos").agg(F.collect_list(F.struct("idx", "length", "crc")).alias("refs"))
     rows = _recipes(spark, path).select("part", "pos", "doc_id", "start", "n_tokens").join(per, ["part", "pos"])
-    return rows.select("doc_id", "start", "n_tokens", "refs").mapInPandas(_documents_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return with_ids(rows.select(id_text(), "start", "n_tokens", "refs").mapInPandas(_documents_crc, "doc_id string, start long, n_tokens long, ids_crc32 long"), "doc_id")
 
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -282,7 +284,7 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             ids = [np.frombuffer(b"".join(r["data"] for r in sorted(own, key=lambda r: r["idx"])), dtype=f"<u{width}").astype(np.int64) for own in b["refs"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "start": b["start"], "n_tokens": b["n_tokens"], "ids": ids})
 
-    return rows.select("doc_id", "start", "n_tokens", "refs").mapInPandas(joined, "doc_id long, start long, n_tokens long, ids array<long>")
+    return with_ids(rows.select(id_text(), "start", "n_tokens", "refs").mapInPandas(joined, "doc_id string, start long, n_tokens long, ids array<long>"), "doc_id")
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
