@@ -8,8 +8,10 @@ fixed, gives to its bytes and its end; over the bytes' number it is the code len
 
 How it is spread: texts are dealt into blocks of bounded size; a block sends its distinct byte strings of DEPTH+1
 bytes (and its distinct words, for the word base) to buckets that hold all strings with the same last two context bytes,
-as sorted arrays. A bucket adds up the blocks' counts, weighs its subtrees and answers each block with one number
-a string. The two levels above the subtrees are one table of at most 256 * 255 nodes. No task sees the whole model, and what is gathered grows with the corpus.
+as sorted arrays. Blocks are joined to groups: for each bucket a group's counts are added up in one task and the groups'
+sums in another, which weighs the bucket's subtrees and knows a number for each distinct string; a copy of these numbers goes to each group,
+which answers its blocks. So no task reads a bucket's rows from all blocks, and rows are at most MOST_BUCKETS a block. The two levels
+above the subtrees are one table of at most 256 * 255 nodes, broadcast. No task sees the whole model, and what is gathered grows with the corpus.
 
 Defined cases: null or empty text is its end alone; texts are compared after A-Z are lower-cased; the fold of a null
 id is that of the empty text; repeated ids and rows are texts of their own; with no training text every bit has
@@ -25,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import blocks_for, documents, fold, text_of
+from fieldloom.llm.common import blocks_for, bounded, documents, fold, id_text, text_of, with_ids
 from fieldloom.llm.shingles import word_hashes
 
 DEPTH = 5
-#: Bytes of text in a block, about, and buckets of strings; a larger cluster takes larger blocks.
-BLOCK_BYTES, BUCKETS = 4 << 20, 64
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 4 << 20
+#: Buckets of strings: one for 64 blocks, but at least and at most so many; and groups of blocks at most.
+BUCKETS, MOST_BUCKETS, MOST_GROUPS = 64, 4096, 256
 FOLDS, HELD = 7, 2
 #: Stands before a text and for its end; never a byte of UTF-8.
 EDGE = 0xFF
@@ -70,15 +74,10 @@ def _tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1])
 
 
-BLOBS = "bucket int, block long, keys binary, counts binary"
+BLOBS = "bucket int, part int, block long, keys binary, counts binary"
 
 
-def _sorted_by_bucket(keys: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(where, kind="stable")
-    return order, np.searchsorted(where[order], np.arange(where.max() + 2 if len(where) else 1))
-
-
-def _counted(depth: int, buckets: int):
+def _counted(depth: int, buckets: int, groups: int):
     """A block's distinct strings and words, by bucket, with their counts in training texts."""
 
     def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
@@ -96,8 +95,9 @@ def _counted(depth: int, buckets: int):
             cut = np.searchsorted(where[order], np.arange(buckets + 1))
             for i in range(buckets):
                 own = order[cut[i] : cut[i + 1]]
-                rows.append((kind * buckets + i, key[0], keys[own].tobytes(), counts[own].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "block", "keys", "counts"])
+                if len(own):
+                    rows.append((kind * buckets + i, key[0] % groups, key[0], keys[own].tobytes(), counts[own].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "part", "block", "keys", "counts"])
 
     return run
 
@@ -165,14 +165,23 @@ class Subtrees:
         return p
 
 
-def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    each = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-    counts = [np.frombuffer(c, np.uint32) for c in rows["counts"]]
-    keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts).astype(float), len(keys)).astype(np.int64)
-    return keys, total, np.split(inverse, np.cumsum([len(x) for x in each])[:-1])
+def _merged(rows: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all rows, ascending, and the sums of their counts."""
+    keys, inverse = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(c, kind) for c in rows["counts"]])
+    return keys, np.bincount(inverse, counts.astype(float), len(keys)).astype(np.int64)
+
+
+PARTS = "bucket int, keys binary, counts binary"
+
+
+def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's counts in one group of blocks."""
+    keys, counts = _merged(rows, np.uint32)
+    return pd.DataFrame({"bucket": [key[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
 
 
+#: Nodes of the levels of one context byte; the row of context -1 holds a word bucket's tokens and distinct words.
 TOP = "context int, node int, zeros double, ones double, below double"
 
 
@@ -180,9 +189,9 @@ def _tops(depth: int, buckets: int):
     """What the two levels above a bucket's subtrees need of it: a row for each nearest byte and binary node."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _merged(rows, np.int64)
         if key[0] >= buckets:
-            return pd.DataFrame(columns=["context", "node", "zeros", "ones", "below"])
-        keys, counts, _ = _merged(rows)
+            return pd.DataFrame({"context": [-1], "node": [0], "zeros": [float(counts.sum())], "ones": [float((counts > 0).sum())], "below": [0.0]})
         tree = Subtrees(keys, counts, depth)
         seen = tree.zeros + tree.ones > 0
         at = ((tree.nodes >> np.uint64(16)) << np.uint64(8)) | (tree.nodes & np.uint64(255))
@@ -193,42 +202,66 @@ def _tops(depth: int, buckets: int):
     return run
 
 
-ANSWERS = "bucket int, block long, value binary, tokens long, distinct long"
+ROOF = "roof binary, tokens long, distinct long"
+
+
+def _roof(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row from at most 256 * 255 nodes: zeros, ones and the weight of the own estimate of each node of depth one, then of depth none."""
+    word, node = rows[rows["context"] < 0], rows[rows["context"] >= 0]
+    zeros, ones, below = np.zeros((3, 256 * 256))
+    i = (node["context"] * 256 + node["node"]).to_numpy()
+    zeros[i], ones[i], below[i] = node["zeros"], node["ones"], node["below"]
+    total, w1 = weighted(log_kt(zeros, ones), below)
+    z0, o0 = zeros.reshape(256, 256).sum(0), ones.reshape(256, 256).sum(0)
+    _, w0 = weighted(log_kt(z0, o0), total.reshape(256, 256).sum(0))
+    flat = np.concatenate([zeros, ones, w1, z0, o0, w0])
+    return pd.DataFrame({"roof": [flat.tobytes()], "tokens": [int(word["zeros"].sum())], "distinct": [int(word["ones"].sum())]})
+
+
+VALUES = "bucket int, keys binary, value binary, tokens long, distinct long"
+
 
+def _valued(depth: int, buckets: int):
+    """A number for each distinct string or word of a bucket: its bits' log10 probability, or its count."""
 
-def _answered(depth: int, buckets: int):
-    def run(key: tuple, rows: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame, roof: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame(columns=["bucket", "block", "value", "tokens", "distinct"])
-        keys, counts, parts = _merged(rows)
-        if key[0] >= buckets:
-            values = [counts[p].astype(np.int64) for p in parts]
-            n, v = int(counts.sum()), int((counts > 0).sum())
-        else:
-            n = v = 0
+            return pd.DataFrame(columns=[c.split()[0] for c in VALUES.split(", ")])
+        keys, counts = _merged(rows, np.int64)
+        value = counts
+        if key[0] < buckets:
             tree = Subtrees(keys, counts, depth)
             p = tree.bits()
-            zeros, ones, below = np.zeros((3, 256 * 256))
-            own = [r for r in top["tops"] if r is not None]
-            for t in (x for r in own for x in r):
-                i = t["context"] * 256 + t["node"]
-                zeros[i], ones[i], below[i] = t["zeros"], t["ones"], t["below"]
-            total, w1 = weighted(log_kt(zeros, ones), below)
-            z0, o0 = zeros.reshape(256, 256).sum(0), ones.reshape(256, 256).sum(0)
-            _, w0 = weighted(log_kt(z0, o0), total.reshape(256, 256).sum(0))
+            flat = np.frombuffer(roof["roof"].iloc[0], float)
+            one, none = flat[: 3 * 65536].reshape(3, -1), flat[3 * 65536 :].reshape(3, -1)
             heap = tree.heap.astype(np.int64)
             near = np.repeat((keys >> np.uint64(8 * depth)).astype(np.int64), 8) * 256 + heap
-            for w, z, o, i in ((w1, zeros, ones, near), (w0, z0, o0, heap)):
+            for (z, o, w), i in ((one, near), (none, heap)):
                 kt = (np.where(tree.bit == 1, o[i], z[i]) + 0.5) / (z[i] + o[i] + 1)
                 p = w[i] * kt + (1 - w[i]) * p
-            score = np.log10(p).reshape(-1, 8).sum(1).astype(np.float32)
-            values = [score[p] for p in parts]
-        return pd.DataFrame({"bucket": key[0], "block": rows["block"], "value": [x.tobytes() for x in values], "tokens": n, "distinct": v})
+            value = np.log10(p).reshape(-1, 8).sum(1).astype(np.float32)
+        return pd.DataFrame({"bucket": [key[0]], "keys": [keys.tobytes()], "value": [value.tobytes()], "tokens": [roof["tokens"].iloc[0]], "distinct": [roof["distinct"].iloc[0]]})
+
+    return run
+
+
+ANSWERS = "bucket int, block long, value binary, tokens long, distinct long"
+
+
+def _answered(buckets: int):
+    """The numbers of a group's blocks, in the order of their own strings."""
+
+    def run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=["bucket", "block", "value", "tokens", "distinct"])
+        keys, value = np.frombuffer(known["keys"].iloc[0], np.uint64), np.frombuffer(known["value"].iloc[0], np.float32 if key[0] < buckets else np.int64)
+        each = [value[np.searchsorted(keys, np.frombuffer(k, np.uint64))].tobytes() for k in rows["keys"]]
+        return pd.DataFrame({"bucket": key[0], "block": rows["block"], "value": each, "tokens": known["tokens"].iloc[0], "distinct": known["distinct"].iloc[0]})
 
     return run
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+SCORES = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 
 def _scored(depth: int, buckets: int):
@@ -238,7 +271,7 @@ def _scored(depth: int, buckets: int):
         raw = [t.encode().lower() for t in docs["text"]]
         answers = answers.sort_values("bucket")
         word_rows = answers["bucket"].to_numpy() >= buckets
-        n, v = int(answers["tokens"][word_rows].sum()), int(answers["distinct"][word_rows].sum())
+        n, v = int(answers["tokens"].iloc[0]), int(answers["distinct"].iloc[0])
         out = {"doc_id": docs["doc_id"], "held_out": docs["held_out"], "train_tokens": n, "n_bytes": [len(t) for t in raw]}
         for kind, (flat, offsets) in enumerate((strings(raw, depth), _tokens(raw))):
             keys, inverse = np.unique(flat, return_inverse=True)
@@ -260,19 +293,24 @@ def _scored(depth: int, buckets: int):
 def score_texts(docs: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """Scores of every text by the mixture that the texts outside the held-out fold give. 2 <= depth <= 7.
 
-    Without a number of buckets there is one for four blocks, at least BUCKETS, so that a bucket's share stays bounded.
+    A string's number is kept as a 32-bit float; all terms of a score have one sign, so its relative error stays below 1e-7.
     """
+    bounded(docs.sparkSession)
     blocks = blocks_for(docs, block_bytes)
-    buckets = buckets or max(BUCKETS, blocks // 4)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), (fold("doc_id", FOLDS) == HELD).alias("held_out"))
+    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, blocks // 64))
+    groups = min(MOST_GROUPS, -(-blocks // buckets))
+    rows = docs.select(id_text(), text_of().alias("text"), (fold("doc_id", FOLDS) == HELD).alias("held_out"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    rows = rows.repartition(max(blocks, 1), "block")  # one exchange of the texts, used for counting and for scoring
-    sent = rows.groupBy("block").applyInPandas(_counted(depth, buckets), BLOBS).repartition(2 * buckets, "bucket")
-    tops = sent.groupBy("bucket").applyInPandas(_tops(depth, buckets), TOP).groupBy("context", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
-    tops = tops.agg(F.collect_list(F.struct("context", "node", "zeros", "ones", "below")).alias("tops"))  # at most 256 * 255 nodes
-    tops = tops.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "tops")
-    answers = sent.groupBy("bucket").cogroup(tops.groupBy("bucket")).applyInPandas(_answered(depth, buckets), ANSWERS)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(depth, buckets), SCORES)
+    rows = rows.repartition(blocks, "block")  # one exchange of the texts, used for counting and for scoring
+    sent = rows.groupBy("block").applyInPandas(_counted(depth, buckets, groups), BLOBS).repartition(max(blocks, 2 * buckets), "bucket", "part")
+    parts = sent.groupBy("bucket", "part").applyInPandas(_added, PARTS).repartition(2 * buckets, "bucket")
+    tops = parts.groupBy("bucket").applyInPandas(_tops(depth, buckets), TOP).groupBy("context", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    roof = tops.groupBy().applyInPandas(_roof, ROOF)  # one row of 1.6 MB, from at most 256 * 255 nodes
+    each = docs.sparkSession.range(2 * buckets).select(F.col("id").cast("int").alias("bucket")).crossJoin(F.broadcast(roof))
+    values = parts.groupBy("bucket").cogroup(each.groupBy("bucket")).applyInPandas(_valued(depth, buckets), VALUES)
+    copies = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    answers = sent.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInPandas(_answered(buckets), ANSWERS)
+    return with_ids(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(depth, buckets), SCORES), "doc_id")
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
