@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a Parquet row group between steps: what a writing task holds in memory.
+ROW_GROUP = 32 << 20
+
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -28,12 +31,13 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; a temporary one only for a local master without it (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "fieldloom-shared")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -55,6 +59,6 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, computed once, survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark)
-    out = df.write.option("compression", "zstd")
+    out = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
