@@ -3,7 +3,7 @@
 1. Equal texts become one class (by the 128-bit MD5 of the text); only classes are compared, copies are counted.
 2. A class gets ROWS * BANDS MinHash values. Classes that agree in a whole band are candidates; classes that hang
    together by such agreements form a candidate component (edges are stars, linear in a band's members).
-3. A component is compared in one task, or, above BLOCK classes, as pairs of blocks of at most about BLOCK classes in
+3. A component is compared in one task, or, above BLOCK classes or BLOCK_BYTES of text, as pairs of blocks of about that size in
    as many tasks. A candidate pair's MinHash values are compared a few at a time, and the pair is dropped once the posterior
    probability that its similarity reaches the threshold is below TOLERANCE (uniform prior: a binomial tail).
 4. What is left is verified exactly on the shingle sets. Links are counted and joined to groups in the task; no table of
@@ -24,45 +24,50 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, text_of
-from fieldloom.llm.components import components
+from fieldloom.llm.common import bounded, documents, id_text, text_of, whole_row, with_ids
 from fieldloom.llm.shingles import WORDS, minhash, mixed, shingles
+from fieldloom.operators.components import components
+from fieldloom.operators.joins import split_join
 from fieldloom.session import stored
 
 THRESHOLD = 0.8
 ROWS, BANDS = 6, 40
 #: MinHash values compared between two looks at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 24, 1e-7
-#: Classes in a block of a large component.
-BLOCK = 512
+#: Classes in a block of a large component, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, text (null read as empty), key (MD5 of the text) and the columns named."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *columns)
-    return rows.withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
+def text_key() -> Column:
+    """The MD5 of the text, null read as empty."""
+    return F.unhex(F.md5(F.encode(text_of(), "UTF-8")))
 
 
 def _signed(k: int, rows: int, bands: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["text"].tolist()
-            for first, values, offsets in shingles(texts, k):
+            again = b["key"].duplicated()  # a copy in the batch needs no signature of its own
+            own = b[~again]
+            for first, values, offsets in shingles(own["text"].tolist(), k):
                 sigs = minhash(values, offsets, rows * bands).astype(np.uint16)
                 n = np.diff(offsets)
-                part = b.iloc[first : first + len(n)]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "sig": [s.tobytes() if c else b"" for s, c in zip(sigs, n, strict=True)]})
+                part = own.iloc[first : first + len(n)]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "bytes": [len(t.encode()) for t in part["text"]], "sig": [s.tobytes() if c else b"" for s, c in zip(sigs, n, strict=True)]})
+            if len(own) < len(b):
+                yield b[again][["doc_id", "key"]].assign(bytes=None, sig=None)
 
     return run
 
 
-def classes(docs: DataFrame, k: int = WORDS, rows: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, key) of all rows, (classes: cid, key, rep, copies, sig) one row for each distinct text."""
-    signed = stored(keyed(docs).mapInPandas(_signed(k, rows, bands), "doc_id long, key binary, sig binary"))
-    per = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+def classes(docs: DataFrame, k: int = WORDS, rows_: int = ROWS, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, key) of all rows, (classes: cid, key, rep, copies, bytes, sig) one row for each distinct text."""
+    bounded(docs.sparkSession)
+    rows = docs.select(id_text(), text_of().alias("text"), text_key().alias("key"))
+    signed = stored(with_ids(rows.mapInPandas(_signed(k, rows_, bands), "doc_id string, key binary, bytes long, sig binary"), "doc_id"))
+    per = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bytes", True).alias("bytes"), F.first("sig", True).alias("sig"))
     return signed.select("doc_id", "key"), stored(per.withColumn("cid", F.monotonically_increasing_id()))
 
 
@@ -89,8 +94,9 @@ def _banded(rows: int, bands: int):
 def candidates(per_class: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """node (a class id) and component of all classes that agree in a band with another."""
     banded = per_class.filter(F.length("sig") > 0).select("cid", "sig").mapInPandas(_banded(rows, bands), "band long, cid long")
-    shared = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").drop("most")
-    edges = banded.join(shared, "band").filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
+    shared = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").drop("most")
+    met = split_join(banded, shared, "band", "n", bands * per_class.count())
+    edges = met.filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b"))
     return stored(components(edges))
 
 
@@ -166,56 +172,59 @@ def _compared(threshold: float, tolerance: float | None, k: int, rows: int, band
     return run
 
 
-def grouped(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float | None = TOLERANCE, k: int = WORDS, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def grouped(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float | None = TOLERANCE, k: int = WORDS, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, key), (groups: key, rep, copies, class_id, lead, partners, links); lead marks one class of each group.
 
     links counts the documents of other texts that are linked to the class's text, partners those texts.
     """
     members, per_class = classes(docs, k, rows, bands)
     found = candidates(per_class, rows, bands)
-    sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    members_of = found.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    chosen = stored(per_class.join(members_of, F.col("cid") == F.col("node")).select("cid", "key", "rep", "copies", "sig", "component", "blocks", "own"))
-    # one row of each class brings its text: the one whose id is the class's least
-    texts = keyed(docs).select("doc_id", "key", "text")
-    met = chosen.join(texts, (chosen["key"] == texts["key"]) & chosen["rep"].eqNullSafe(texts["doc_id"])).drop(texts["key"])
-    met = met.dropDuplicates(["key", "rep"])
+    near = stored(per_class.join(found, F.col("cid") == F.col("node")).drop("node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / block_bytes)).alias("blocks")
+    sizes = stored(near.groupBy("component").agg(blocks, F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("all_bytes")))
+    known = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("blocks") * F.col("all_bytes")).alias("bytes")).first()
+    met = split_join(near, sizes.drop("all_bytes"), "component", "n", known["n"] or 0).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    # one row of each class brings its text: one whose id is the class's least
+    texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), text_key().alias("t_key"), text_of().alias("text"))
+    met = met.join(texts, (F.col("key") == F.col("t_key")) & F.col("rep").eqNullSafe(F.col("t_id"))).dropDuplicates(["key", "rep"])
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     units = met.select("cid", "copies", "sig", "text", "component", "own", other.alias("other")).select(
         "cid", "copies", "sig", "text", "component",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    linked = units.groupBy("component", "i", "j").applyInPandas(_compared(threshold, tolerance, k, rows, bands), LINKS)
-    linked = stored(linked)
+    units = units.repartition(max(1, -(-(known["bytes"] or 0) // block_bytes)), "component", "i", "j")
+    linked = stored(units.groupBy("component", "i", "j").applyInPandas(_compared(threshold, tolerance, k, rows, bands), LINKS))
     per = linked.groupBy("cid").agg(F.sum("partners").alias("partners"), F.sum("links").alias("links"))
     joined = components(linked.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     zero = F.lit(0).cast("long")
     all_ = (
-        per_class.drop("sig")
+        per_class.drop("sig", "bytes")
         .join(per.withColumnRenamed("cid", "p_cid"), F.col("cid") == F.col("p_cid"), "left")
         .join(joined, F.col("cid") == F.col("node"), "left")
         .select("cid", "key", "rep", "copies", F.coalesce("component", "cid").alias("group"), F.coalesce("partners", zero).alias("partners"), F.coalesce("links", zero).alias("links"))
     )
     all_ = stored(all_)
-    lead = all_.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cid")).alias("lead"))
-    groups = all_.join(lead, "group").select("key", "rep", "copies", F.col("lead.rep").alias("class_id"), (F.col("cid") == F.col("lead.cid")).alias("lead"), "partners", "links")
-    return members, groups
+    lead = all_.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cid")).alias("lead"), F.count(F.lit(1)).alias("n"))
+    groups = split_join(all_, lead, "group", "n", all_.count())
+    return members, groups.select("key", "rep", "copies", F.col("lead.rep").alias("class_id"), (F.col("cid") == F.col("lead.cid")).alias("lead"), "partners", "links")
 
 
 def linked_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links (other documents that reach the threshold, copies included), n_copies of every row."""
     members, groups = grouped(docs, **options)
-    rows = members.join(groups, "key")
-    return rows.select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
+    groups = groups.select("key", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.col("copies").alias("n"))
+    return split_join(members, groups, "key", "n", members.count()).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near duplicates: of each group the row with the least id stays."""
+    """The rows of docs without near duplicates: of each group a row with the least id stays."""
     _, groups = grouped(docs, **options)
-    keep = groups.filter("lead").select(F.col("key").alias("_keep_key"), F.col("rep").alias("_keep_rep"))
-    rows = docs.withColumn("_key", F.unhex(F.md5(F.encode(text_of(), "UTF-8")))).withColumn("_id", F.col("doc_id").cast("long"))
-    met = rows.join(keep, (F.col("_key") == F.col("_keep_key")) & F.col("_id").eqNullSafe(F.col("_keep_rep")))
-    return met.dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    keep = groups.filter("lead").select(F.col("key").alias("keep_key"), F.col("rep").alias("keep_rep"))
+    rows = docs.select(whole_row(docs), text_key().alias("key"), F.col("doc_id").cast("long").alias("id"))
+    met = rows.join(keep, (F.col("key") == F.col("keep_key")) & F.col("id").eqNullSafe(F.col("keep_rep")))
+    return met.dropDuplicates(["key", "id"]).select("row.*")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
