@@ -2,10 +2,11 @@
 
 Documents become pieces of at most `capacity` tokens; pieces are spread over partitions and each partition is
 packed by best-fit decreasing. Dual feasible functions give a lower bound on the bins that a partition's
-pieces need; where it equals the bins used, the partition is certified and final. The others keep their full
-bins, and the documents of their bins with gaps are exchanged: dealt anew over fewer partitions and packed
-again, until all are certified or a round saves nothing. The pieces that are left at the end are packed as they
-are; `sequences` and `lower_bound` of `bounds` say how far the whole is from the optimum.
+pieces need; where it equals the bins used, the partition is certified. Bins that are full are final. Those with gaps are
+exchanged: whole bins of different partitions meet in half as many partitions as before,
+where their documents are packed again by best-fit decreasing, and the better of the two packings stays, so no
+round uses more sequences than the one before. It ends when the bound for all pieces together certifies the whole, when no
+bin has a gap, when one partition has held all that is open, or after `rounds`.
 
 Defined cases: null or empty text is its end id alone; a document longer than the capacity is cut into
 pieces of exactly `capacity` tokens, but for the first, which holds the remainder; repeated ids and rows are documents
@@ -22,15 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import documents, text_of
+from fieldloom.llm.common import bounded, documents, id_text, text_of, with_ids
 from fieldloom.llm.tokens import default_tokenizer, encoder
 from fieldloom.session import stored
 
 CAPACITY = 1024
-#: Pieces a partition holds about.
+#: Pieces a partition holds about in the first round; in a later one at most twice as many as in the one before.
 PARTITION_PIECES = 50_000
 ROUNDS = 4
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(tokenizer: str, end_id: int, capacity: int):
@@ -40,24 +41,24 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
                 rows = []
-                for doc_id, ids in zip(part["doc_id"].astype("Int64"), enc.encode(part["text"].tolist()), strict=True):
+                for doc_id, ids in zip(part["doc_id"], enc.encode(part["text"].tolist()), strict=True):
                     ids = np.append(ids, end_id).astype("<u4")
-                    doc_id = None if doc_id is pd.NA else doc_id
                     first = len(ids) % capacity or capacity
                     ends = range(first, len(ids) + 1, capacity)
                     begin = 0
                     for k, end in enumerate(ends):
                         rows.append((doc_id, k, begin, end - begin, zlib.crc32(ids[begin:end].tobytes())))
                         begin = end
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": object})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInPandas(_pieces(tokenizer or default_tokenizer(), end_id, capacity), PIECES)
+    bounded(docs.sparkSession)
+    rows = docs.select(id_text(), text_of().alias("text"))
+    return with_ids(rows.mapInPandas(_pieces(tokenizer or default_tokenizer(), end_id, capacity), PIECES), "doc_id")
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -108,49 +109,65 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(left, np.int64)
 
 
-PACKED = PIECES + ", row long, group long, bin long, offset long, final boolean, bins long, bound long"
+#: What a round works on: the piece's number and length, its sequence so far and its place there.
+OPEN = "row long, length long, sequence_id long, offset long"
+PACKED = OPEN + ", certified boolean, full boolean"
 
 
-def _pack(capacity: int):
+def _pack(capacity: int, round_: int):
+    """A partition's pieces packed anew, or as they were if that takes no fewer sequences."""
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "row"], ascending=[False, True])
-        bins, offsets, left = best_fit(rows["length"].to_numpy(), capacity)
-        bound = lower_bound(np.bincount(rows["length"], minlength=capacity + 1), capacity)
-        final = (left[bins] == 0) | (bound == len(left))
-        return rows.assign(group=key[0], bin=bins, offset=offsets, final=final, bins=len(left), bound=bound)
+        lengths = rows["length"].to_numpy()
+        bins, offsets, left = best_fit(lengths, capacity)
+        was = rows["sequence_id"].nunique() if round_ else len(rows) + 1
+        # numbers: round, partition and bin; a partition has fewer bins than pieces, far below 2**28
+        new = rows.assign(sequence_id=(round_ << 58) + (int(key[0]) << 28) + bins, offset=offsets, full=left[bins] == 0)
+        if round_ and len(left) >= was:
+            held = rows.groupby("sequence_id")["length"].transform("sum")
+            new = rows.assign(full=held == capacity)
+        used = min(was, len(left))
+        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        return new.assign(certified=bound == used)[[c.split()[0] for c in PACKED.split(", ")]]
 
     return run
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """The pieces with sequence_id and offset. items: the columns of PIECES."""
-    columns = items.columns
     items = stored(items.withColumn("row", F.monotonically_increasing_id()))  # tells repeated rows apart
-    done, rest, before = None, items, None
+    groups = max(1, -(-items.count() // partition_pieces))
+    start = items.select("row", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = start.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
+    least, settled, done = bound_for(items, capacity), 0, None
     for k in range(rounds):
-        groups = max(1, -(-rest.count() // partition_pieces))
-        dealt = rest.withColumn("group", F.pmod(F.xxhash64(F.lit(k), "row"), F.lit(groups)))
-        packed = stored(dealt.groupBy("group").applyInPandas(_pack(capacity), PACKED))
-        packed = packed.withColumn("round", F.lit(k).cast("long"))
-        open_ = packed.filter(~F.col("final"))
-        now = open_.select(F.count_distinct("group", "bin").alias("n")).first()["n"]
-        last = now == 0 or k == rounds - 1 or groups == 1 or before is not None and now >= before
-        kept = packed if last else packed.filter("final")
+        packed = stored(rest.groupBy("part").applyInPandas(_pack(capacity, k), PACKED))
+        bins = packed.groupBy("full").agg(F.count_distinct("sequence_id").alias("bins"), F.count(F.lit(1)).alias("n"))
+        per = {r["full"]: (r["bins"], r["n"]) for r in bins.toLocalIterator()}  # two rows at most
+        (full, _), (gaps, n) = per.get(True, (0, 0)), per.get(False, (0, 0))
+        last = not n or groups == 1 or k == rounds - 1 or settled + full + gaps == least
+        settled += full
+        kept = (packed if last else packed.filter("full")).select("row", "sequence_id", "offset", "certified")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        rest, before = open_.select(*items.columns), now
-    # numbers: round, partition and bin; a partition has fewer bins than pieces, far below 2**28
-    number = F.shiftleft(F.col("round"), 58).bitwiseOR(F.shiftleft(F.col("group"), 28)).bitwiseOR(F.col("bin"))
-    return done.select(*columns, number.alias("sequence_id"), "offset", F.col("final").alias("certified"))
+        groups = min(-(-groups // 2), max(1, -(-n // partition_pieces)))
+        rest = packed.filter(~F.col("full")).select(*[c.split()[0] for c in OPEN.split(", ")]).withColumn("part", F.pmod(F.xxhash64(F.lit(k), "sequence_id"), F.lit(groups)))
+    return items.join(done, "row").drop("row")
+
+
+def bound_for(items: DataFrame, capacity: int = CAPACITY) -> int:
+    """The dual feasible lower bound on any packing of all pieces together, from the counts of at most `capacity` lengths."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        counts[r["length"]] = r["n"]
+    return lower_bound(counts, capacity)
 
 
 def bounds(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row: sequences used and a lower bound that holds for any packing of all pieces (their volume, and those over half)."""
-    return packed.agg(
-        F.count_distinct("sequence_id").alias("sequences"),
-        F.greatest(F.ceil(F.sum("length") / capacity), F.count_if(F.col("length") * 2 > capacity)).alias("lower_bound"),
-    )
+    """One row: sequences used and the lower bound on them."""
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences"), F.lit(bound_for(packed, capacity)).cast("long").alias("lower_bound"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from fieldloom.llm import chaining, contexttree, convnet, fingerprints, jaccardj
 from fieldloom.session import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BIG = 1 << 62
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, size long, uid long, block long, start long, row long, kept boolean, label int"
 
 
@@ -33,7 +34,8 @@ def corpus() -> list[tuple]:
         out.append(" ".join(copy))
     out += [out[20]] * 4 + [f"{text(40)} {passage} {text(30)}" for _ in range(5)]
     out += ["!! WORD$$$ %%% " * 40, "spam | spam | " * 50]
-    rows = [(i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 7 else None) for i, t in enumerate(out)]
+    # ids beyond the whole numbers that a float holds, beside null ids and repeated ones
+    rows = [(i if i < 13 else BIG + i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 7 else None) for i, t in enumerate(out)]
     rows += [(None, "a null id", "en", "s0"), (5, "two words", "en", "s1"), (5, "two words", "en", "s1")]
     return [(i, t, lang, s, len(t or ""), 0.5, "k", 1, 2, 3, 4, 5, True, 1) for i, t, lang, s in rows]
 
@@ -95,6 +97,63 @@ def test_packing(spark, docs, rows, empty):
             at += length
         assert at <= 1024
     assert packing.pack(packing.pieces(empty)).count() == 0
+    assert packing.bounds(packing.pack(packing.pieces(docs), partition_pieces=20)).first().sequences == len(bins)
+
+
+def test_packing_exchange(spark):
+    """Few bins are full: the exchange must come near to best-fit decreasing over all pieces, and never above a round before."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(200, 700, 300)
+    items = spark.createDataFrame([(str(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
+    whole = len(packing.best_fit(lengths, 1024)[2])
+    used = []
+    for rounds in (1, 2, 3, 4):
+        packed = packing.pack(items, partition_pieces=40, rounds=rounds)
+        got = packed.collect()
+        assert sorted(r.doc_id for r in got) == sorted(str(i) for i in range(300))
+        bins = defaultdict(list)
+        for r in got:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for b in bins.values():
+            ends = [o + n for o, n in sorted(b)]
+            assert [o for o, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 1024
+        known = packing.bounds(packed).first()
+        assert known.sequences == len(bins) and known.lower_bound == packing.lower_bound(np.bincount(lengths, minlength=1025), 1024) <= len(bins)
+        used.append(len(bins))
+    assert used == sorted(used, reverse=True) and used[-1] <= whole + 1
+
+
+def fewest_bins(lengths: list[int], capacity: int) -> int:
+    """The optimum by exhaustive search."""
+    best = len(lengths)
+
+    def place(i: int, spaces: list[int]) -> None:
+        nonlocal best
+        if len(spaces) >= best:
+            return
+        if i == len(lengths):
+            best = len(spaces)
+            return
+        for s in sorted(set(spaces)):
+            if s >= lengths[i]:
+                rest = list(spaces)
+                rest.remove(s)
+                place(i + 1, [*rest, s - lengths[i]])
+        place(i + 1, [*spaces, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_lower_bound_never_exceeds_the_optimum():
+    rng = np.random.default_rng(9)
+    met = 0
+    for k in range(150):
+        lengths = sorted(rng.integers(1 if k % 2 else 6, 20, 9).tolist(), reverse=True)
+        best, bound = fewest_bins(lengths, 20), packing.lower_bound(np.bincount(lengths, minlength=21), 20)
+        assert bound <= best <= len(packing.best_fit(np.array(lengths), 20)[2])
+        met += bound == best
+    assert met > 100
 
 
 def test_best_fit_and_bounds():
@@ -260,7 +319,7 @@ def test_binomial_bound_and_cutoffs(spark):
 
 def test_fingerprints(spark, docs, rows, empty):
     got = fingerprints.edited_likeness(docs, range_bytes=20_000).collect()
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
     want, likeness = Counter(), {}
     for k, (i, t) in enumerate(order):
         nxt = order[(k + 1) % len(order)][1]
