@@ -2,32 +2,34 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters slide over the
 embedded bytes of a chunk and are max-pooled; a chunk's pooled activations are averaged over all chunks
-and a logistic unit turns them into one probability. Everything is trained here by Adam, on the driver, on a bounded
-sample of labelled documents (SAMPLE of each class, at most TRAIN_CHUNKS chunks of each).
+and a logistic unit turns them into one probability. Everything is trained here by Adam, on the driver, on the whole texts of a
+bounded sample of labelled documents: the first SAMPLE of each class in the order of a hash of the id, as many as fit in SAMPLE_BYTES.
 
 Defined cases: null or empty text is one chunk of padding and gets a score; labels null or repeated: a document with
 any label 1 counts as good, one without label isn't learnt from; with labels of one class or none the score is the
 share of good ones (1 without labels); a null id belongs to the fold of the empty text; repeated rows are scored
-alike; an empty table gives an empty result; extra columns are ignored.
+alike, and of rows with one id the least text is learnt from; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from fieldloom.llm.common import documents, fold, labels, text_of
+from fieldloom.llm.common import bounded, documents, fold, labels, text_of, whole_row
+from fieldloom.session import stored
 
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, DIM, FILTERS = 12, 2, 6, 32
-#: Labelled documents of each class that are learnt from, and chunks of each, evenly spread over its text.
-SAMPLE, TRAIN_CHUNKS = 1500, 8
+#: Labelled documents of each class that are learnt from, at most, and bytes of all their texts, at most.
+SAMPLE, SAMPLE_BYTES = 1500, 64 << 20
+#: Chunks that are trained on at once.
+SLICE = 512
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: A clean document that is lost counts as much as this many junk ones that stay.
 GOOD_WEIGHT = 4
@@ -35,13 +37,12 @@ FOLDS, HELD = 4, 2
 CUTOFF = 0.7
 
 
-def chunks_of(data: bytes, most: int | None = None) -> np.ndarray:
-    """Overlapping chunks that cover data, padded with zero bytes; at most `most`, evenly spread, if given."""
+def chunks_of(data: bytes) -> np.ndarray:
+    """Overlapping chunks that cover data, padded with zero bytes."""
     n = max(1, -(-(len(data) - (CHUNK - STEP)) // STEP))
     padded = np.zeros((n - 1) * STEP + CHUNK, np.uint8)
     padded[: len(data)] = np.frombuffer(data, np.uint8)
-    out = np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
-    return out if most is None or n <= most else out[np.linspace(0, n - 1, most).astype(int)]
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
 
 
 @dataclass
@@ -97,49 +98,54 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def trained(samples: list[np.ndarray], good: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Net:
-    """Fit on the chunks of documents and their labels (0 or 1), the classes weighted GOOD_WEIGHT to 1."""
+def gradients(net: Net, texts: list[bytes], good: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted mean log loss over whole texts, for the parts of the net; chunks are taken SLICE at a time."""
+    own = [chunks_of(t) for t in texts]
+    n = np.array([len(c) for c in own])
+    chunks, doc = np.concatenate(own), np.repeat(np.arange(len(own)), n)
+    slices = [slice(at, at + SLICE) for at in range(0, len(chunks), SLICE)]
+    kept, mean = None, np.zeros((len(texts), FILTERS), np.float32)
+    for part in slices:
+        kept = net.pooled(chunks[part])
+        np.add.at(mean, doc[part], kept[0])
+    mean /= n[:, None]
+    p = 1 / (1 + np.exp(-np.clip(mean @ net.out + net.out_bias[0], -30, 30)))
+    dz = ((p - good) * weight / len(texts)).astype(np.float32)
+    d_embed, d_filters, d_bias = np.zeros_like(net.embed), np.zeros_like(net.filters), np.zeros_like(net.bias)
+    for part in slices:
+        pooled, act = kept if len(slices) == 1 else net.pooled(chunks[part])
+        d_pooled = (dz / n)[doc[part]][:, None] * net.out * (pooled > 0)
+        best = act.argmax(axis=1) * STRIDE  # only the winning window of a filter learns
+        byte = chunks[part][np.arange(len(pooled))[:, None, None], best[:, :, None] + np.arange(WIDTH)]
+        d_filters += np.einsum("cfk,cf->kf", net.embed[byte].reshape(len(pooled), FILTERS, -1), d_pooled)
+        spread = d_pooled[:, :, None, None] * net.filters.T.reshape(FILTERS, WIDTH, DIM)[None]
+        for k in range(DIM):
+            d_embed[:, k] += np.bincount(byte.ravel(), spread[..., k].ravel(), 256)
+        d_bias += d_pooled.sum(0)
+    return [d_embed, d_filters, d_bias, mean.T @ dz, dz.sum(keepdims=True)]
+
+
+def trained(texts: list[bytes], good: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Net:
+    """Fit on whole texts and their labels (0 or 1), the classes weighted GOOD_WEIGHT to 1."""
     rng = np.random.default_rng(seed)
     net = Net.fresh(rng)
     share = {1: GOOD_WEIGHT / max(1, good.sum()), 0: 1 / max(1, (1 - good).sum())}
     weight = np.where(good == 1, share[1], share[0]) * len(good) / (1 + GOOD_WEIGHT)
     first, second, step = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
     for epoch in range(epochs):
-        order = rng.permutation(len(samples))
+        order = rng.permutation(len(texts))
+        rate = RATE * (0.5 ** (epoch / 2))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            n = np.array([len(samples[i]) for i in pick])
-            chunks = np.concatenate([samples[i] for i in pick])
-            doc = np.repeat(np.arange(len(pick)), n)
-            pooled, act = net.pooled(chunks)
-            mean = np.zeros((len(pick), FILTERS), np.float32)
-            np.add.at(mean, doc, pooled)
-            mean /= n[:, None]
-            p = 1 / (1 + np.exp(-np.clip(mean @ net.out + net.out_bias[0], -30, 30)))
-            dz = ((p - good[pick]) * weight[pick] / len(pick)).astype(np.float32)
-            d_pooled = (dz / n)[doc][:, None] * net.out * (pooled > 0)
-            best = act.argmax(axis=1) * STRIDE  # only the winning window of a filter learns
-            places = best[:, :, None] + np.arange(WIDTH)
-            byte = chunks[np.arange(len(chunks))[:, None, None], places]
-            d_filters = np.einsum("cfk,cf->kf", net.embed[byte].reshape(len(chunks), FILTERS, -1), d_pooled)
-            d_embed = np.zeros_like(net.embed)
-            np.add.at(d_embed, byte, d_pooled[:, :, None, None] * net.filters.T.reshape(FILTERS, WIDTH, DIM)[None])
-            grads = [d_embed, d_filters, d_pooled.sum(0), mean.T @ dz, dz.sum(keepdims=True)]
             step += 1
-            rate = RATE * (0.5 ** (epoch / 2))
-            for x, g, a, b in zip(net.parts(), grads, first, second, strict=True):
+            for x, g, a, b in zip(net.parts(), gradients(net, [texts[i] for i in pick], good[pick], weight[pick]), first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     return net
 
 
-def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"place": b["place"], "good": b["good"], "chunks": [chunks_of(t.encode(), TRAIN_CHUNKS).tobytes() for t in b["text"]]})
-
-
-def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE) -> Net | float:
+def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Net | float:
     """Learn from labelled documents outside the held-out fold; a plain share where there is nothing to tell apart."""
     known = quality.filter((fold("doc_id", FOLDS) != HELD) & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("quality").alias("good"))
     # the sample: the first of each class in the order of a hash of the id
@@ -147,13 +153,15 @@ def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE) -> Net | floa
     picks = [known.filter(F.col("good") == g).orderBy(key, "l_id").limit(sample) for g in (0, 1)]
     chosen = picks[0].unionByName(picks[1])
     met = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most 2 * sample rows
-    rows = met.select(F.xxhash64("doc_id").alias("place"), F.col("good").cast("int").alias("good"), "text")
-    rows = rows.mapInPandas(_sampled, "place long, good int, chunks binary").orderBy("place", "chunks").limit(2 * sample)
-    got = sorted((int(r["good"]), bytes(r["chunks"])) for r in rows.toLocalIterator())
+    per = stored(met.groupBy("l_id").agg(F.first("good").cast("int").alias("good"), F.min("text").alias("text")))
+    # at most 2 * sample rows: in the order of a hash, as many as fit
+    order = per.select("l_id", F.octet_length("text").alias("bytes")).withColumn("held", F.sum("bytes").over(Window.orderBy(key, "l_id")))
+    rows = per.join(F.broadcast(order.filter(F.col("held") <= sample_bytes).select("l_id")), "l_id")
+    got = sorted((int(r["good"]), r["text"].encode()) for r in rows.select("good", "text").toLocalIterator())
     good = np.array([g for g, _ in got], np.float32)
     if not len(good) or good.min() == good.max():
         return float(good.mean()) if len(good) else 1.0
-    return trained([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for _, c in got], good)
+    return trained([t for _, t in got], good)
 
 
 def with_score(docs: DataFrame, net: Net | float, name: str = "score") -> DataFrame:
@@ -165,12 +173,14 @@ def with_score(docs: DataFrame, net: Net | float, name: str = "score") -> DataFr
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(net.score([t.encode() for t in texts]))
 
+    bounded(docs.sparkSession)
     return docs.withColumn(name, score(text_of()))
 
 
 def accepted(docs: DataFrame, quality: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of docs that the classifier doesn't reject."""
-    return with_score(docs, fit(docs, quality), "_cnn_score").filter(F.col("_cnn_score") >= cutoff).select(*docs.columns)
+    rows = docs.select(whole_row(docs), "text")
+    return with_score(rows, fit(docs, quality)).filter(F.col("score") >= cutoff).select("row.*")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
