@@ -9,9 +9,9 @@ Nothing is collected and no range holds more than a bounded share of a source: a
 all rows is spread over as many ranges as its row count asks for.
 
 Defined cases: null or empty text has size 0 and is taken 0 times; a null source is a source of its own,
-last in order; a null id sorts as the empty text; repeated rows are documents of their own; an
-empty table gives an empty result; a table whose sizes are all 0 has targets 0. Columns beyond the ones
-named are carried through by `mix_documents` unless they clash with its working columns, which are prefixed `_mix_`.
+last in order; a null id counts as the empty text; repeated rows are documents of their own (rows equal in id and text
+share a key, and so a range); an empty table gives an empty result; a table whose sizes are all 0 has targets 0. All other columns,
+whatever their names, are carried through by `mix_documents`.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import WORD, documents, text_of
+from fieldloom.llm.common import WORD, documents, text_of, whole_row
 from fieldloom.session import stored
 
 #: Weights by the source's place in code point order, repeating; fixed by the contract.
@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Rows a range of a source's key space holds on average.
 RANGE_ROWS = 20_000
-#: The key is a 60-bit number: the first fifteen hexadecimal digits of the id's MD5.
+#: The key is a 60-bit number: the first fifteen hexadecimal digits of the MD5 of the id and the text.
 KEY_BITS = 60
 #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffle.
 MOST_SOURCES = 10_000
@@ -38,9 +38,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def hash_key(doc_id: str = "doc_id") -> Column:
-    digits = F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 15)
-    return F.conv(digits, 16, 10).cast("long")
+def hash_key() -> Column:
+    """From the id and the text, so that rows without id don't share one key."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text_of())
+    return F.conv(F.substring(F.md5(F.encode(own, "UTF-8")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
@@ -73,9 +74,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, epochs (whole takes) and cut (words of a last partial take)."""
-    sized = stored(docs.select("doc_id", "source", word_count(text_of()).alias("size")))  # texts are read once
+    sized = stored(docs.select("doc_id", "source", word_count(text_of()).alias("size"), hash_key().alias("key")))  # texts are read once
     plan = source_targets(sized, weights, most).withColumn("ranges", F.ceil(F.col("rows") / range_rows).cast("long"))
-    keyed = sized.withColumn("key", hash_key()).join(
+    keyed = sized.join(
         plan.select(F.col("source").alias("p_source"), "source_size", "target", "budget", "ranges"),
         F.col("source").eqNullSafe(F.col("p_source")),
     )
@@ -108,24 +109,25 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     taken = mix(docs, **options)
     last = F.max(F.when(F.col("cut") > 0, F.struct("key", "size", "cut")))
-    cuts = stored(taken.groupBy(F.col("source").alias("_mix_source")).agg(F.max("epochs").alias("_mix_epochs"), last.alias("_mix_last")))
+    cuts = stored(taken.groupBy(F.col("source").alias("c_source")).agg(F.max("epochs").alias("epochs"), last.alias("last")))
     small = cuts.count() <= MOST_SOURCES
-    rows = docs.withColumn("_mix_size", word_count(text_of())).withColumn("_mix_key", hash_key())
-    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("_mix_source")))
-    own, at = F.struct(F.col("_mix_key").alias("key"), F.col("_mix_size").alias("size")), F.struct(F.col("_mix_last.key").alias("key"), F.col("_mix_last.size").alias("size"))
+    rows = docs.select(whole_row(docs), "source", "text", word_count(text_of()).alias("size"), hash_key().alias("key"))
+    rows = rows.join(F.broadcast(cuts) if small else cuts, F.col("source").eqNullSafe(F.col("c_source")))
+    own, at = F.struct("key", "size"), F.struct(F.col("last.key").alias("key"), F.col("last.size").alias("size"))
     on_cut = F.coalesce(own == at, F.lit(False))
-    inside = F.coalesce(own < at, F.lit(False)) | on_cut & (F.col("_mix_last.cut") == F.col("_mix_size"))
+    inside = F.coalesce(own < at, F.lit(False)) | on_cut & (F.col("last.cut") == F.col("size"))
     none = F.array().cast("array<bigint>")
-    whole = F.array_repeat(F.lit(0).cast("long"), (F.col("_mix_epochs") + inside.cast("long")).cast("int"))
-    takes = F.concat(whole, F.when(on_cut & ~inside, F.array("_mix_last.cut")).otherwise(none))
-    rows = rows.withColumn("_mix_take", F.explode(F.when(F.col("_mix_size") > 0, takes)))
+    whole = F.array_repeat(F.lit(0).cast("long"), (F.col("epochs") + inside.cast("long")).cast("int"))
+    takes = F.concat(whole, F.when(on_cut & ~inside, F.array("last.cut")).otherwise(none))
+    rows = rows.withColumn("take", F.explode(F.when(F.col("size") > 0, takes)))
     # each piece is a word with the white space before it, so the first pieces are the text up to a word's end
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    head = F.array_join(F.slice(pieces, 1, F.col("_mix_take").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_mix_take") > 0, head).otherwise(F.col("text")))
+    head = F.array_join(F.slice(pieces, 1, F.col("take").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("take") > 0, head).otherwise(F.col("text")))
+    made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_mix_take") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        made["n_chars"] = F.when(F.col("take") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +137,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS key FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
         CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS BIGINT) AS weight
       FROM s GROUP BY source),
