@@ -47,7 +47,7 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and the counts of the whole text, one pass, no shuffle."""
     n = WINDOW
     text = F.col("_text")
-    rows = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("stratum"), text_of().alias("_text"))
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("stratum"), text_of().alias("_text"))
     rows = rows.select(
         "doc_id", "stratum",
         F.array_remove(F.split(F.translate(text, SPACES[1:], " " * (len(SPACES) - 1)), " "), "").alias("_words"),
@@ -138,7 +138,7 @@ def _sql() -> str:
     tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a}))))"
     over = " OR ".join(f"coalesce({r} > (SELECT min(cut) FROM passed WHERE passed.stratum = b.stratum AND rule = '{r}'), false)" for r in GRIDS)
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT u, i, array_to_string(ws[i : i + 4], ' ') AS gram FROM (SELECT u, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT u, i, lead(i) OVER (PARTITION BY u ORDER BY i) AS nxt FROM (SELECT u, i, count(*) OVER (PARTITION BY u, gram) AS c FROM g) WHERE c > 1),
