@@ -17,7 +17,7 @@ from fieldloom.session import scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BIG = 1 << 62
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, size long, uid long, block long, start long, row long, kept boolean, label int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, key string, size long, uid long, block long, start long, row long, kept boolean, label int, id long, spans string, take int, last string, part int, sequence_id long"
 
 
 def corpus() -> list[tuple]:
@@ -37,7 +37,7 @@ def corpus() -> list[tuple]:
     # ids beyond the whole numbers that a float holds, beside null ids and repeated ones
     rows = [(i if i < 13 else BIG + i, t, "en" if i % 3 else None, f"s{i % 4}" if i % 7 else None) for i, t in enumerate(out)]
     rows += [(None, "a null id", "en", "s0"), (5, "two words", "en", "s1"), (5, "two words", "en", "s1")]
-    return [(i, t, lang, s, len(t or ""), 0.5, "k", 1, 2, 3, 4, 5, True, 1) for i, t, lang, s in rows]
+    return [(i, t, lang, s, len(t or ""), 0.5, "k", 1, 2, 3, 4, 5, True, 1, 6, "s", 7, "l", 8, 9) for i, t, lang, s in rows]
 
 
 @pytest.fixture(scope="module")
@@ -334,8 +334,63 @@ def test_fingerprints(spark, docs, rows, empty):
     assert fingerprints.edited_likeness(empty).count() == 0 and fingerprints.fingerprints(empty).count() == 0
 
 
+def plain_score(net, data: bytes) -> float:
+    """The network by loops: every filter at every place of every chunk."""
+    pooled = []
+    for begin in range(0, max(1, len(data) - (convnet.CHUNK - convnet.STEP)), convnet.STEP):
+        chunk = data[begin : begin + convnet.CHUNK].ljust(convnet.CHUNK, b"\0")
+        best = np.full(convnet.FILTERS, -np.inf)
+        for at in range(0, convnet.CHUNK - convnet.WIDTH + 1, convnet.STRIDE):
+            x = np.concatenate([net.embed[c] for c in chunk[at : at + convnet.WIDTH]]).astype(float)
+            best = np.maximum(best, x @ net.filters.astype(float))
+        pooled.append(np.maximum(best + net.bias, 0))
+    z = np.mean(pooled, axis=0) @ net.out.astype(float) + float(net.out_bias[0])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_network_equals_loops_and_numeric_gradients(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = convnet.Net.fresh(rng)
+    net.bias += rng.normal(0, 0.2, net.bias.shape).astype(np.float32)
+    net.out *= 3
+    texts = [bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (0, 1, 100, 256, 257, 480, 481, 1500)]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+    good, weight = np.array([1, 0, 1, 0, 1, 0, 1, 0], np.float32), np.linspace(0.5, 2, 8)
+    loss = lambda: float(np.mean([-w * math.log(p if g else 1 - p) for p, g, w in zip((plain_score(net, t) for t in texts), good, weight)]))
+    whole = convnet.gradients(net, texts, good, weight)
+    monkeypatch.setattr(convnet, "SLICE", 3)
+    for a, b in zip(whole, convnet.gradients(net, texts, good, weight), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    for name in ("embed", "filters", "bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(float))
+    for part, grad in zip(net.parts(), whole, strict=True):
+        flat, g = part.reshape(-1), grad.reshape(-1)
+        for i in np.argsort(-np.abs(g))[:3]:
+            was, step = flat[i], 1e-6
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            down = loss()
+            flat[i] = was
+            assert abs((up - down) / (2 * step) - g[i]) < 1e-4
+
+
+def test_classifier_on_held_out_documents(spark):
+    """Labels of the held-out fold change nothing; of that fold, junk goes and clean documents stay."""
+    d = "/root/testdata/sf0.01"
+    docs, marks = convnet.documents(spark, d), convnet.labels(spark, d)
+    held = convnet.fold("doc_id", convnet.FOLDS) == convnet.HELD
+    F = convnet.F
+    net = convnet.fit(docs, marks)
+    lied = convnet.fit(docs, marks.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert all((a == b).all() for a, b in zip(net.parts(), lied.parts(), strict=True))
+    rows = convnet.with_score(docs, net).join(marks, "doc_id").filter(held).select("quality", "score").collect()
+    junk, clean = [r.score for r in rows if r.quality == 0], [r.score for r in rows if r.quality == 1]
+    assert np.mean(np.array(junk) < convnet.CUTOFF) > 0.7 and np.mean(np.array(clean) >= convnet.CUTOFF) > 0.9
+
+
 def test_classifier(spark, docs, rows, empty):
-    net = convnet.trained([convnet.chunks_of(("plain words here and more " * k).encode()) for k in range(1, 30)] + [convnet.chunks_of(("$$$ %%% &&& " * k).encode()) for k in range(1, 30)], np.array([1] * 29 + [0] * 29, np.float32), epochs=10)
+    net = convnet.trained([("plain words here and more " * k).encode() for k in range(1, 30)] + [("$$$ %%% &&& " * k).encode() for k in range(1, 30)], np.array([1] * 29 + [0] * 29, np.float32), epochs=10)
     p = net.score([b"some plain words here", b"&&& $$$ %%% $$$ %%% &&& $$$", b""])
     assert p[0] > 0.7 > 0.5 > p[1] and 0 <= p[2] <= 1
     out = convnet.with_score(docs, net, "_s").collect()
