@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from fieldloom.llm.common import bounded, documents, fold, labels, text_of, whole_row
+from fieldloom.llm.tokens import forget
 from fieldloom.session import stored
 
 CHUNK, STEP = 256, 224
@@ -171,6 +172,7 @@ def with_score(docs: DataFrame, net: Net | float, name: str = "score") -> DataFr
 
     @pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(net.score([t.encode() for t in texts]))
 
     bounded(docs.sparkSession)

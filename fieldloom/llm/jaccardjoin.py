@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import bounded, documents, id_text, text_of, whole_row, with_ids
 from fieldloom.llm.shingles import WORDS, minhash, mixed, shingles
+from fieldloom.llm.tokens import forget
 from fieldloom.operators.components import components
 from fieldloom.operators.joins import split_join
 from fieldloom.session import stored
@@ -48,6 +49,7 @@ def text_key() -> Column:
 
 def _signed(k: int, rows: int, bands: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for b in batches:
             again = b["key"].duplicated()  # a copy in the batch needs no signature of its own
             own = b[~again]

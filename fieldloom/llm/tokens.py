@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Pieces a worker keeps; the cache is emptied beyond that.
-CACHE_PIECES = 1_000_000
+#: New pieces after which a worker forgets those that it hasn't met since as many before; so it keeps twice as many at most.
+CACHE_PIECES = 500_000
 #: A plain word and the marks after it: the pre-tokenizer makes one piece of each.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
@@ -38,6 +38,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Frees this process's encoders and their pieces; workers that go on to another kind of task needn't hold them."""
+    _encoders.clear()
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for letters from 256 on."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -70,7 +75,7 @@ class Encoder:
         out = []
         for text in texts:
             if len(self.cache) > CACHE_PIECES:
-                self.cache.clear()
+                self.cache.age()
             ids = None
             if self.by_pieces and "\0" not in text:
                 try:
@@ -91,8 +96,15 @@ class _Pieces(dict):
     def __init__(self, owner: Encoder) -> None:
         self.whole, self.pack, self.tokenize = owner._whole, owner.pack, owner.whole.model.tokenize
         self.table = _byte_letters()
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, key: str) -> bytes:
+        if key in self.older:
+            return self.setdefault(key, self.older[key])
         first = key[:1] == "\0"
         word = key[1:] if first else key
         if m := _PLAIN.match(word):

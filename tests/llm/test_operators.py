@@ -377,16 +377,17 @@ def test_network_equals_loops_and_numeric_gradients(monkeypatch):
 
 def test_classifier_on_held_out_documents(spark):
     """Labels of the held-out fold change nothing; of that fold, junk goes and clean documents stay."""
-    d = "/root/testdata/sf0.01"
-    docs, marks = convnet.documents(spark, d), convnet.labels(spark, d)
+    F, d = convnet.F, "/root/testdata/sf0.01"
     held = convnet.fold("doc_id", convnet.FOLDS) == convnet.HELD
-    F = convnet.F
-    net = convnet.fit(docs, marks)
-    lied = convnet.fit(docs, marks.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))))
-    assert all((a == b).all() for a, b in zip(net.parts(), lied.parts(), strict=True))
-    rows = convnet.with_score(docs, net).join(marks, "doc_id").filter(held).select("quality", "score").collect()
+    docs, marks = convnet.documents(spark, d), convnet.labels(spark, d)
+    lied = marks.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    two = [convnet.fit(docs, m, sample=40) for m in (marks, lied)]
+    assert all((a == b).all() for a, b in zip(two[0].parts(), two[1].parts(), strict=True))
+    d = "/root/testdata/sf0.1"
+    docs, marks = convnet.documents(spark, d), convnet.labels(spark, d)
+    rows = convnet.with_score(docs, convnet.fit(docs, marks)).join(marks, "doc_id").filter(held).select("quality", "score").collect()
     junk, clean = [r.score for r in rows if r.quality == 0], [r.score for r in rows if r.quality == 1]
-    assert np.mean(np.array(junk) < convnet.CUTOFF) > 0.7 and np.mean(np.array(clean) >= convnet.CUTOFF) > 0.9
+    assert np.mean(np.array(junk) < convnet.CUTOFF) > 0.9 and np.mean(np.array(clean) >= convnet.CUTOFF) > 0.97
 
 
 def test_classifier(spark, docs, rows, empty):
