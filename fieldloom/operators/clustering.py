@@ -110,9 +110,8 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
 
 def spectral(x: np.ndarray, k: int, neighbours: int = 10, seed: int = 0) -> np.ndarray:
     """Labels by the normalised Laplacian of the symmetric nearest-neighbour graph."""
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    near = np.argsort(d, axis=1)[:, : neighbours + 1]
-    graph = np.zeros_like(d)
+    near = np.concatenate([np.argsort(((x[at : at + 256, None] - x[None]) ** 2).sum(-1), axis=1, kind="stable")[:, : neighbours + 1] for at in range(0, len(x), 256)])
+    graph = np.zeros((len(x), len(x)))
     np.put_along_axis(graph, near, 1.0, axis=1)
     graph = (graph + graph.T) / 2
     scale = 1 / np.sqrt(graph.sum(1))
@@ -130,7 +129,7 @@ def spectral(x: np.ndarray, k: int, neighbours: int = 10, seed: int = 0) -> np.n
     return label
 
 
-def sampled_centres(points: DataFrame, k: int, method: str, most: int = 1000) -> Centres:
+def sampled_centres(points: DataFrame, k: int, method: str, most: int = 3000) -> Centres:
     """Centres of a sample's clusters by ward or spectral, computed in one task on at most `most` points."""
     kernel = {"ward": ward, "spectral": spectral}[method]
 
@@ -180,7 +179,7 @@ def fit_labels(points: DataFrame, method: str, k: int) -> DataFrame:
         return gaussian_mixture(points, k)
     if method == "fuzzy":
         return memberships(points, fuzzy_means(points, k)[0]).withColumn("label", (F.array_position("u", F.array_max("u")) - 1).cast("int")).drop("u")
-    fits = {"kmeans": lambda: lloyd(points, k, 20), "minibatch": lambda: mini_batch(points, k), "ward": lambda: sampled_centres(points, k, "ward"), "spectral": lambda: sampled_centres(points, k, "spectral", 600)}
+    fits = {"kmeans": lambda: lloyd(points, k, 20), "minibatch": lambda: mini_batch(points, k), "ward": lambda: sampled_centres(points, k, "ward"), "spectral": lambda: sampled_centres(points, k, "spectral")}
     return nearest_centre(points, fits[method]()).drop("d2")
 
 

@@ -53,7 +53,7 @@ def inertia(points: DataFrame, centres: Centres) -> DataFrame:
     return points.agg(F.sum(F.array_min(F.array(*[squared_distance(c) for c in centres]))).alias("inertia"))
 
 
-def silhouette(labelled: DataFrame, most: int = 2000) -> DataFrame:
+def silhouette(labelled: DataFrame, most: int = 5000) -> DataFrame:
     """Mean Euclidean silhouette of the first `most` points in hash order, in one task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

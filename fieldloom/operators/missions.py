@@ -140,29 +140,47 @@ HOPS = "mission string, seq int, hop int, x1 double, y1 double, x2 double, y2 do
 
 
 def connected(chain: DataFrame, cost: DataFrame, margin: int = 45, diagonal: float = DIAGONAL) -> DataFrame:
-    """Connectors from each segment to the next: hops of a shortest path, or one straight hop where there is none.
+    """Connectors from each segment to the next: hops of a shortest path over the whole grid, or one straight hop where there is none.
 
-    A connector sees the pixels of a window around it only: each transition is a group of its own with the window's cells,
-    so no task holds the raster.
+    Each transition is a group of its own with the cells of a window around it. A path through cells outside the window
+    enters `margin` cells and more beyond the ends twice, so one that costs less than that is the shortest of all; the other
+    transitions are searched again in a window four times as wide, until it holds the grid.
     """
+    known = cost.agg(F.min("cost").alias("least"), F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("extent")).first()
     w = Window.partitionBy("mission").orderBy("seq")
-    legs = chain.select("mission", "seq", F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.lead("x1").over(w).alias("bx"), F.lead("y1").over(w).alias("by")).filter("bx is not null")
+    legs = stored(chain.select("mission", "seq", F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.lead("x1").over(w).alias("bx"), F.lead("y1").over(w).alias("by")).filter("bx is not null"))
+    done = None
+    while True:
+        whole = margin >= (known["extent"] or 0)
+        hops = stored(_hops(legs, cost, margin, None if whole else 2 * (margin + 1) * (known["least"] or 0), diagonal))
+        kept = hops.drop("sure") if whole else hops.filter("sure").drop("sure")
+        done = kept if done is None else done.unionByName(kept)
+        legs = legs.join(kept.select("mission", "seq").distinct(), ["mission", "seq"], "left_anti")
+        if whole or not hops.filter("not sure").take(1):
+            return done
+        legs, margin = stored(legs), 4 * margin
+
+
+def _hops(legs: DataFrame, cost: DataFrame, margin: int, most: float | None, diagonal: float) -> DataFrame:
+    """The hops of each transition in its window; sure if no path outside it can be shorter (most is None: it holds the grid)."""
     reach = F.greatest(F.lit(margin), F.ceil(0.35 * F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))).cast("int")
     rows = legs.withColumn("reach", reach).select("mission", "seq", "ax", "ay", "bx", "by", "reach", F.explode(F.sequence((F.least("ay", "by") - F.col("reach")).cast("int"), (F.greatest("ay", "by") + F.col("reach")).cast("int"))).alias("w_row"))
     inside = (F.col("w_row") == F.col("row")) & (F.col("col") >= F.least("ax", "bx") - F.col("reach")) & (F.col("col") <= F.greatest("ax", "bx") + F.col("reach"))
     cells = rows.join(cost, inside).select(F.col("mission").alias("c_mission"), F.col("seq").alias("c_seq"), "row", "col", "cost")
 
     def run(key: tuple, leg: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in HOPS.split(", ")]
+        names = [c.split()[0] for c in HOPS.split(", ")] + ["sure"]
         if not len(leg):
             return pd.DataFrame(columns=names)
         a, b = leg.iloc[0][["ax", "ay"]].astype(int), leg.iloc[0][["bx", "by"]].astype(int)
         grid = dict(zip(zip(near["row"].tolist(), near["col"].tolist(), strict=True), near["cost"].tolist(), strict=True))
         path = shortest_path(grid, (a.ay, a.ax), (b.by, b.bx), diagonal)
         points = path if path and len(path) > 1 else [(a.ay, a.ax), (b.by, b.bx)]
-        return pd.DataFrame([(key[0], key[1], i, float(p[1]), float(p[0]), float(q[1]), float(q[0]), path is not None) for i, (p, q) in enumerate(zip(points, points[1:], strict=False))], columns=names)
+        total = sum(grid[q] * (1.0 if 0 in (p[0] - q[0], p[1] - q[1]) else diagonal) for p, q in zip(path, path[1:], strict=False)) if path else float("inf")
+        sure = most is None or total <= most
+        return pd.DataFrame([(key[0], key[1], i, float(p[1]), float(p[0]), float(q[1]), float(q[0]), path is not None, sure) for i, (p, q) in enumerate(zip(points, points[1:], strict=False))], columns=names)
 
-    return legs.groupBy("mission", "seq").cogroup(cells.groupBy("c_mission", "c_seq")).applyInPandas(run, HOPS)
+    return legs.groupBy("mission", "seq").cogroup(cells.groupBy("c_mission", "c_seq")).applyInPandas(run, HOPS + ", sure boolean")
 
 
 def straight(chain: DataFrame) -> DataFrame:

@@ -1,17 +1,21 @@
 """Neighbourhood operators on pixel tables: stencils, distance, components, smoothing, slope.
 
 A mask is a table of all pixels with a boolean column m. Row and column passes are windows over one row or column of pixels;
-connected components work on runs of pixels, not on pixels.
+connected components work on runs of pixels in tiles, and on a graph of the runs that touch across tiles.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.components import components as graph_components
+from fieldloom.session import stored
 
 
 def _line(by: str, order: str, r: int):
@@ -52,25 +56,75 @@ def diamond(mask: DataFrame, r: int) -> DataFrame:
 def runs(cells: DataFrame, *by: str) -> DataFrame:
     """row, c0, c1: maximal runs of the given cells in each row (of each group)."""
     w = Window.partitionBy(*by, "row").orderBy("col")
-    island = cells.select(*by, "row", "col", (F.col("col") - F.row_number().over(w)).alias("g"))
-    return island.groupBy(*by, "row", "g").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("g")
+    island = cells.select(*by, "row", "col", (F.col("col") - F.row_number().over(w)).alias("_island"))
+    return island.groupBy(*by, "row", "_island").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_island")
+
+
+#: Rows and columns of a tile that one task labels.
+TILE = 1024
+
+
+def touching(row: np.ndarray, c0: np.ndarray, c1: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs (sorted by row and column, disjoint) in rows one after the other that touch; reach 1 counts corners."""
+    wide = 1 << 33
+    lo = np.searchsorted(row * wide + c1 + reach, (row + 1) * wide + c0)
+    hi = np.searchsorted(row * wide + c0, (row + 1) * wide + c1 + reach, side="right")
+    n = np.maximum(hi - lo, 0)
+    first = np.repeat(np.arange(len(row)), n)
+    return first, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 and edges a-b the least node of each one's component."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def label_runs(cells: DataFrame, *by: str, diagonal: bool = False) -> DataFrame:
-    """Runs with their component: the least run number of it. A run's number is row * 2^32 + first column."""
+    """Runs (cut where a tile ends) with their component: the least run number of it. A run's number is row * 2^32 + first column,
+    with groups a hash of group, row and column.
+
+    Each tile is labelled in one task; only touching pairs of runs in different tiles go to the distributed graph.
+    """
     reach = 1 if diagonal else 0
-    number = F.col("row").cast("long") * (1 << 32) + F.col("c0")
-    groups = {b: F.col(b) for b in by}
-    own = runs(cells, *by).withColumn("run", number)
-    if by:  # numbers must differ between groups
-        own = own.withColumn("run", F.col("run") * 64 + F.pmod(F.coalesce(*groups.values()).cast("long"), F.lit(64)))
-    above = own.select(*[F.col(b).alias(f"a_{b}") for b in by], (F.col("row") + 1).alias("a_row"), F.col("c0").alias("a_c0"), F.col("c1").alias("a_c1"), F.col("run").alias("a_run"))
-    touch = (F.col("row") == F.col("a_row")) & (F.col("c0") <= F.col("a_c1") + reach) & (F.col("a_c0") <= F.col("c1") + reach)
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
+    number = F.xxhash64(*by, "row", "c0") if by else F.col("row").cast("long") * (1 << 32) + F.col("c0")
+    own = runs(cells.withColumn("tile_col", tile("col")), *by, "tile_col").withColumn("tile_row", tile("row")).withColumn("run", number)
+    keys = [*by, "tile_row", "tile_col"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+
+    def labelled(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["row", "c0"]).reset_index(drop=True)
+        at = [rows[c].to_numpy(np.int64) for c in ("row", "c0", "c1")]
+        run = rows["run"].to_numpy(np.int64)
+        order = np.argsort(run)  # the least run number of a component is its label
+        place = np.empty(len(run), np.int64)
+        place[order] = np.arange(len(run))
+        a, b = touching(*at, reach)
+        return rows.assign(local=run[order][least_labels(len(run), place[a], place[b])[place]])
+
+    own = stored(own.groupBy(*keys).applyInPandas(labelled, f"{kinds}, local long"))
+    other = own.select(*[F.col(b).alias(f"o_{b}") for b in by], *[F.col(c).alias(f"o_{c}") for c in ("row", "c0", "c1", "local")])
+    same = F.lit(True)
     for b in by:
-        touch = touch & (F.col(b) == F.col(f"a_{b}"))
-    edges = own.join(above, touch).select(F.col("run").alias("a"), F.col("a_run").alias("b"))
-    found = graph_components(edges)
-    return own.join(found, F.col("run") == F.col("node"), "left").withColumn("component", F.coalesce("component", "run")).drop("node")
+        same = same & (F.col(b) == F.col(f"o_{b}"))
+    down = own.filter(F.col("row") % TILE == TILE - 1).join(other, same & (F.col("o_row") == F.col("row") + 1) & (F.col("c0") <= F.col("o_c1") + reach) & (F.col("o_c0") <= F.col("c1") + reach))
+    ends = own.filter((F.col("c1") + 1) % TILE == 0)
+    across = [ends.join(other, same & (F.col("o_row") == F.col("row") + d) & (F.col("o_c0") == F.col("c1") + 1)) for d in range(-reach, reach + 1)]
+    edges = reduce(lambda x, y: x.unionByName(y), [t.select(F.col("local").alias("a"), F.col("o_local").alias("b")) for t in (down, *across)])
+    edges = stored(edges.filter("a <> b").distinct())
+    if not edges.take(1):
+        return own.withColumnRenamed("local", "component").drop("tile_row", "tile_col")
+    met = own.join(graph_components(edges), F.col("local") == F.col("node"), "left")
+    return met.withColumn("component", F.coalesce("component", "local")).drop("node", "local", "tile_row", "tile_col")
 
 
 def component_sizes(cells: DataFrame, *by: str, diagonal: bool = False) -> DataFrame:

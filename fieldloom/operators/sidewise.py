@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators import morphology, zones
+from fieldloom.operators import missions, morphology, zones
 
 WIDTH_M, MIN_SWATH_M, WAYPOINT_M, CELL_M, VEHICLE_M, SPEED = 1.2, 1.0, 0.5, 0.5, 0.4, 0.5
 
@@ -82,6 +83,23 @@ def scanline_swaths(rings: DataFrame, angle: float, spacing: float = WIDTH_M, le
     return turned(out, angle, ("x1", "y1"), ("x2", "y2"), about=about)
 
 
+def cells_in_rings(rings: DataFrame, cell_m: float, *keys: str) -> DataFrame:
+    """keys, row, col: the cells whose centre lies inside the rings by crossing parity, holes left out.
+
+    Each row of cell centres is cut by the rings' sides (a side counts for min y <= centre < max y); the cells between an odd
+    crossing and the next one are inside (x <= centre < x of the next).
+    """
+    e = edges(rings, *keys).filter("y1 <> y2")
+    low, high = F.least("y1", "y2") / cell_m - 0.5, F.greatest("y1", "y2") / cell_m - 0.5
+    hits = e.filter(F.ceil(low) <= F.ceil(high) - 1).select("*", F.explode(F.sequence(F.ceil(low).cast("int"), F.ceil(high).cast("int") - 1)).alias("row"))
+    y = (F.col("row") + 0.5) * cell_m
+    x = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    w = Window.partitionBy(*keys, "row").orderBy("x")
+    at = hits.select(*keys, "row", x.alias("x")).withColumn("i", F.row_number().over(w)).withColumn("to", F.lead("x").over(w)).filter("i % 2 = 1")
+    first, last = F.ceil(F.col("x") / cell_m - 0.5).cast("int"), F.ceil(F.col("to") / cell_m - 0.5).cast("int") - 1
+    return at.filter(first <= last).select(*keys, "row", F.explode(F.sequence(first, last)).alias("col"))
+
+
 def snake_rows(swaths: DataFrame, *keys: str) -> DataFrame:
     """mission_order by row_index; every second row that has swaths is driven from its far end, each piece turned."""
     odd = (F.dense_rank().over(Window.partitionBy(*keys).orderBy("row_index")) - 1) % 2 == 1
@@ -120,6 +138,60 @@ def judged_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys:
     return lines.join(out, [*keys, "mission_order"], "left").withColumn("direct", F.col("_out").isNull()).drop("_out")
 
 
+#: Metres that a path may leave its connector's box by: at least MARGIN_M, or this share of its length.
+MARGIN_M, MARGIN_SHARE = 45.0, 0.35
+
+
+def routed_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys: str, risk: DataFrame | None = None) -> DataFrame:
+    """keys, mission_order, status, points: a connector is direct if the region covers it, routed if a path inside the region
+    leads from its first to its last cell (each within MARGIN_M of the connector's box), else failed, without points.
+
+    Only connectors that aren't direct are searched, each in a task's group of its own with its window of the region's cells. Points
+    are the ends and the centres of the cells where the path turns.
+    """
+    judged = judged_connectors(lines, region, cell_m, *keys)
+    point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ends = F.array(point("x1", "y1"), point("x2", "y2"))
+    direct = judged.filter("direct").select(*keys, "mission_order", F.lit("direct").alias("status"), ends.alias("points"))
+    cell = lambda c: F.floor(F.col(c) / cell_m).cast("int")
+    legs = judged.filter("not direct").select(*keys, "mission_order", "x1", "y1", "x2", "y2", cell("y1").alias("ar"), cell("x1").alias("ac"), cell("y2").alias("br"), cell("x2").alias("bc"))
+    span = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * MARGIN_SHARE
+    legs = legs.withColumn("reach", F.ceil(F.greatest(F.lit(MARGIN_M), span) / cell_m).cast("int"))
+    grid = region.select(*keys, "row", "col").distinct()
+    costs = grid.join(corridor_grid(region, risk), ["row", "col"])
+    near = [F.col(f"l_{k}") == F.col(k) for k in keys]
+    for at, a, b in (("row", "ar", "br"), ("col", "ac", "bc")):
+        near.append(F.col(at).between(F.least(a, b) - F.col("reach"), F.greatest(a, b) + F.col("reach")))
+    cells = legs.select(*[F.col(k).alias(f"l_{k}") for k in keys], "mission_order", "ar", "ac", "br", "bc", "reach").join(costs, near).select(*[F.col(k).alias(f"c_{k}") for k in keys], F.col("mission_order").alias("c_mission_order"), "row", "col", "cost")
+    group = [*keys, "mission_order"]
+    kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in group)
+
+    def run(key: tuple, leg: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(leg):
+            return pd.DataFrame(columns=[*group, "status", "points"])
+        a = leg.iloc[0]
+        cost = dict(zip(zip(near["row"].tolist(), near["col"].tolist(), strict=True), near["cost"].tolist(), strict=True))
+        path = missions.shortest_path(cost, (int(a.ar), int(a.ac)), (int(a.br), int(a.bc)), 2**0.5)
+        if path is None:
+            return pd.DataFrame({**dict(zip(group, [[k] for k in key], strict=True)), "status": ["failed"], "points": [[]]})
+        turns = [p for o, p, q in zip(path, path[1:], path[2:], strict=False) if (p[0] - o[0], p[1] - o[1]) != (q[0] - p[0], q[1] - p[1])]
+        points = [(a.x1, a.y1), *[((c + 0.5) * cell_m, (r + 0.5) * cell_m) for r, c in turns], (a.x2, a.y2)]
+        return pd.DataFrame({**dict(zip(group, [[k] for k in key], strict=True)), "status": ["routed"], "points": [[{"x": float(x), "y": float(y)} for x, y in points]]})
+
+    routed = legs.groupBy(*group).cogroup(cells.groupBy(*[f"c_{k}" for k in group])).applyInPandas(run, f"{kinds}, status string, points array<struct<x:double,y:double>>")
+    return direct.unionByName(routed)
+
+
+def patch_routes(swaths: DataFrame, links: DataFrame, *keys: str) -> DataFrame:
+    """keys, mission_order, segment_type, x1, y1, x2, y2: each swath, then its connector's hops; failed connectors leave a gap."""
+    p = F.col("points")
+    hops = links.filter(F.size(p) > 1).select(*keys, "mission_order", F.posexplode(F.arrays_zip(F.slice(p, 1, F.size(p) - 1).alias("a"), F.slice(p, 2, F.size(p)).alias("b"))).alias("hop", "e"))
+    hops = hops.select(*keys, "mission_order", "hop", F.lit("connector").alias("segment_type"), F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+    own = swaths.select(*keys, "mission_order", F.lit(-1).alias("hop"), F.lit("swath").alias("segment_type"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("mission_order", "hop"))
+    return own.unionByName(hops).withColumn("mission_order", order.cast("int")).drop("hop")
+
+
 def corridor_grid(region: DataFrame, risk: DataFrame | None = None) -> DataFrame:
     """row, col, cost of a region's cells: 1 + 5 * risk, risk clipped to [0, 1], 1 where it is missing."""
     if risk is None:

@@ -99,9 +99,9 @@ def davies_bouldin(spark, sf_dir):
 
 @query("""SELECT round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette, count(*) AS n FROM (SELECT i, max(own_n) n, max(CASE WHEN own THEN total / greatest(own_n - 1, 1) END) a, min(CASE WHEN NOT own THEN total / cnt END) b FROM
  (SELECT x.i, x.label = y.label own, y.label, sum(sqrt(""" + _D("x", "y") + """)) total, count(*) cnt, CASE WHEN x.label = y.label THEN count(*) END own_n FROM sm x, sm y GROUP BY x.i, x.label, y.label) GROUP BY i)""",
-       f"""{_PT},{_LB}, sm AS (SELECT *, row_number() OVER () i FROM (SELECT * FROM hd ORDER BY md5(CAST("row" AS VARCHAR) || ',' || CAST(col AS VARCHAR)), "row", col LIMIT 600))""")
+       f"""{_PT},{_LB}, sm AS (SELECT *, row_number() OVER () i FROM (SELECT * FROM hd ORDER BY md5(CAST("row" AS VARCHAR) || ',' || CAST(col AS VARCHAR)), "row", col LIMIT 5000))""")
 def silhouette_sample(spark, sf_dir):
-    return rounded(Q.silhouette(hard(spark, sf_dir), 600), "silhouette")
+    return rounded(Q.silhouette(hard(spark, sf_dir)), "silhouette")
 
 
 @query("SELECT round(min(n) / max(n), 6) AS balance, round(-sum(p * log2(p + 1e-12)), 6) AS entropy FROM (SELECT n, n / sum(n) OVER () p FROM (SELECT count(*) n FROM z WHERE zone > 0 GROUP BY zone))")
@@ -231,7 +231,7 @@ def fuzziness_sweep(spark, sf_dir):
         centres, steps = C.fuzzy_means(p, K, m, 100)
         u = C.memberships(p, centres, m)
         labelled = u.withColumn("label", (F.array_position("u", F.array_max("u")) - 1).cast("int"))
-        one = Q.fuzzy_indices(u, centres).crossJoin(Q.silhouette(labelled, 500).drop("n"))  # one row each
+        one = Q.fuzzy_indices(u, centres).crossJoin(Q.silhouette(labelled).drop("n"))  # one row each
         out.append(one.withColumn("m", F.lit(m)).withColumn("iterations", F.lit(steps)))
     return reduce(lambda a, b: a.unionByName(b), out)
 
@@ -242,13 +242,13 @@ def k_sweep(spark, sf_dir):
     for k in range(2, 7):
         centres = C.lloyd(p, k, 10)
         labelled = C.nearest_centre(p, centres)
-        one = Q.inertia(p, centres).crossJoin(Q.calinski_harabasz(labelled)).crossJoin(Q.davies_bouldin(labelled)).crossJoin(Q.silhouette(labelled, 500).drop("n"))  # one row each
+        one = Q.inertia(p, centres).crossJoin(Q.calinski_harabasz(labelled)).crossJoin(Q.davies_bouldin(labelled)).crossJoin(Q.silhouette(labelled).drop("n"))  # one row each
         out.append(one.withColumn("k", F.lit(k)))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def _quality(labelled, name):
-    one = Q.silhouette(labelled, 500).drop("n").crossJoin(Q.davies_bouldin(labelled)).crossJoin(Q.calinski_harabasz(labelled)).crossJoin(Q.variance_reduction(labelled))  # one row each
+    one = Q.silhouette(labelled).drop("n").crossJoin(Q.davies_bouldin(labelled)).crossJoin(Q.calinski_harabasz(labelled)).crossJoin(Q.variance_reduction(labelled))  # one row each
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((F.min("n") / F.max("n")).alias("balance"))
     return one.crossJoin(sizes).withColumn("method", F.lit(name))
 
@@ -304,6 +304,6 @@ def best_per_metric(spark, sf_dir):
     return long.groupBy("metric").agg(F.max_by("method", F.when(F.col("metric").isin("db", "inertia"), -F.col("value")).otherwise(F.col("value"))).alias("best"))
 
 
-@query("""SELECT "row", col FROM f WHERE ndre > 0.1 ORDER BY md5(CAST("row" AS VARCHAR) || ',' || CAST(col AS VARCHAR)), "row", col LIMIT 300""")
+@query("""SELECT "row", col FROM f WHERE ndre > 0.1 ORDER BY md5(CAST("row" AS VARCHAR) || ',' || CAST(col AS VARCHAR)), "row", col LIMIT 30000""")
 def random_sample(spark, sf_dir):
-    return Z.canopy(pixels(spark, sf_dir)).orderBy(hash_order(), "row", "col").limit(300).select("row", "col")
+    return Z.canopy(pixels(spark, sf_dir)).orderBy(hash_order(), "row", "col").limit(30_000).select("row", "col")

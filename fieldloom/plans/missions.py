@@ -100,7 +100,8 @@ def astar_transitions(spark, sf_dir):
     return P.connected(chain, stored(M.cost_grid(z, "nitrogen")))
 
 
-@query()
+@query("""SELECT CAST(round((SELECT sum(x2 - x1) FROM sg)) AS DOUBLE) AS length_m, round(100.0 * count(*) FILTER (EXISTS (SELECT 1 FROM sg WHERE y1 BETWEEN z."row" - 8 AND z."row" + 8 AND abs(y1 - z."row") + greatest(x1 - z.col, z.col - x2, 0) <= 8)) / count(*), 1) AS served_pct FROM z WHERE zone >= 1""",
+       f"{_CORRIDOR}, ca AS ({_RUNS.format('cr', '')}), ta AS ({_RUNS.format('z', ' AND zone > 0')}), sg AS (SELECT * FROM ca WHERE (SELECT count(*) FROM ca) >= 3 UNION ALL SELECT * FROM ta WHERE (SELECT count(*) FROM ca) < 3)", True)
 def mission_coverage(spark, sf_dir):
     z = stored(zoned(spark, sf_dir))
     return P.served(P.swaths(z, "water"), Z.target(z, "water"), z)
@@ -184,16 +185,18 @@ def patch_route(spark, sf_dir):
     return swaths, S.connectors(swaths, "side_id", "patch_id")
 
 
-def whole_route(spark, sf_dir):
+def planned(spark, sf_dir):
+    """The route of every patch, its connectors straight where the patch covers them and by a path inside it elsewhere; and the connectors without any."""
     swaths, links = patch_route(spark, sf_dir)
-    cols = ["side_id", "patch_id", "mission_order", "x1", "y1", "x2", "y2"]
-    # a connector follows its swath in the order
-    both = swaths.select(*cols, F.lit("swath").alias("segment_type")).unionByName(links.select(*cols, F.lit("connector").alias("segment_type")))
-    order = F.row_number().over(Window.partitionBy("side_id", "patch_id").orderBy("mission_order", F.desc("segment_type")))
-    return stored(both.withColumn("mission_order", order.cast("int")))
+    judged = stored(S.routed_connectors(links, _target(spark, sf_dir), 1.0, "side_id", "patch_id"))
+    return stored(S.patch_routes(swaths, judged, "side_id", "patch_id")), judged.filter("status = 'failed'")
+
+
+def whole_route(spark, sf_dir):
+    return planned(spark, sf_dir)[0]
 
 
-_ROUTE = _SIDE_PATCH + """, pp AS (SELECT pc.grp side_id, pn.patch_id, "row", col FROM pc JOIN pn ON pn.grp = pc.grp AND pn.root = pc.root WHERE patch_id <= 6),
+_ROUTE = _SIDE_PATCH + """, pp AS (SELECT pc.grp side_id, pn.patch_id, "row", col FROM pc JOIN pn ON pn.grp = pc.grp AND pn.root = pc.root),
  ru AS (SELECT side_id, patch_id, "row", min(col) c0, max(col) c1 FROM (SELECT *, col - row_number() OVER (PARTITION BY side_id, patch_id, "row" ORDER BY col) k FROM pp) GROUP BY side_id, patch_id, "row", k HAVING count(*) > 1),
  od AS (SELECT *, (dense_rank() OVER (PARTITION BY side_id, patch_id ORDER BY "row") - 1) % 2 = 1 odd FROM ru),
  rt AS (SELECT side_id, patch_id, row_number() OVER (PARTITION BY side_id, patch_id ORDER BY "row", CASE WHEN odd THEN -c0 ELSE c0 END) o, CASE WHEN odd THEN c1 ELSE c0 END + 0.5 x1, "row" + 0.5 y1, CASE WHEN odd THEN c0 ELSE c1 END + 0.5 x2 FROM od)"""
@@ -201,14 +204,13 @@ _ROUTE = _SIDE_PATCH + """, pp AS (SELECT pc.grp side_id, pn.patch_id, "row", co
 
 @query("SELECT side_id, CAST(patch_id AS INT) AS patch_id, CAST(o AS INT) AS mission_order, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x2 AS DOUBLE) AS x2 FROM rt", _ROUTE, True)
 def snake_rows(spark, sf_dir):
-    """The SQL asks for the six largest patches of each side; the routes and metrics below are of all patches."""
-    return patch_route(spark, sf_dir)[0].filter("patch_id <= 6").select("side_id", "patch_id", "mission_order", "x1", "y1", "x2")
+    return patch_route(spark, sf_dir)[0].select("side_id", "patch_id", "mission_order", "x1", "y1", "x2")
 
 
 @query("""SELECT side_id, CAST(patch_id AS INT) AS patch_id, count(*) AS points, round(sum(x), 6) AS sum_x, round(sum(y), 6) AS sum_y FROM (SELECT side_id, patch_id, x1 + i / n * (x2 - x1) x, y1 y FROM
  (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) i FROM (SELECT *, greatest(1, ceil(abs(x2 - x1) / 0.5)) n FROM rt))) GROUP BY 1, 2""", _ROUTE, True)
 def waypoint_totals(spark, sf_dir):
-    w = S.waypoints(patch_route(spark, sf_dir)[0].filter("patch_id <= 6"), S.WAYPOINT_M, "side_id", "patch_id")
+    w = S.waypoints(patch_route(spark, sf_dir)[0], S.WAYPOINT_M, "side_id", "patch_id")
     return rounded(w.groupBy("side_id", "patch_id").agg(F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y")), "sum_x", "sum_y")
 
 
@@ -234,10 +236,8 @@ def side_metrics(spark, sf_dir):
 
 @query()
 def mission_metrics(spark, sf_dir):
-    t = _target(spark, sf_dir)
-    _, links = patch_route(spark, sf_dir)
-    failed = S.judged_connectors(links, t, 1.0, "side_id", "patch_id").filter("not direct")
-    return S.mission_metrics(whole_route(spark, sf_dir), t, failed)
+    route, failed = planned(spark, sf_dir)
+    return S.mission_metrics(route, _target(spark, sf_dir), failed)
 
 
 @query()
@@ -254,17 +254,24 @@ def corridor_costs(spark, sf_dir):
 
 
 @query("""SELECT id, CAST(s.d2 AS BIGINT) AS d2, s.r AS f_row, s.c AS f_col FROM (SELECT p.id, min({'d2': (q."row" - p."row") ** 2 + (q.col - p.col) ** 2, 'r': q."row", 'c': q.col}) s FROM
- (SELECT CAST("row" AS BIGINT) * 1000 + col id, "row", col FROM f WHERE ndre <= 0.1 AND col % 5 = 0) p JOIN f q ON q.ndre > 0.5 AND abs(q."row" - p."row") <= 8 AND abs(q.col - p.col) <= 8 GROUP BY p.id)""")
+ (SELECT CAST("row" AS BIGINT) * 1000 + col id, "row", col FROM f WHERE ndre <= 0.1) p JOIN f q ON q.ndre > 0.5 AND abs(q."row" - p."row") <= 8 AND abs(q.col - p.col) <= 8 GROUP BY p.id)""")
 def nearest_free_cell(spark, sf_dir):
     px = pixels(spark, sf_dir)
-    points = px.filter("ndre <= 0.1 and col % 5 = 0").select((F.col("row").cast("long") * 1000 + F.col("col")).alias("id"), "row", "col")
+    points = px.filter("ndre <= 0.1").select((F.col("row").cast("long") * 1000 + F.col("col")).alias("id"), "row", "col")
     return S.nearest_free(points, px.filter("ndre > 0.5"))
 
 
-@query()
+_PARTS = """ isl AS (SELECT "row", col, col - row_number() OVER (PARTITION BY "row" ORDER BY col) k FROM f WHERE ndre > 0.1),
+ rn AS (SELECT "row", min(col) c0, max(col) c1, CAST("row" AS BIGINT) * 4294967296 + min(col) run FROM isl GROUP BY "row", k),
+ ed AS (SELECT a.run a, b.run b FROM rn a JOIN rn b ON abs(a."row" - b."row") = 1 AND a.c0 <= b.c1 AND b.c0 <= a.c1),
+ re AS (SELECT run node, run root FROM rn UNION SELECT ed.b, re.root FROM re JOIN ed ON ed.a = re.node AND re.root < ed.b),
+ pt AS (SELECT root, CAST(sum(c1 - c0 + 1) AS BIGINT) cells, sum((c1 - c0 + 1) * "row") * 1.0 / sum(c1 - c0 + 1) y FROM (SELECT node, min(root) root FROM re GROUP BY node) JOIN rn ON run = node GROUP BY root)"""
+
+
+@query("SELECT CAST(side_id AS INT) AS side_id, cells, round(y, 6) AS y FROM (SELECT *, row_number() OVER (ORDER BY y, cells DESC, root) side_id FROM pt) WHERE side_id <= 2", _PARTS, True)
 def side_split(spark, sf_dir):
     """The two southernmost connected parts of the canopy."""
-    return S.split_sides(Z.canopy(pixels(spark, sf_dir))).groupBy("side_id").agg(F.count(F.lit(1)).alias("cells"), F.avg("row").alias("y"))
+    return rounded(S.split_sides(Z.canopy(pixels(spark, sf_dir))).groupBy("side_id").agg(F.count(F.lit(1)).alias("cells"), F.avg("row").alias("y")), "y")
 
 
 def final_metrics(spark, sf_dir):
@@ -321,7 +328,8 @@ def zone_legend(spark, sf_dir):
     return zoned(spark, sf_dir).filter("zone > 0").groupBy("zone").agg(F.count(F.lit(1)).alias("n")).select("zone", F.element_at(names, F.col("zone")).alias("vigour"), "n")
 
 
-@query()
+@query("SELECT 'field' AS stage, count(*) AS n FROM fm UNION ALL SELECT 'target', count(*) FROM z WHERE zone >= 1 UNION ALL SELECT 'corridor', count(*) FROM cr UNION ALL SELECT 'swaths', count(*) FROM ca",
+       f"{_CORRIDOR}, ca AS ({_RUNS.format('cr', '')})", True)
 def stage_view(spark, sf_dir):
     """Cells of each planning stage on the water rule: field, target, corridor, swaths."""
     z = stored(zoned(spark, sf_dir))

@@ -119,9 +119,9 @@ def sparse_tiles_skipped(spark, sf_dir):
 
 @query("""SELECT "row", col FROM (SELECT "row", col, row_number() OVER (PARTITION BY wr, wc ORDER BY "row", col) rn, count(*) OVER (PARTITION BY wr, wc) n FROM
  (SELECT "row", col, "row" // sh wr, col // sw wc, "row" % sh dr, col % sw dc FROM f, (SELECT greatest(1, (max("row") + 1) // 6) sh, greatest(1, (max(col) + 1) // 6) sw FROM f) WHERE ndre > 0.1)
- WHERE wr < 6 AND wc < 6 AND dr < 512 AND dc < 512) WHERE n > 50 AND (rn - 1) % 10 = 0 ORDER BY md5(CAST("row" AS VARCHAR) || ',' || CAST(col AS VARCHAR)), "row", col LIMIT 500""")
+ WHERE wr < 6 AND wc < 6 AND dr < 512 AND dc < 512) WHERE n > 50 AND (rn - 1) % 10 = 0 ORDER BY md5(CAST("row" AS VARCHAR) || ',' || CAST(col AS VARCHAR)), "row", col LIMIT 15000""")
 def training_sample(spark, sf_dir):
-    return R.training_sample(pixels(spark, sf_dir), F.col("ndre") > 0.1, most=500).select("row", "col")
+    return R.training_sample(pixels(spark, sf_dir), F.col("ndre") > 0.1).select("row", "col")
 
 
 @query("""SELECT zone, round(q1, 9) AS q1, round(m, 9) AS median, round(q3, 9) AS q3, min(ndvi) FILTER (ndvi >= q1 - 1.5 * (q3 - q1)) AS low, max(ndvi) FILTER (ndvi <= q3 + 1.5 * (q3 - q1)) AS high

@@ -80,6 +80,16 @@ def write_metrics(table: DataFrame, path: str) -> None:
     table.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def inventory(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """path, exists and kb (to one place, null if missing) of files or folders below root."""
+    rows = []
+    for n in names:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}")
+        found = exists(spark, f"{root}/{n}")
+        rows.append((n, found, round(where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength() / 1024, 1) if found else None))
+    return spark.createDataFrame(rows, "path string, exists boolean, kb double")
+
+
 def read_cache(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame | None]:
     """The artefacts of a run by name; one that wasn't written is None."""
     return {n: spark.read.parquet(f"{root}/{n}") if exists(spark, f"{root}/{n}") else None for n in names}

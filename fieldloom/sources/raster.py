@@ -153,6 +153,24 @@ def resample_risk(cells: DataFrame, points: DataFrame, resolution: float = 0.5)
     return cells.join(per, ["row", "col"], "left").withColumn("risk", F.least(F.greatest(F.coalesce("risk", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)))
 
 
+def crop(pixels: DataFrame, inside: DataFrame, value: str) -> DataFrame:
+    """row, col (from 0 in the box of the inside cells) and `value`, 0 in cells of the box that aren't inside."""
+    box = inside.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    boxed = pixels.crossJoin(F.broadcast(box)).filter(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))  # one row
+    met = boxed.join(inside.select("row", "col", F.lit(True).alias("in")).distinct(), ["row", "col"], "left")
+    return met.select((F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), F.when(F.col("in"), F.col(value)).otherwise(0.0).alias(value))
+
+
+def rgb_preview(pixels: DataFrame, bands: list[str], step: int) -> DataFrame:
+    """row, col, red, green, blue: at most three bands (one band serves for all three), decimated, clipped to their joint 2nd and 98th percentile."""
+    names = [*bands, *[bands[0]] * 2][:3] if len(bands) == 1 else bands[:3]
+    small = decimate_nearest(pixels.select("row", "col", *dict.fromkeys(names)), step)
+    values = small.select(F.explode(F.array(*names)).alias("v")).agg(F.percentile("v", F.lit(0.02)).alias("p2"), F.percentile("v", F.lit(0.98)).alias("p98"))
+    met = small.crossJoin(F.broadcast(values))  # one row
+    stretched = [F.least(F.greatest((F.col(n) - F.col("p2")) / (F.col("p98") - F.col("p2") + 1e-6), F.lit(0.0)), F.lit(1.0)) for n in names]
+    return met.select("row", "col", *[c.alias(n) for c, n in zip(stretched, ("red", "green", "blue"), strict=False)])
+
+
 def valid_elevation() -> Column:
     return F.when(F.col("elev") > 0, F.col("elev"))
 

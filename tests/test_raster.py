@@ -201,3 +201,87 @@ def test_routes_and_metrics_hold_all_patches(spark, monkeypatch):
     got = {r["patch_id"]: (r["swaths"], r["target_cells"], r["covered_cells"]) for r in plans.patch_metrics(spark, "").collect()}
     assert got == {p: (2, 8, 8) for p in range(1, 10)}
     assert plans.mission_metrics(spark, "").first()["target_cells"] == len(cells)
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_components_across_tiles(spark, monkeypatch, tile, diagonal):
+    monkeypatch.setattr(morphology, "TILE", tile)
+    for seed in (3, 8):
+        cells = sorted(k for k, v in random_mask(seed, 13, 18, 0.5).items() if v)
+        rows = [(g, r, c) for g in (1, 65) for r, c in cells]  # group numbers 64 apart
+        got = morphology.label_cells(grid(spark, rows, ("g", "row", "col"), ("int",) * 3), "g", diagonal=diagonal).collect()
+        parts = {}
+        for r in got:
+            parts.setdefault((r["g"], r["component"]), set()).add((r["row"], r["col"]))
+        want = sorted(sorted(p) for p in flood(cells, diagonal))
+        for g in (1, 65):
+            assert sorted(sorted(p) for (k, _), p in parts.items() if k == g) == want
+        assert not {c for k, c in parts if k == 1} & {c for k, c in parts if k == 65}
+
+
+def test_path_longer_than_the_window(spark):
+    """A wall that only a detour far outside the first window passes."""
+    cost = [(r, c, 1.0) for r in range(40) for c in range(9) if c != 4 or r == 39]
+    chain = spark.createDataFrame([("m", 0, 0.0, 0.0, 2.0, 0.0), ("m", 1, 6.0, 0.0, 8.0, 0.0), ("m", 2, 100.0, 0.0, 101.0, 0.0)], missions.SEGMENTS)
+    hops = missions.connected(chain, grid(spark, cost, ("row", "col", "cost"), ("int", "int", "double")), margin=3).collect()
+    first = sorted((h for h in hops if h["seq"] == 0), key=lambda h: h["hop"])
+    assert all(h["routed"] for h in first) and (first[0]["x1"], first[-1]["x2"]) == (2.0, 6.0) and max(h["y2"] for h in first) == 39.0
+    length = sum(math.hypot(h["x2"] - h["x1"], h["y2"] - h["y1"]) for h in first)
+    assert 78 <= length < 82
+    second = [h for h in hops if h["seq"] == 1]
+    assert len(second) == 1 and not second[0]["routed"]
+
+
+def test_routed_connectors(spark):
+    """A region shaped like a U: a connector across its gap goes round, one inside an arm stays straight, one to an island fails."""
+    cells = [(1, r, c) for r in range(12) for c in range(11) if c < 3 or c > 7 or r < 2] + [(1, 20, 20)]
+    region = grid(spark, cells, ("k", "row", "col"), ("int",) * 3)
+    lines = spark.createDataFrame([(1, 1, 1.5, 11.5, 9.5, 11.5), (1, 2, 1.5, 3.5, 1.5, 9.5), (1, 3, 1.5, 9.5, 20.5, 20.5)], "k int, mission_order int, x1 double, y1 double, x2 double, y2 double")
+    got = {r["mission_order"]: r for r in sidewise.routed_connectors(lines, region, 1.0, "k").collect()}
+    assert [got[i]["status"] for i in (1, 2, 3)] == ["routed", "direct", "failed"] and not got[3]["points"]
+    points = [(p["x"], p["y"]) for p in got[1]["points"]]
+    assert points[0] == (1.5, 11.5) and points[-1] == (9.5, 11.5) and min(y for _, y in points) < 2
+    inside = {(r, c) for _, r, c in cells}
+    for (x1, y1), (x2, y2) in zip(points, points[1:]):
+        for i in range(41):
+            assert (math.floor(y1 + i / 40 * (y2 - y1)), math.floor(x1 + i / 40 * (x2 - x1))) in inside
+    swaths = lines.select("k", "mission_order", "x1", "y1", "x2", "y2")
+    route = sidewise.patch_routes(swaths, sidewise.routed_connectors(lines, region, 1.0, "k"), "k").orderBy("mission_order").collect()
+    kinds = [r["segment_type"] for r in route]
+    assert kinds.count("swath") == 3 and kinds[0] == "swath" and kinds[-1] == "swath" and len(route) == 3 + (len(points) - 1) + 1
+
+
+def test_cells_in_rings(spark):
+    rings = [[(0.3, 0.2), (9.7, 1.1), (8.2, 8.8), (4.4, 3.9), (1.1, 9.3)], [(2.0, 2.0), (3.5, 2.2), (2.8, 3.6)]]
+    rows = [(1, i, [{"x": x, "y": y} for x, y in r]) for i, r in enumerate(rings)]
+    got = {(r["row"], r["col"]) for r in sidewise.cells_in_rings(spark.createDataFrame(rows, "k int, ring int, points array<struct<x:double,y:double>>"), 0.5, "k").collect()}
+    want = set()
+    for r in range(-2, 24):
+        for c in range(-2, 24):
+            x, y = (c + 0.5) * 0.5, (r + 0.5) * 0.5
+            odd = sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) / (y2 - y1) * (x2 - x1) for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]))
+            if odd % 2:
+                want.add((r, c))
+    assert got == want and len(got) > 100
+
+
+def test_files_round_trip(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    paths = {"nir": "/a/n.tif", "re": "/a/re.tif", "r": "r.tif", "g": "g.tif", "ndvi": "v.tif", "dem": None, "shape": None}
+    files.write_paths(spark, paths, f"{d}/paths")
+    assert files.read_paths(spark, f"{d}/paths") == paths
+    zones_ = spark.createDataFrame([("data", "kmeans", 0, 1, 2), ("data", "gmm", 3, 4, 1)], "dataset string, method string, row int, col int, zone int")
+    files.write_zones(zones_, f"{d}/zones")
+    back = files.read_cache(spark, d, ["zones", "dem"])
+    assert back["dem"] is None and sorted(tuple(r) for r in back["zones"].select(*zones_.columns).collect()) == sorted(tuple(r) for r in zones_.collect())
+    files.write_csv(zones_, f"{d}/csv")
+    assert sorted(tuple(r) for r in files.read_csv(spark, f"{d}/csv", "dataset string, method string, row int, col int, zone int").collect()) == sorted(tuple(r) for r in zones_.collect())
+    files.write_metrics(spark.createDataFrame([("T4", 3)], "season string, swaths long"), f"{d}/metrics")
+    assert [(r["season"], r["swaths"]) for r in files.read_json(spark, f"{d}/metrics", "season string, swaths long").collect()] == [("T4", 3)]
+    lines = spark.createDataFrame([(1, [{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 3.0}])], "patch_id int, geom array<struct<x:double,y:double>>")
+    import json
+
+    value = json.loads(files.to_geojson(lines, "patch_id").first()["value"])
+    assert value == {"type": "Feature", "properties": {"patch_id": 1}, "geometry": {"type": "LineString", "coordinates": [[0.0, 1.0], [2.0, 3.0]]}}
+    assert {r["path"]: r["exists"] for r in files.inventory(spark, d, ["zones", "none"]).collect()} == {"zones": True, "none": False}
