@@ -245,7 +245,8 @@ def test_routed_connectors(spark):
     inside = {(r, c) for _, r, c in cells}
     for (x1, y1), (x2, y2) in zip(points, points[1:]):
         for i in range(41):
-            assert (math.floor(y1 + i / 40 * (y2 - y1)), math.floor(x1 + i / 40 * (x2 - x1))) in inside
+            x, y = x1 + i / 40 * (x2 - x1), y1 + i / 40 * (y2 - y1)  # a cell's border belongs to it
+            assert any((math.floor(y + e), math.floor(x + d)) in inside for e in (-1e-9, 1e-9) for d in (-1e-9, 1e-9))
     swaths = lines.select("k", "mission_order", "x1", "y1", "x2", "y2")
     route = sidewise.patch_routes(swaths, sidewise.routed_connectors(lines, region, 1.0, "k"), "k").orderBy("mission_order").collect()
     kinds = [r["segment_type"] for r in route]
