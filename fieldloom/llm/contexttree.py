@@ -74,6 +74,24 @@ def _tokens(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], ends + 1])
 
 
+def packed(x: np.ndarray) -> bytes:
+    """The bytes of an array's numbers by their place, the lowest of all numbers first, so that runs of zeros compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.uint64), dtype=np.uint64)
+
+
 BLOBS = "bucket int, part int, block long, keys binary, counts binary"
 
 
@@ -96,7 +114,7 @@ def _counted(depth: int, buckets: int, groups: int):
             for i in range(buckets):
                 own = order[cut[i] : cut[i + 1]]
                 if len(own):
-                    rows.append((kind * buckets + i, key[0] % groups, key[0], keys[own].tobytes(), counts[own].tobytes()))
+                    rows.append((kind * buckets + i, key[0] % groups, key[0], packed_keys(keys[own]), packed(counts[own])))
         return pd.DataFrame(rows, columns=["bucket", "part", "block", "keys", "counts"])
 
     return run
@@ -167,8 +185,8 @@ class Subtrees:
 
 def _merged(rows: pd.DataFrame, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of all rows, ascending, and the sums of their counts."""
-    keys, inverse = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in rows["keys"]]), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(c, kind) for c in rows["counts"]])
+    keys, inverse = np.unique(np.concatenate([unpacked_keys(k) for k in rows["keys"]]), return_inverse=True)
+    counts = np.concatenate([unpacked(c, kind) for c in rows["counts"]])
     return keys, np.bincount(inverse, counts.astype(float), len(keys)).astype(np.int64)
 
 
@@ -178,7 +196,7 @@ PARTS = "bucket int, keys binary, counts binary"
 def _added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """A bucket's counts in one group of blocks."""
     keys, counts = _merged(rows, np.uint32)
-    return pd.DataFrame({"bucket": [key[0]], "keys": [keys.tobytes()], "counts": [counts.tobytes()]})
+    return pd.DataFrame({"bucket": [key[0]], "keys": [packed_keys(keys)], "counts": [packed(counts)]})
 
 
 #: Nodes of the levels of one context byte; the row of context -1 holds a word bucket's tokens and distinct words.
@@ -240,7 +258,7 @@ def _valued(depth: int, buckets: int):
                 kt = (np.where(tree.bit == 1, o[i], z[i]) + 0.5) / (z[i] + o[i] + 1)
                 p = w[i] * kt + (1 - w[i]) * p
             value = np.log10(p).reshape(-1, 8).sum(1).astype(np.float32)
-        return pd.DataFrame({"bucket": [key[0]], "keys": [keys.tobytes()], "value": [value.tobytes()], "tokens": [roof["tokens"].iloc[0]], "distinct": [roof["distinct"].iloc[0]]})
+        return pd.DataFrame({"bucket": [key[0]], "keys": [packed_keys(keys)], "value": [value.tobytes()], "tokens": [roof["tokens"].iloc[0]], "distinct": [roof["distinct"].iloc[0]]})
 
     return run
 
@@ -254,8 +272,8 @@ def _answered(buckets: int):
     def run(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=["bucket", "block", "value", "tokens", "distinct"])
-        keys, value = np.frombuffer(known["keys"].iloc[0], np.uint64), np.frombuffer(known["value"].iloc[0], np.float32 if key[0] < buckets else np.int64)
-        each = [value[np.searchsorted(keys, np.frombuffer(k, np.uint64))].tobytes() for k in rows["keys"]]
+        keys, value = unpacked_keys(known["keys"].iloc[0]), np.frombuffer(known["value"].iloc[0], np.float32 if key[0] < buckets else np.int64)
+        each = [value[np.searchsorted(keys, unpacked_keys(k))].tobytes() for k in rows["keys"]]
         return pd.DataFrame({"bucket": key[0], "block": rows["block"], "value": each, "tokens": known["tokens"].iloc[0], "distinct": known["distinct"].iloc[0]})
 
     return run
