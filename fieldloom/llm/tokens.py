@@ -10,6 +10,7 @@ The place of the vocabulary file is a parameter.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -62,10 +63,11 @@ class Encoder:
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.by_pieces = isinstance(self.whole.pre_tokenizer, ByteLevel) and self.whole.normalizer is None and not self.whole.pre_tokenizer.add_prefix_space
         self.dtype = np.uint16 if self.whole.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype == np.uint16 else "I"
         self.cache = _Pieces(self)
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self.pack(self.whole.encode(text, add_special_tokens=False).ids)
@@ -96,6 +98,7 @@ class _Pieces(dict):
     def __init__(self, owner: Encoder) -> None:
         self.whole, self.pack, self.tokenize = owner._whole, owner.pack, owner.whole.model.tokenize
         self.table = _byte_letters()
+        self.space = self.table[0x20]
         self.older: dict[str, bytes] = {}
 
     def age(self) -> None:
@@ -108,8 +111,8 @@ class _Pieces(dict):
         first = key[:1] == "\0"
         word = key[1:] if first else key
         if m := _PLAIN.match(word):
-            head = ("" if first else " ") + m[1]
-            ids = self.pack([t.id for t in self.tokenize(head.encode().decode("latin-1").translate(self.table))])
+            letters = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(self.table)
+            ids = self.pack([t.id for t in self.tokenize(letters if first else self.space + letters)])
             if m[2]:
                 ids += self._marks(m[2])
         elif first and not word:
