@@ -2,8 +2,8 @@
 
 A byte-level BPE splits a text into pieces before merging and never merges across them, so a text's ids are
 the ids of its pieces in order. Between a character that is no white space and a following space there is
-always such a border; texts are cut there, each distinct piece is encoded once by the library and kept in a
-bounded cache of the worker process. Texts in which the cut could fall inside a run of white space are encoded whole.
+always such a border, and a single line feed between two others is a piece of its own; texts are cut there, each distinct
+piece is encoded once by the library and kept in a bounded cache of the worker process. Texts in which the cut could fall inside a run of white space are encoded whole.
 The place of the vocabulary file is a parameter.
 """
 
@@ -98,7 +98,7 @@ class _Pieces(dict):
     def __init__(self, owner: Encoder) -> None:
         self.whole, self.pack, self.tokenize = owner._whole, owner.pack, owner.whole.model.tokenize
         self.table = _byte_letters()
-        self.space = self.table[0x20]
+        self.space, self.feed = self.table[0x20], self.whole("\n")
         self.older: dict[str, bytes] = {}
 
     def age(self) -> None:
@@ -111,14 +111,19 @@ class _Pieces(dict):
         first = key[:1] == "\0"
         word = key[1:] if first else key
         if m := _PLAIN.match(word):
-            letters = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(self.table)
-            ids = self.pack([t.id for t in self.tokenize(letters if first else self.space + letters)])
-            if m[2]:
-                ids += self._marks(m[2])
+            plain, marks = m.groups()
+            ids = self.get("\0" + plain if first else plain) if marks else None
+            if ids is None:
+                letters = plain if plain.isascii() else plain.encode().decode("latin-1").translate(self.table)
+                ids = self.pack([t.id for t in self.tokenize(letters if first else self.space + letters)])
+            if marks:
+                ids += self._marks(marks)
         elif first and not word:
             ids = b""
         elif not word or word[0].isspace() and not first or word[-1].isspace():
             raise _Unsure
+        elif (cut := word.find("\n")) > 0 and not word[cut - 1].isspace() and not word[cut + 1].isspace():
+            ids = self["\0" + word[:cut] if first else word[:cut]] + self.feed + self["\0" + word[cut + 1 :]]
         else:
             ids = self.whole(word if first else " " + word)
         self[key] = ids
