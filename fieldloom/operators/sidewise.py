@@ -223,8 +223,24 @@ def waypoints(route: DataFrame, spacing: float = WAYPOINT_M, *keys: str) -> Data
     return pts.withColumn("waypoint_id", F.row_number().over(w).cast("long")).withColumn("speed_mps", F.lit(SPEED))
 
 
-def buffered_cells(lines: DataFrame, radius: float, cell_m: float, *keys: str) -> DataFrame:
-    """Cells whose centre lies within `radius` of a line, beside it (flat caps)."""
+def driven(lines: DataFrame, cell_m: float, *keys: str) -> DataFrame:
+    """keys, row, col, metres: the length of the lines in each cell, by steps of at most a quarter of a cell; a stretch driven twice counts twice."""
+    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    n = F.greatest(F.lit(1), F.ceil(length / (cell_m / 4))).cast("int")
+    steps = lines.withColumn("_n", n).withColumn("_m", length / F.col("_n")).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    f = (F.col("_i") - 0.5) / F.col("_n")
+    x, y = F.col("x1") + f * (F.col("x2") - F.col("x1")), F.col("y1") + f * (F.col("y2") - F.col("y1"))
+    cells = steps.select(*keys, F.floor(y / cell_m).cast("int").alias("row"), F.floor(x / cell_m).cast("int").alias("col"), "_m")
+    return cells.groupBy(*keys, "row", "col").agg(F.sum("_m").alias("metres"))
+
+
+def touched_cells(lines: DataFrame, radius: float, cell_m: float, *keys: str) -> DataFrame:
+    """Cells that the strip within `radius` beside a line (flat caps) overlaps: no side of cell or strip parts the two."""
+    return buffered_cells(lines, radius, cell_m, *keys, touched=True)
+
+
+def buffered_cells(lines: DataFrame, radius: float, cell_m: float, *keys: str, touched: bool = False) -> DataFrame:
+    """Cells whose centre lies within `radius` of a line, beside it (flat caps); if touched, all cells that this strip overlaps."""
     reach = math.ceil(radius / cell_m)
     x1, y1, x2, y2 = F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")
     rows = F.explode(F.sequence(F.floor(F.least(y1, y2) / cell_m).cast("int") - reach, F.floor(F.greatest(y1, y2) / cell_m).cast("int") + reach))
@@ -234,39 +250,74 @@ def buffered_cells(lines: DataFrame, radius: float, cell_m: float, *keys: str) -
     length2 = (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)
     along = ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / length2
     across = F.abs((px - x1) * (y2 - y1) - (py - y1) * (x2 - x1)) / F.sqrt(length2)
-    return near.filter((along >= 0) & (along <= 1) & (across <= radius)).select(*keys, "row", "col").distinct()
+    if not touched:
+        return near.filter((along >= 0) & (along <= 1) & (across <= radius)).select(*keys, "row", "col").distinct()
+    length, half = F.sqrt(length2), cell_m / 2
+    ux, uy = F.abs(x2 - x1) / length, F.abs(y2 - y1) / length
+    shadow = half * (ux + uy)  # half a cell, seen along or across the line
+    apart_x, apart_y = F.abs(px - (x1 + x2) / 2), F.abs(py - (y1 + y2) / 2)
+    overlaps = (F.abs(along - 0.5) * length < length / 2 + shadow) & (across < radius + shadow)
+    overlaps = overlaps & (apart_x < ux * length / 2 + uy * radius + half) & (apart_y < uy * length / 2 + ux * radius + half)
+    return near.filter(overlaps).select(*keys, "row", "col").distinct()
 
 
 def coverage(lines: DataFrame, target: DataFrame, width_m: float, cell_m: float, *keys: str) -> DataFrame:
-    """Per key: target cells, those within half the width of a line, and their share. Counts cells once, so sides aren't sums of patches."""
-    hit = buffered_cells(lines, width_m / 2, cell_m, *keys).withColumn("_hit", F.lit(1))
+    """Per key: target cells, those that the strip of this width along a line touches, and their share. Counts cells once, so sides aren't sums of patches."""
+    hit = touched_cells(lines, width_m / 2, cell_m, *keys).withColumn("_hit", F.lit(1))
     met = target.select(*keys, "row", "col").distinct().join(hit, [*keys, "row", "col"], "left")
     per = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("target_cells"), F.count("_hit").alias("covered_cells"))
     return per.withColumn("coverage_ratio", F.col("covered_cells") / F.col("target_cells"))
 
 
-def route_metrics(route: DataFrame, target: DataFrame, vegetation: DataFrame, cell_m: float, *keys: str) -> DataFrame:
-    """Per key (patch or side): lengths, swaths, connectors, cells outside the target, coverage and crop crossed by the vehicle."""
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    swath = F.col("segment_type") == "swath"
-    per = route.groupBy(*keys).agg(
-        F.count_if(swath).alias("swaths"), F.count_if(~swath).alias("connectors"), F.sum(length).alias("length_m"),
-        F.coalesce(F.sum(F.when(swath, length)), F.lit(0.0)).alias("swath_m"), F.coalesce(F.sum(F.when(~swath, length)), F.lit(0.0)).alias("connector_m"),
-    )
-    off = outside(route, target, cell_m, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("outside_cells"))
-    crossed = buffered_cells(route, VEHICLE_M, cell_m, *keys).join(vegetation.select("row", "col").distinct(), ["row", "col"], "left_semi").groupBy(*keys).agg((F.count(F.lit(1)) * cell_m * cell_m).alias("crop_m2"))
-    out = per.join(coverage(route.filter(swath), target, WIDTH_M, cell_m, *keys), list(keys), "left").join(off, list(keys), "left").join(crossed, list(keys), "left")
-    return out.withColumn("outside_cells", F.coalesce("outside_cells", F.lit(0)).cast("long")).withColumn("crop_m2", F.coalesce("crop_m2", F.lit(0.0))).withColumn("duration_min", F.col("length_m") / SPEED / 60)
+#: Labels of a finished mission and the metres outside the target that the first allows; fixed values.
+FEASIBLE, WARNED, OUTSIDE_M = "SIDEWISE_P80_CPP_WITHIN_DEMAND_REGIONS", "SIDEWISE_P80_CPP_WITH_MINOR_PATCH_CONNECTOR_WARNINGS", 0.5
 
 
-def mission_metrics(route: DataFrame, target: DataFrame, failed: DataFrame) -> DataFrame:
-    """One row: totals, failed connectors, and whether the mission is feasible."""
+def route_metrics(route: DataFrame, target: DataFrame, safe: DataFrame, vegetation: DataFrame, failed: DataFrame, cell_m: float, *keys: str) -> DataFrame:
+    """One row for each key (patch, side or mission) of the target, also those without a route: area, counts of swaths, route parts and
+    failed connectors, lengths, coverage by the sensor's strip, metres outside the own target, all targets and the safe area, and crop crossed.
+
+    A region with some of the keys as columns holds for these keys only.
+    """
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    totals = route.agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("segment_type") == "swath").alias("swaths"), F.sum(length).alias("length_m"))
-    area = target.agg(F.count(F.lit(1)).alias("target_cells"))
-    lost = failed.agg(F.count(F.lit(1)).alias("failed_connectors"))
-    label = F.when(F.col("failed_connectors") == 0, "feasible").when(F.col("swaths") == 0, "empty").otherwise("disconnected")
-    return totals.crossJoin(area).crossJoin(lost).withColumn("feasibility", label)  # one row each
+    swath, zero = F.col("segment_type") == "swath", F.lit(0.0)
+    parts = route.groupBy(*keys).agg(
+        F.count_if(swath).alias("swath_count"), F.count(F.lit(1)).alias("route_part_count"), F.sum(length).alias("path_length_m"),
+        F.sum(F.when(swath, length).otherwise(zero)).alias("swath_length_m"), F.sum(F.when(swath, zero).otherwise(length)).alias("connector_length_m"),
+    )
+    marked = driven(route, cell_m, *keys)
+    regions = {"own": target.select(*keys, "row", "col"), "all": target.select("row", "col"), "safe": safe, "crop": vegetation.select("row", "col")}
+    for name, region in regions.items():
+        on = [k for k in (*keys, "row", "col") if k in region.columns]
+        marked = marked.join(region.select(*on).distinct().withColumn(f"_{name}", F.lit(True)), on, "left")
+    outside_of = lambda c: F.sum(F.when(F.col(c).isNull(), F.col("metres")).otherwise(zero))
+    lengths = marked.groupBy(*keys).agg(
+        outside_of("_own").alias("outside_own_length_m"), outside_of("_all").alias("outside_all_length_m"), outside_of("_safe").alias("outside_safe_length_m"),
+        F.sum(F.when(F.col("_crop"), F.col("metres")).otherwise(zero)).alias("vegetation_length_m"),
+    )
+    crop = vegetation.select("row", "col").distinct().withColumn("_crop", F.lit(1))
+    wheels = buffered_cells(route, VEHICLE_M, cell_m, *keys).join(crop, ["row", "col"], "left").groupBy(*keys).agg(
+        (F.count("_crop") * cell_m * cell_m).alias("crop_crossing_area_m2"), (F.count(F.lit(1)) * cell_m * cell_m).alias("vehicle_buffer_area_m2")
+    )
+    lost = failed.groupBy(*keys).agg(F.count(F.lit(1)).alias("failed_connector_count"))
+    out = coverage(route, target, WIDTH_M, cell_m, *keys)
+    for table in (parts, lost, lengths, wheels):
+        out = out.join(table, list(keys), "left")
+    numbers = {c: 0 if c.endswith("_count") else 0.0 for table in (parts, lost, lengths, wheels) for c in table.columns if c not in keys}
+    out = out.fillna(numbers).withColumn("target_area_m2", F.col("target_cells") * cell_m * cell_m)
+    ratio = F.col("crop_crossing_area_m2") / F.greatest("vehicle_buffer_area_m2", F.lit(1e-9))
+    return out.withColumn("crop_crossing_area_ratio", ratio).withColumn("duration_min", F.col("path_length_m") / SPEED / 60)
+
+
+def mission_metrics(route: DataFrame, target: DataFrame, safe: DataFrame, vegetation: DataFrame, failed: DataFrame, points: DataFrame, cell_m: float) -> DataFrame:
+    """One row: the metrics of the whole mission, its sides, patches and waypoints, and whether it is feasible."""
+    name = F.lit("combined")
+    every = target.withColumn("mission", name)
+    per = route_metrics(route.withColumn("mission", name), every, safe.select("row", "col"), vegetation, failed.withColumn("mission", name), cell_m, "mission")
+    places = target.agg(F.count_distinct("side_id").alias("side_count"), F.count_distinct("side_id", "patch_id").alias("patch_count"))
+    count = points.agg(F.count(F.lit(1)).alias("waypoint_count"))
+    good = (F.col("failed_connector_count") == 0) & (F.col("outside_own_length_m") <= OUTSIDE_M)
+    return per.crossJoin(places).crossJoin(count).withColumn("feasibility", F.when(good, FEASIBLE).otherwise(WARNED))  # one row each
 
 
 def validated(route: DataFrame, points: DataFrame, target: DataFrame, safe: DataFrame, cell_m: float) -> DataFrame:

@@ -223,21 +223,29 @@ def _target(spark, sf_dir):
     return stored(side_patches(spark, sf_dir).select("side_id", "patch_id", "row", "col"))
 
 
+def _measured(spark, sf_dir, *keys):
+    """Metrics of all patches by these keys, against the sides' own pixels as safe area and the zones above 0 as crop."""
+    route, failed = planned(spark, sf_dir)
+    safe = sided(spark, sf_dir).select("side_id", "row", "col") if "patch_id" not in keys else pixels(spark, sf_dir).select("row", "col")
+    return S.route_metrics(route, _target(spark, sf_dir), safe, zoned(spark, sf_dir).filter("zone > 0"), failed, 1.0, *keys)
+
+
 @query()
 def patch_metrics(spark, sf_dir):
-    return S.route_metrics(whole_route(spark, sf_dir), _target(spark, sf_dir), zoned(spark, sf_dir).filter("zone > 0"), 1.0, "side_id", "patch_id")
+    name = F.format_string("%s_patch_%02d", S.side_name(F.col("side_id")), F.col("patch_id"))
+    return _measured(spark, sf_dir, "side_id", "patch_id").withColumn("side_name", S.side_name(F.col("side_id"))).withColumn("mission_name", name)
 
 
 @query()
 def side_metrics(spark, sf_dir):
-    t = _target(spark, sf_dir).select("side_id", "row", "col")
-    return S.route_metrics(whole_route(spark, sf_dir), t, zoned(spark, sf_dir).filter("zone > 0"), 1.0, "side_id").withColumn("side_name", S.side_name(F.col("side_id")))
+    count = _target(spark, sf_dir).groupBy("side_id").agg(F.count_distinct("patch_id").alias("patch_count"))
+    return _measured(spark, sf_dir, "side_id").join(count, "side_id").withColumn("side_name", S.side_name(F.col("side_id")))
 
 
 @query()
 def mission_metrics(spark, sf_dir):
     route, failed = planned(spark, sf_dir)
-    return S.mission_metrics(route, _target(spark, sf_dir), failed)
+    return S.mission_metrics(route, _target(spark, sf_dir), pixels(spark, sf_dir), zoned(spark, sf_dir).filter("zone > 0"), failed, S.waypoints(route, S.WAYPOINT_M), 1.0)
 
 
 @query()

@@ -197,10 +197,44 @@ def test_routes_and_metrics_hold_all_patches(spark, monkeypatch):
 
     cells = [(1, p, 3 * p + r, c) for p in range(1, 10) for r in range(2) for c in range(4)]
     monkeypatch.setattr(plans, "side_patches", lambda *_: grid(spark, cells, ("side_id", "patch_id", "row", "col"), ("int",) * 4))
-    monkeypatch.setattr(plans, "zoned", lambda *_: grid(spark, [(r, c, 1) for _, _, r, c in cells], ("row", "col", "zone"), ("int",) * 3))
-    got = {r["patch_id"]: (r["swaths"], r["target_cells"], r["covered_cells"]) for r in plans.patch_metrics(spark, "").collect()}
-    assert got == {p: (2, 8, 8) for p in range(1, 10)}
-    assert plans.mission_metrics(spark, "").first()["target_cells"] == len(cells)
+    cells.append((1, 10, 40, 0))  # a patch of one cell has no swath
+    ground = lambda *_: grid(spark, [(s, r, c) for s, _, r, c in cells], ("side_id", "row", "col"), ("int",) * 3)
+    monkeypatch.setattr(plans, "zoned", lambda *_: grid(spark, [(r, c, int(r < 3)) for _, _, r, c in cells], ("row", "col", "zone"), ("int",) * 3))
+    monkeypatch.setattr(plans, "sided", ground)
+    monkeypatch.setattr(plans, "pixels", ground)
+    got = {r["patch_id"]: r for r in plans.patch_metrics(spark, "").collect()}
+    assert {p: (r["swath_count"], r["target_cells"], r["covered_cells"]) for p, r in got.items()} == {p: (2, 8, 8) for p in range(1, 10)} | {10: (0, 1, 0)}
+    assert [round(got[p]["path_length_m"], 6) for p in (1, 9, 10)] == [7.0, 7.0, 0.0]  # two swaths of three metres and a metre between
+    assert all(r["outside_own_length_m"] == r["outside_safe_length_m"] == r["failed_connector_count"] == 0 for r in got.values())
+    assert round(got[1]["vegetation_length_m"], 6) == 0 and got[1]["mission_name"] == "southwest_patch_01"
+    side = plans.side_metrics(spark, "").first()
+    assert (side["patch_count"], side["swath_count"], side["target_area_m2"], round(side["path_length_m"], 6)) == (10, 18, 73.0, 63.0)
+    total = plans.mission_metrics(spark, "").first()
+    assert (total["target_cells"], total["covered_cells"], total["patch_count"]) == (len(cells), 72, 10)
+    assert total["feasibility"] == sidewise.FEASIBLE
+
+
+def test_driven_and_touched_cells(spark):
+    lines = grid(spark, [(0.3, 0.2, 7.1, 5.4), (2.5, 1.5, 6.5, 1.5), (4.0, 6.0, 1.0, 0.5)], ("x1", "y1", "x2", "y2"), ("double",) * 4)
+    rows = [tuple(r) for r in lines.collect()]
+    got = {(r["row"], r["col"]): r["metres"] for r in sidewise.driven(lines, 1.0).collect()}
+    assert math.isclose(sum(got.values()), sum(math.hypot(c - a, d - b) for a, b, c, d in rows))
+    want = {}
+    for a, b, c, d in rows:
+        for i in range(4000):
+            f = (i + 0.5) / 4000
+            at = (math.floor(b + f * (d - b)), math.floor(a + f * (c - a)))
+            want[at] = want.get(at, 0) + math.hypot(c - a, d - b) / 4000
+    assert all(abs(got.get(k, 0) - want.get(k, 0)) < 0.51 for k in got.keys() | want.keys())
+    hit = set()
+    for a, b, c, d in rows:  # points of the strip, so finely that no overlap of note is missed
+        n = math.hypot(c - a, d - b)
+        along, across = np.meshgrid(np.linspace(1e-6, 1 - 1e-6, 900), np.linspace(-0.599999, 0.599999, 301))
+        x, y = a + along * (c - a) - across * (d - b) / n, b + along * (d - b) + across * (c - a) / n
+        hit |= set(zip(np.floor(y).astype(int).ravel().tolist(), np.floor(x).astype(int).ravel().tolist(), strict=True))
+    touched = {(r["row"], r["col"]) for r in sidewise.touched_cells(lines, 0.6, 1.0).collect()}
+    assert hit <= touched and len(touched - hit) <= 1
+    assert {(r["row"], r["col"]) for r in sidewise.buffered_cells(lines, 0.6, 1.0).collect()} <= touched
 
 
 @pytest.mark.parametrize("tile", [4, 1024])
