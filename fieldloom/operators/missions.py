@@ -7,6 +7,7 @@ shortest paths are sequential and run as one task for each mission, missions in
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -209,6 +210,38 @@ def snake_mission(zone_map: DataFrame, rule: str, spacing: int = 4) -> DataFrame
     return snake(numbered(vine_sweep(zone_map, spacing, rule)))
 
 
+def rotated(layer: DataFrame, degrees: float, value: str = "zone") -> DataFrame:
+    """row, col, value of the raster turned about its centre, in a frame that holds all of it: the nearest pixel, 0 where there is none."""
+    size = layer.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    h, w = (size["r"] or 0) + 1, (size["c"] or 0) + 1
+    turn = math.radians(degrees)
+    m = np.array([[math.cos(turn), math.sin(turn)], [-math.sin(turn), math.cos(turn)]])
+    rows, cols = (np.ptp(m @ np.array([[0, 0, h, h], [0, w, 0, w]]), axis=1) + 0.5).astype(int).tolist()
+    off = np.array([h - 1, w - 1]) / 2 - m @ (np.array([rows - 1, cols - 1]) / 2)
+    frame = layer.sparkSession.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
+    r, c = [F.col("row") * float(m[i, 0]) + F.col("col") * float(m[i, 1]) + float(off[i]) for i in (0, 1)]
+    near = frame.withColumns({"_r": F.when(r.between(0, h - 1), F.floor(r + 0.5)).cast("int"), "_c": F.when(c.between(0, w - 1), F.floor(c + 0.5)).cast("int")})
+    known = layer.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
+    return near.join(known, ["_r", "_c"], "left").select("row", "col", F.coalesce("_v", F.lit(0)).cast(layer.schema[value].dataType).alias(value))
+
+
+def rotated_mission(zone_map: DataFrame, name: str, rule: str = "water", degrees: float | None = None, spacing: int = 4, reach: int = 8) -> DataFrame:
+    """The older mission with obstacles: the map is turned by -degrees (the row direction by default), swept in snake order with routed
+    connectors, and the route turned back about the centres of the two frames. Empty if there is nothing to treat."""
+    angle = row_angle(zone_map, "zone").first()["angle"] if degrees is None else degrees
+    flat = stored(rotated(zone_map, -(angle or 0.0)))
+    chain = stored(snake(numbered(swaths(flat, rule, None, spacing, reach))).select(F.lit(name).alias("mission"), "seq", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]))
+    route = assembled(chain, connected(chain, stored(morphology.cost_grid(flat, rule))))
+    ends = [t.agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")).first() for t in (flat, zone_map)]
+    (y, x), (to_y, to_x) = [((e["h"] or 0) / 2, (e["w"] or 0) / 2) for e in ends]
+    c, s = math.cos(math.radians(angle or 0.0)), math.sin(math.radians(angle or 0.0))
+    out = {}
+    for i in "12":
+        dx, dy = F.col(f"x{i}") - x, F.col(f"y{i}") - y
+        out |= {f"x{i}": to_x + dx * c + dy * s, f"y{i}": to_y - dx * s + dy * c}
+    return route.withColumns(out)
+
+
 def path_length(segments: DataFrame, pixel_m: float = 1.0) -> DataFrame:
     return segments.groupBy("mission").agg(F.count(F.lit(1)).alias("segments"), (F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) * pixel_m).alias("length_m"))
 

@@ -14,10 +14,10 @@ from fieldloom.operators import sidewise as S
 from fieldloom.operators import zones as Z
 from fieldloom.plans.clusters import K, points
 from fieldloom.plans.missions import _ROUTE, HOLE, OUTER, patch_route, rings
-from fieldloom.plans.rasters import pixels, rounded, sided
+from fieldloom.plans.rasters import pixels, rounded, sided, zoned
 from fieldloom.plans.registry import query
 from fieldloom.session import stored
-from fieldloom.sources import files
+from fieldloom.sources import files, geodesy
 from fieldloom.sources import raster as R
 
 
@@ -143,3 +143,41 @@ def fuzziness_zone_maps(spark, sf_dir):
 def artifact_inventory(spark, sf_dir):
     """The input tables by name: whether each is there, and its size in KB to one place."""
     return files.inventory(spark, sf_dir, [f"{n}.parquet" for n in ("orders", "lineitem", "embeddings", "no_such_table")])
+
+
+#: Corner and step, in degrees, of a geographic grid for the raster.
+LAT, LON, STEP = 38.7, -9.1, 0.00002
+
+
+def _degrees(spark, sf_dir):
+    return pixels(spark, sf_dir).select("row", "col", (LAT - F.col("row") * STEP).alias("lat"), (LON + F.col("col") * STEP).alias("lon"))
+
+
+_DEGREES = f""" dg AS (SELECT "row", col, {LAT!r}::DOUBLE - "row" * {STEP!r}::DOUBLE lat, {LON!r}::DOUBLE + col * {STEP!r}::DOUBLE lon FROM f),
+ el AS (SELECT 6378137.0::DOUBLE a, 1 / 298.257223563::DOUBLE fl)"""
+
+
+@query(f"""SELECT "row", round(6378137.0::DOUBLE * radians({STEP!r}::DOUBLE) * cos(radians(lat)) / sqrt(1 - fl * (2 - fl) * sin(radians(lat)) ** 2), 6) AS east_m,
+ round(2 * abs(0.6::DOUBLE), 6) AS projected_m FROM dg, el WHERE col = 0""", _DEGREES)
+def pixel_metres(spark, sf_dir):
+    """Width in metres of a pixel of each row on a geographic grid, and of a pixel of 0.6 m decimated by two on a projected one."""
+    d = _degrees(spark, sf_dir).filter("col = 0")
+    return rounded(d.select("row", geodesy.step_size(F.lit(STEP), True, F.col("lat"), F.col("lon")).alias("east_m"), geodesy.step_size(F.lit(-0.6), False, F.col("lat"), F.col("lon"), 2).alias("projected_m")), "east_m", "projected_m")
+
+
+@query("""SELECT "row", col, round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS easting,
+ round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS northing FROM
+ (SELECT *, atan2(t, cos(off)) xi, atanh(sin(off) / sqrt(1 + t * t)) eta FROM (SELECT *, sinh(atanh(sin(radians(lat))) - k * atanh(k * sin(radians(lat)))) t, radians(lon + 9) off FROM
+ (SELECT dg.*, 0.9996::DOUBLE * a / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) r, 2 * sqrt(n) / (1 + n) k, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 a2, 61 * n ** 3 / 240 a3
+  FROM dg, (SELECT a, fl / (2 - fl) n FROM el))))""", _DEGREES)
+def utm_points(spark, sf_dir):
+    """The pixels' centres in metres of the metric grid."""
+    east, north = geodesy.utm(F.col("lat"), F.col("lon"))
+    return rounded(_degrees(spark, sf_dir).select("row", "col", east.alias("easting"), north.alias("northing")), "easting", "northing", places=3)
+
+
+@query()
+def rotated_mission(spark, sf_dir):
+    """The older mission on the map turned to a row direction of 20 degrees, and turned back."""
+    z = stored(zoned(spark, sf_dir).select("row", "col", "zone"))
+    return P.rotated_mission(z, "water", "water", 20.0)

@@ -173,10 +173,3 @@ def rgb_preview(pixels: DataFrame, bands: list[str], step: int) -> DataFrame:
 
 def valid_elevation() -> Column:
     return F.when(F.col("elev") > 0, F.col("elev"))
-
-
-def pixel_size(lat: Column, lon: Column, lat2: Column, lon2: Column) -> Column:
-    """Metres between two centres in degrees on a sphere of the mean radius (within 0.6 % of the ellipsoid)."""
-    rad = F.radians
-    h = F.pow(F.sin((rad(lat2) - rad(lat)) / 2), 2) + F.cos(rad(lat)) * F.cos(rad(lat2)) * F.pow(F.sin((rad(lon2) - rad(lon)) / 2), 2)
-    return 2 * 6371008.8 * F.asin(F.sqrt(h))

@@ -10,7 +10,7 @@ import pytest
 
 from fieldloom.operators import clustering, metrics, missions, morphology, sidewise, zones
 from fieldloom.operators.components import components
-from fieldloom.sources import files, raster
+from fieldloom.sources import files, geodesy, raster
 
 
 def grid(spark, cells, names=("row", "col", "m"), types=("int", "int", "boolean")):
@@ -320,3 +320,60 @@ def test_files_round_trip(spark, tmp_path):
     value = json.loads(files.to_geojson(lines, "patch_id").first()["value"])
     assert value == {"type": "Feature", "properties": {"patch_id": 1}, "geometry": {"type": "LineString", "coordinates": [[0.0, 1.0], [2.0, 3.0]]}}
     assert {r["path"]: r["exists"] for r in files.inventory(spark, d, ["zones", "none"]).collect()} == {"zones": True, "none": False}
+
+
+def on_ellipsoid(lat, lon):
+    e2 = geodesy.FLATTENING * (2 - geodesy.FLATTENING)
+    p, q = math.radians(lat), math.radians(lon)
+    n = geodesy.AXIS_M / math.sqrt(1 - e2 * math.sin(p) ** 2)
+    return np.array([n * math.cos(p) * math.cos(q), n * math.cos(p) * math.sin(q), n * (1 - e2) * math.sin(p)])
+
+
+def test_metres_on_the_ellipsoid(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [(38.7, -9.1, 38.7, -9.09998), (0.0, -9.0, 0.0005, -9.0), (60.0, 10.0, 59.9999, 10.0003), (38.7, -7.0, 38.71, -7.02)]
+    t = spark.createDataFrame(pairs, "a double, b double, c double, d double")
+    got = [r["m"] for r in t.select(geodesy.pixel_size(*[F.col(x) for x in "abcd"]).alias("m")).collect()]
+    for m, (a, b, c, d) in zip(got, pairs, strict=True):  # the chord equals the arc to 1e-7 at these distances
+        assert math.isclose(m, np.linalg.norm(on_ellipsoid(a, b) - on_ellipsoid(c, d)), rel_tol=2e-6)
+    # UTM: the meridian's arc by small chords; away from it, the same scale in all directions and right angles
+    arc = sum(np.linalg.norm(on_ellipsoid(45 * (i + 1) / 9000, -9) - on_ellipsoid(45 * i / 9000, -9)) for i in range(9000))
+    h = 1e-5
+    at = [(45.0, -9.0), (0.0, -9.0), (38.7, -6.5), (38.7 + h, -6.5), (38.7, -6.5 + h)]
+    east, north = geodesy.utm(F.col("lat"), F.col("lon"))
+    e = [tuple(r) for r in spark.createDataFrame(at, "lat double, lon double").select(east, north).collect()]
+    assert abs(e[0][0] - 500000) < 1e-6 and abs(e[0][1] - 0.9996 * arc) < 0.02 and abs(e[1][1]) < 1e-6
+    up, right = np.subtract(e[3], e[2]), np.subtract(e[4], e[2])
+    scales = [np.linalg.norm(v) / np.linalg.norm(on_ellipsoid(*at[i]) - on_ellipsoid(*at[2])) for v, i in ((up, 3), (right, 4))]
+    assert abs(scales[0] - scales[1]) < 1e-6 and abs(up @ right) / (np.linalg.norm(up) * np.linalg.norm(right)) < 1e-6 and 0.9996 < scales[0] < 1.001
+    rings = spark.createDataFrame([(1, [{"x": -9.0, "y": 0.0}])], "polygon_id int, points array<struct<x:double,y:double>>")
+    assert abs(geodesy.to_metric(rings).first()["points"][0]["x"] - 500000) < 1e-6
+
+
+@pytest.mark.parametrize("degrees", [0.0, 90.0, 20.0, -35.0])
+def test_rotated_raster(spark, degrees):
+    h, w = 7, 11
+    a = np.random.default_rng(3).integers(1, 4, (h, w))
+    layer = grid(spark, [(r, c, int(a[r, c])) for r in range(h) for c in range(w)], ("row", "col", "zone"), ("int",) * 3)
+    got = {(r["row"], r["col"]): r["zone"] for r in missions.rotated(layer, degrees).collect()}
+    rows, cols = max(r for r, _ in got) + 1, max(c for _, c in got) + 1
+    t = math.radians(degrees)
+    for (r, c), v in got.items():  # where each place of the frame comes from, about the centres
+        y, x = r - (rows - 1) / 2, c - (cols - 1) / 2
+        p, q = y * math.cos(t) + x * math.sin(t) + (h - 1) / 2, -y * math.sin(t) + x * math.cos(t) + (w - 1) / 2
+        if min(abs(p % 1 - 0.5), abs(q % 1 - 0.5), abs(p), abs(q), abs(p - h + 1), abs(q - w + 1)) > 1e-6:
+            assert v == (a[round(p), round(q)] if 0 <= p <= h - 1 and 0 <= q <= w - 1 else 0)
+    assert len(got) == rows * cols and (degrees != 0.0 or (rows, cols) == (h, w))
+
+
+def test_rotated_mission_is_turned_back(spark):
+    cells = [(r, c, 1 if 6 <= r <= 24 and 6 <= c <= 30 else 0) for r in range(32) for c in range(38)]
+    layer = grid(spark, cells, ("row", "col", "zone"), ("int",) * 3)
+    got = {d: missions.rotated_mission(layer, "m", "water", d, 4).orderBy("place").collect() for d in (0.0, 90.0, 20.0)}
+    for rows in got.values():  # all swaths lie on the zone again
+        assert rows and all(4.5 <= r[x] <= 31.5 and 4.5 <= r[y] <= 25.5 for r in rows if r["kind"] == "swath" for x, y in (("x1", "y1"), ("x2", "y2")))
+        assert all(math.isclose(a["x2"], b["x1"]) and math.isclose(a["y2"], b["y1"]) for a, b in zip(rows, rows[1:], strict=False))
+    assert all(math.isclose(r["y1"], r["y2"]) for r in got[0.0] if r["kind"] == "swath")
+    assert all(math.isclose(r["x1"], r["x2"], abs_tol=1e-6) for r in got[90.0] if r["kind"] == "swath")
+    assert all(math.isclose(abs((r["y2"] - r["y1"]) / (r["x2"] - r["x1"])), math.tan(math.radians(20)), abs_tol=1e-6) for r in got[20.0] if r["kind"] == "swath")
