@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chaining, contexttree, convnet, fingerprints, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
+from fieldloom.llm import chaining, contexttree, convnet, credentials, fingerprints, jaccardjoin, mixing, packing, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_substring_dedup": chaining.op8_substring_dedup,
     "op9_token_counts": tokencounts.op9_token_counts,
     "op10_ngram_jaccard_join": jaccardjoin.op10_ngram_jaccard_join,
+    "op11_secret_scan": credentials.op11_secret_scan,
 }
-ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL}
+ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op11_secret_scan": credentials.OP11_SQL}
