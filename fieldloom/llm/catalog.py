@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import chaining, contexttree, convnet, credentials, fingerprints, jaccardjoin, mixing, packing, prefixtrie, quality, tokencounts, tokenstore
+from fieldloom.llm import chaining, contexttree, convnet, credentials, divergence, fingerprints, jaccardjoin, mixing, packing, prefixtrie, quality, tokencounts, tokenstore
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccardjoin.op10_ngram_jaccard_join,
     "op11_secret_scan": credentials.op11_secret_scan,
     "op12_prefix_trie": prefixtrie.op12_prefix_trie,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
-ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op11_secret_scan": credentials.OP11_SQL, "op12_prefix_trie": prefixtrie.OP12_SQL}
+ORACLE = {"op4_mixing": mixing.OP4_SQL, "op5_quality_rules": quality.OP5_SQL, "op11_secret_scan": credentials.OP11_SQL, "op12_prefix_trie": prefixtrie.OP12_SQL, "op13_source_divergence": divergence.OP13_SQL}
