@@ -288,7 +288,8 @@ def inside_parts(lines: DataFrame, pieces: DataFrame, *keys: str, line: str = "l
 
     keys: columns that line and piece must have in common. A line along the region's border is inside.
     """
-    size = bin_size(pieces, ("l0", "l1", "r0", "r1"), ("y0", "y1"))
+    # as wide as both tables ask for: a long line over small pieces, or over none, passes few bins
+    size = max(bin_size(pieces, ("l0", "l1", "r0", "r1"), ("y0", "y1")), bin_size(lines, ("x1", "x2"), ("y1", "y2")))
     p = pieces.select(*keys, F.col("y0").alias("p0"), F.col("y1").alias("p1"), "l0", "l1", "r0", "r1")
     p = p.withColumn("by", F.explode(F.sequence(F.floor((F.col("p0") - EPS) / size), F.floor((F.col("p1") + EPS) / size))))
     p = p.withColumn("bx", F.explode(F.sequence(F.floor((F.least("l0", "l1") - EPS) / size), F.floor((F.greatest("r0", "r1") + EPS) / size))))

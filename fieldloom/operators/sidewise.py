@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators import missions, morphology, zones
+from fieldloom.operators import geometry, missions, morphology, zones
+from fieldloom.session import stored
 
 WIDTH_M, MIN_SWATH_M, WAYPOINT_M, CELL_M, VEHICLE_M, SPEED = 1.2, 1.0, 0.5, 0.5, 0.4, 0.5
 
@@ -43,15 +44,6 @@ def patches(target: DataFrame, least_m2: float = 0.0, cell_m: float = 1.0) -> Da
     return labelled.join(ranked.select("side_id", "component", "patch_id"), ["side_id", "component"]).drop("component")
 
 
-def edges(rings: DataFrame, *keys: str) -> DataFrame:
-    """x1, y1, x2, y2: the sides of rings (points: array of x, y; closed or not)."""
-    p = F.col("points")
-    following = F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1))
-    return rings.select(*keys, F.explode(F.arrays_zip(p.alias("a"), following.alias("b"))).alias("e")).select(
-        *keys, F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2")
-    ).filter("x1 <> x2 or y1 <> y2")
-
-
 def turned(table: DataFrame, degrees: float, *pairs: tuple[str, str], about: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """Pairs of coordinate columns turned by an angle about a point."""
     c, s, (ox, oy) = math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), about
@@ -68,7 +60,7 @@ def scanline_swaths(rings: DataFrame, angle: float, spacing: float = WIDTH_M, le
     The rings are turned by -angle about a point, cut by horizontal lines at multiples of spacing (a side counts for
     min y <= line < max y), paired by order of x, and turned back; pieces shorter than `least` are dropped.
     """
-    e = turned(edges(rings, "patch_id"), -angle, ("x1", "y1"), ("x2", "y2"), about=about).filter("y1 <> y2")
+    e = turned(geometry.ring_sides(rings, "patch_id"), -angle, ("x1", "y1"), ("x2", "y2"), about=about).filter("y1 <> y2")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     lines = F.sequence(F.ceil(low / spacing).cast("int"), F.ceil(high / spacing).cast("int") - 1)
     hits = e.filter(F.ceil(low / spacing) <= F.ceil(high / spacing) - 1).select("*", F.explode(lines).alias("line"))
@@ -83,13 +75,37 @@ def scanline_swaths(rings: DataFrame, angle: float, spacing: float = WIDTH_M, le
     return turned(out, angle, ("x1", "y1"), ("x2", "y2"), about=about)
 
 
+def row_swaths(sides: DataFrame, centres: DataFrame, angle: float, *keys: str, spacing: float = WIDTH_M, least: float = MIN_SWATH_M) -> DataFrame:
+    """keys, row_index, segment_id, x1, y1, x2, y2: the pieces inside each key's outline of parallel lines at the rows' angle.
+
+    The outline (sides) is turned by -angle about its centre (cx, cy), cut by lines at multiples of spacing, and the pieces are
+    turned back. row_index counts lines from the lowest one at or below the outline; segment_id from 1, by row, then along it.
+    """
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    turn = lambda x, y, back: (F.col("cx") + (x - F.col("cx")) * c - back * (y - F.col("cy")) * s, F.col("cy") + back * (x - F.col("cx")) * s + (y - F.col("cy")) * c)
+    (ax, ay), (bx, by) = turn(F.col("x1"), F.col("y1"), -1), turn(F.col("x2"), F.col("y2"), -1)
+    e = sides.join(centres, list(keys)).select(*keys, "cx", "cy", ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    base = e.groupBy(*keys).agg(F.floor(F.min(low) / spacing).alias("base"))
+    first, last = F.ceil(low / spacing), F.ceil(high / spacing) - 1
+    hits = e.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("line"))
+    y = F.col("line") * spacing
+    x = F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    along = Window.partitionBy(*keys, "line").orderBy("x")
+    at = hits.select(*keys, "cx", "cy", "line", x.alias("x"), y.alias("y")).withColumn("i", F.row_number().over(along)).withColumn("to", F.lead("x").over(along))
+    pieces = at.filter((F.col("i") % 2 == 1) & (F.col("to") - F.col("x") >= least)).join(base, list(keys))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("line", "x"))
+    (ax, ay), (bx, by) = turn(F.col("x"), F.col("y"), 1), turn(F.col("to"), F.col("y"), 1)
+    return pieces.select(*keys, (F.col("line") - F.col("base")).cast("int").alias("row_index"), order.alias("segment_id"), ax.alias("x1"), ay.alias("y1"), bx.alias("x2"), by.alias("y2"))
+
+
 def cells_in_rings(rings: DataFrame, cell_m: float, *keys: str) -> DataFrame:
     """keys, row, col: the cells whose centre lies inside the rings by crossing parity, holes left out.
 
     Each row of cell centres is cut by the rings' sides (a side counts for min y <= centre < max y); the cells between an odd
     crossing and the next one are inside (x <= centre < x of the next).
     """
-    e = edges(rings, *keys).filter("y1 <> y2")
+    e = geometry.ring_sides(rings, *keys).filter("y1 <> y2")
     low, high = F.least("y1", "y2") / cell_m - 0.5, F.greatest("y1", "y2") / cell_m - 0.5
     hits = e.filter(F.ceil(low) <= F.ceil(high) - 1).select("*", F.explode(F.sequence(F.ceil(low).cast("int"), F.ceil(high).cast("int") - 1)).alias("row"))
     y = (F.col("row") + 0.5) * cell_m
@@ -117,39 +133,77 @@ def connectors(route: DataFrame, *keys: str) -> DataFrame:
     return legs.filter("bx is not null").select(*keys, "mission_order", "x1", "y1", F.col("bx").alias("x2"), F.col("by").alias("y2"))
 
 
-def line_cells(lines: DataFrame, cell_m: float, *keys: str) -> DataFrame:
-    """The cells (row, col) under the lines, by points a quarter of a cell apart, ends included."""
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    n = F.greatest(F.lit(1), F.ceil(length / (cell_m / 4))).cast("int")
-    pts = lines.select("*", n.alias("_n")).select("*", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("_i"))
-    f = F.col("_i") / F.col("_n")
-    x, y = F.col("x1") + f * (F.col("x2") - F.col("x1")), F.col("y1") + f * (F.col("y2") - F.col("y1"))
-    return pts.select(*keys, F.floor(y / cell_m).cast("int").alias("row"), F.floor(x / cell_m).cast("int").alias("col")).distinct()
-
-
-def outside(lines: DataFrame, region: DataFrame, cell_m: float, *keys: str) -> DataFrame:
-    """Cells under the lines that the region doesn't hold: none means that it covers them."""
-    return line_cells(lines, cell_m, *keys).join(region, [k for k in region.columns if k in (*keys, "row", "col")], "left_anti")
+#: Metres of a line outside a region that count as rounding.
+NO_METRES = 1e-5
 
 
 def judged_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys: str) -> DataFrame:
-    """Adds direct: the connector stays inside the region. Only the others need a path."""
-    out = outside(lines, region, cell_m, *keys, "mission_order").select(*keys, "mission_order").distinct().withColumn("_out", F.lit(True))
-    return lines.join(out, [*keys, "mission_order"], "left").withColumn("direct", F.col("_out").isNull()).drop("_out")
+    """Adds direct: the region's cells cover the connector, border included. Only the others need a path."""
+    met = geometry.inside_lengths(lines, geometry.cell_pieces(region, cell_m, *keys), *keys, line="mission_order")
+    return met.withColumn("direct", F.col("length_m") - F.col("inside_m") <= NO_METRES).select(*lines.columns, "direct")
 
 
 #: Metres that a path may leave its connector's box by: at least MARGIN_M, or this share of its length.
 MARGIN_M, MARGIN_SHARE = 45.0, 0.35
 
 
+def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """Douglas and Peucker's line: the farthest point from a chord stays while it is farther than the tolerance."""
+    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
+    while todo:
+        i, j = todo.pop()
+        (ax, ay), (bx, by) = points[i], points[j]
+        dx, dy = bx - ax, by - ay
+        square = dx * dx + dy * dy
+        far, at = tolerance, None
+        for k in range(i + 1, j):
+            px, py = points[k][0] - ax, points[k][1] - ay
+            t = min(1.0, max(0.0, (px * dx + py * dy) / square)) if square else 0.0
+            d = math.hypot(px - t * dx, py - t * dy)
+            if d > far:
+                far, at = d, k
+        if at is not None:
+            keep.add(at)
+            todo += [(i, at), (at, j)]
+    return [points[k] for k in sorted(keep)]
+
+
+def covered(points: list[tuple[float, float]], cells: dict | set, cell_m: float) -> bool:
+    """Whether cells (row, col), borders included, hold the whole line: it is cut where it meets the grid."""
+    for (x1, y1), (x2, y2) in zip(points, points[1:], strict=False):
+        cuts = {0.0, 1.0}
+        for a, b in ((x1 / cell_m, x2 / cell_m), (y1 / cell_m, y2 / cell_m)):
+            if a != b:
+                cuts.update((k - a) / (b - a) for k in range(math.ceil(min(a, b)), math.floor(max(a, b)) + 1))
+        order = sorted(t for t in cuts if 0 <= t <= 1)
+        for t, u in zip(order, order[1:], strict=False):
+            if u - t > 1e-9:
+                x, y = (x1 + (t + u) / 2 * (x2 - x1)) / cell_m, (y1 + (t + u) / 2 * (y2 - y1)) / cell_m
+                if not any((math.floor(y + e), math.floor(x + d)) in cells for e in (-1e-7, 1e-7) for d in (-1e-7, 1e-7)):
+                    return False
+    return True
+
+
+#: Rows and columns within which the end of a connector is moved to a free cell, and the share of a cell that simplifying may shift.
+FREE_CELLS, SIMPLER = 8, 0.25
+
+
+def _free(cell: tuple[int, int], cost: dict) -> tuple[int, int] | None:
+    if cell in cost:
+        return cell
+    near = [((r - cell[0]) ** 2 + (c - cell[1]) ** 2, r, c) for r in range(cell[0] - FREE_CELLS, cell[0] + FREE_CELLS + 1) for c in range(cell[1] - FREE_CELLS, cell[1] + FREE_CELLS + 1) if (r, c) in cost]
+    return min(near)[1:] if near else None
+
+
 def routed_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys: str, risk: DataFrame | None = None) -> DataFrame:
     """keys, mission_order, status, points: a connector is direct if the region covers it, routed if a path inside the region
-    leads from its first to its last cell (each within MARGIN_M of the connector's box), else failed, without points.
+    leads from its first to its last cell (within MARGIN_M of the connector's box), else failed, without points.
 
-    Only connectors that aren't direct are searched, each in a task's group of its own with its window of the region's cells. Points
-    are the ends and the centres of the cells where the path turns.
+    Only connectors that aren't direct are searched, each in a task's group of its own with its window of the region's cells, which
+    are met by key and row. An end outside the region starts from the nearest cell. The path of cell centres is simplified where the
+    region still covers it.
     """
-    judged = judged_connectors(lines, region, cell_m, *keys)
+    judged = stored(judged_connectors(lines, region, cell_m, *keys))
     point = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ends = F.array(point("x1", "y1"), point("x2", "y2"))
     direct = judged.filter("direct").select(*keys, "mission_order", F.lit("direct").alias("status"), ends.alias("points"))
@@ -157,12 +211,10 @@ def routed_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys:
     legs = judged.filter("not direct").select(*keys, "mission_order", "x1", "y1", "x2", "y2", cell("y1").alias("ar"), cell("x1").alias("ac"), cell("y2").alias("br"), cell("x2").alias("bc"))
     span = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * MARGIN_SHARE
     legs = legs.withColumn("reach", F.ceil(F.greatest(F.lit(MARGIN_M), span) / cell_m).cast("int"))
-    grid = region.select(*keys, "row", "col").distinct()
-    costs = grid.join(corridor_grid(region, risk), ["row", "col"])
-    near = [F.col(f"l_{k}") == F.col(k) for k in keys]
-    for at, a, b in (("row", "ar", "br"), ("col", "ac", "bc")):
-        near.append(F.col(at).between(F.least(a, b) - F.col("reach"), F.greatest(a, b) + F.col("reach")))
-    cells = legs.select(*[F.col(k).alias(f"l_{k}") for k in keys], "mission_order", "ar", "ac", "br", "bc", "reach").join(costs, near).select(*[F.col(k).alias(f"c_{k}") for k in keys], F.col("mission_order").alias("c_mission_order"), "row", "col", "cost")
+    costs = region.select(*keys, "row", "col").distinct().join(corridor_grid(region, risk), ["row", "col"])
+    rows = F.explode(F.sequence(F.least("ar", "br") - F.col("reach"), F.greatest("ar", "br") + F.col("reach")))
+    asked = legs.select(*keys, "mission_order", rows.alias("row"), (F.least("ac", "bc") - F.col("reach")).alias("c0"), (F.greatest("ac", "bc") + F.col("reach")).alias("c1"))
+    cells = asked.join(costs, [*keys, "row"]).filter("col between c0 and c1").select(*[F.col(k).alias(f"c_{k}") for k in (*keys, "mission_order")], "row", "col", "cost")
     group = [*keys, "mission_order"]
     kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in group)
 
@@ -171,25 +223,30 @@ def routed_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys:
             return pd.DataFrame(columns=[*group, "status", "points"])
         a = leg.iloc[0]
         cost = dict(zip(zip(near["row"].tolist(), near["col"].tolist(), strict=True), near["cost"].tolist(), strict=True))
-        path = missions.shortest_path(cost, (int(a.ar), int(a.ac)), (int(a.br), int(a.bc)), 2**0.5)
-        if path is None:
-            return pd.DataFrame({**dict(zip(group, [[k] for k in key], strict=True)), "status": ["failed"], "points": [[]]})
-        turns = [p for o, p, q in zip(path, path[1:], path[2:], strict=False) if (p[0] - o[0], p[1] - o[1]) != (q[0] - p[0], q[1] - p[1])]
-        points = [(a.x1, a.y1), *[((c + 0.5) * cell_m, (r + 0.5) * cell_m) for r, c in turns], (a.x2, a.y2)]
-        return pd.DataFrame({**dict(zip(group, [[k] for k in key], strict=True)), "status": ["routed"], "points": [[{"x": float(x), "y": float(y)} for x, y in points]]})
+        first, last = _free((int(a.ar), int(a.ac)), cost), _free((int(a.br), int(a.bc)), cost)
+        path = missions.shortest_path(cost, first, last, 2**0.5) if first and last else None
+        points, status = [], "failed"
+        if path is not None:
+            whole = [(a.x1, a.y1), *[((c + 0.5) * cell_m, (r + 0.5) * cell_m) for r, c in path[1:-1]], (a.x2, a.y2)]
+            short = simplified(whole, SIMPLER * cell_m)
+            points, status = short if covered(short, cost, cell_m) else whole, "routed"
+            if not covered(points, cost, cell_m):  # an end lies too far outside
+                points, status = [], "failed"
+        return pd.DataFrame({**dict(zip(group, [[k] for k in key], strict=True)), "status": [status], "points": [[{"x": float(x), "y": float(y)} for x, y in points]]})
 
     routed = legs.groupBy(*group).cogroup(cells.groupBy(*[f"c_{k}" for k in group])).applyInPandas(run, f"{kinds}, status string, points array<struct<x:double,y:double>>")
     return direct.unionByName(routed)
 
 
 def patch_routes(swaths: DataFrame, links: DataFrame, *keys: str) -> DataFrame:
-    """keys, mission_order, segment_type, x1, y1, x2, y2: each swath, then its connector's hops; failed connectors leave a gap."""
+    """keys, mission_order, hop, segment_type, x1, y1, x2, y2: the parts of each route in order, a swath, then its connector's
+    hops, which share their part's mission_order; failed connectors leave a gap."""
     p = F.col("points")
     hops = links.filter(F.size(p) > 1).select(*keys, "mission_order", F.posexplode(F.arrays_zip(F.slice(p, 1, F.size(p) - 1).alias("a"), F.slice(p, 2, F.size(p)).alias("b"))).alias("hop", "e"))
     hops = hops.select(*keys, "mission_order", "hop", F.lit("connector").alias("segment_type"), F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
-    own = swaths.select(*keys, "mission_order", F.lit(-1).alias("hop"), F.lit("swath").alias("segment_type"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy("mission_order", "hop"))
-    return own.unionByName(hops).withColumn("mission_order", order.cast("int")).drop("hop")
+    own = swaths.select(*keys, "mission_order", F.lit(0).alias("hop"), F.lit("swath").alias("segment_type"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    place = F.dense_rank().over(Window.partitionBy(*keys).orderBy("mission_order", F.col("segment_type") == "connector"))
+    return own.unionByName(hops).withColumn("mission_order", place.cast("int"))
 
 
 def corridor_grid(region: DataFrame, risk: DataFrame | None = None) -> DataFrame:
@@ -209,29 +266,42 @@ def nearest_free(points: DataFrame, free: DataFrame, most: int = 8) -> DataFrame
     return met.groupBy("id").agg(F.min(F.struct(d2.cast("long").alias("d2"), "f_row", "f_col")).alias("b")).select("id", "b.d2", "b.f_row", "b.f_col")
 
 
+def through_keys(counts: DataFrame, *keys: str) -> DataFrame:
+    """counts (keys, n) with `before`: what all earlier keys hold, in order of the keys. One row for each key."""
+    order = Window.orderBy(*keys) if keys else Window.orderBy(F.lit(1))
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def waypoints(route: DataFrame, spacing: float = WAYPOINT_M, *keys: str) -> DataFrame:
-    """Points at most `spacing` apart along each line, with the heading to the next point of the route; the last repeats its heading."""
+    """Points at equal distances of at most `spacing` along each part of the route (a swath, or all hops of a connector), both ends
+    included, with the heading to the part's next point; the last repeats its heading. Numbered from 1 through all keys in order.
+    """
+    hop = F.col("hop") if "hop" in route.columns else F.lit(0)
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    n = F.greatest(F.lit(1), F.ceil(length / spacing)).cast("int")
-    pts = route.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("point"))
-    f = F.col("point") / F.col("_n")
+    part = Window.partitionBy(*keys, "mission_order")
+    along = part.orderBy("hop")
+    r = route.select(*keys, "mission_order", hop.alias("hop"), "x1", "y1", "x2", "y2", length.alias("_m"))
+    r = r.withColumns({"_to": F.sum("_m").over(along.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_m").over(part), "_last": F.lead("hop").over(along).isNull()})
+    r = r.withColumn("_from", F.coalesce(F.lag("_to").over(along), F.lit(0.0))).withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_all") / spacing)).cast("int"))
+    place = lambda s: F.ceil(F.col(s) * F.col("_n") / F.col("_all")).cast("int")
+    first = F.when(F.col("_from") == 0, 0).otherwise(place("_from"))
+    last = F.when(F.col("_last"), F.col("_n")).otherwise(place("_to") - 1)
+    r = r.withColumns({"_a": F.when(F.col("_all") > 0, first).otherwise(0), "_b": F.when(F.col("_all") > 0, last).otherwise(F.when(F.col("_last"), F.col("_n")).otherwise(-1))}).filter("_a <= _b")
+    sizes = r.filter("_last").select(*keys, "mission_order", (F.col("_n") + 1).alias("n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("mission_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    if keys:
+        before = through_keys(sizes.groupBy(*keys).agg(F.sum("n").alias("n")), *keys).drop("n")
+        starts = starts.join(before, list(keys)).withColumn("_start", F.col("_start") + F.col("before")).drop("before")
+    pts = r.select("*", F.explode(F.sequence("_a", "_b")).alias("point"))
+    f = F.when(F.col("_m") > 0, (F.col("point") * F.col("_all") / F.col("_n") - F.col("_from")) / F.col("_m")).otherwise(0.0)
+    f = F.least(F.greatest(f, F.lit(0.0)), F.lit(1.0))
     pts = pts.select(*keys, "mission_order", "point", (F.col("x1") + f * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + f * (F.col("y2") - F.col("y1"))).alias("y"))
-    w = Window.partitionBy(*keys).orderBy("mission_order", "point")
+    w = part.orderBy("point")
     dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
-    pts = pts.withColumn("_h", F.when((dx != 0) | (dy != 0), F.degrees(F.atan2(dy, dx))))
-    pts = pts.withColumn("heading_deg", F.coalesce("_h", F.last("_h", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_h")
-    return pts.withColumn("waypoint_id", F.row_number().over(w).cast("long")).withColumn("speed_mps", F.lit(SPEED))
-
-
-def driven(lines: DataFrame, cell_m: float, *keys: str) -> DataFrame:
-    """keys, row, col, metres: the length of the lines in each cell, by steps of at most a quarter of a cell; a stretch driven twice counts twice."""
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    n = F.greatest(F.lit(1), F.ceil(length / (cell_m / 4))).cast("int")
-    steps = lines.withColumn("_n", n).withColumn("_m", length / F.col("_n")).select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
-    f = (F.col("_i") - 0.5) / F.col("_n")
-    x, y = F.col("x1") + f * (F.col("x2") - F.col("x1")), F.col("y1") + f * (F.col("y2") - F.col("y1"))
-    cells = steps.select(*keys, F.floor(y / cell_m).cast("int").alias("row"), F.floor(x / cell_m).cast("int").alias("col"), "_m")
-    return cells.groupBy(*keys, "row", "col").agg(F.sum("_m").alias("metres"))
+    pts = pts.withColumn("_h", F.when(dx.isNotNull(), F.degrees(F.atan2(dy, dx))))
+    pts = pts.withColumn("heading_deg", F.coalesce("_h", F.lag("_h").over(w))).drop("_h")
+    pts = pts.join(starts, [*keys, "mission_order"]).withColumn("waypoint_id", (F.col("_start") + F.col("point") + 1).cast("long")).drop("_start")
+    return pts.withColumn("speed_mps", F.lit(SPEED))
 
 
 def touched_cells(lines: DataFrame, radius: float, cell_m: float, *keys: str) -> DataFrame:
@@ -282,18 +352,21 @@ def route_metrics(route: DataFrame, target: DataFrame, safe: DataFrame, vegetati
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     swath, zero = F.col("segment_type") == "swath", F.lit(0.0)
     parts = route.groupBy(*keys).agg(
-        F.count_if(swath).alias("swath_count"), F.count(F.lit(1)).alias("route_part_count"), F.sum(length).alias("path_length_m"),
+        F.count_if(swath).alias("swath_count"), F.count_if(F.col("hop") == 0).alias("route_part_count"), F.sum(length).alias("path_length_m"),
         F.sum(F.when(swath, length).otherwise(zero)).alias("swath_length_m"), F.sum(F.when(swath, zero).otherwise(length)).alias("connector_length_m"),
     )
-    marked = driven(route, cell_m, *keys)
+    # stretches driven twice count once outside and inside regions, as in the union of the route's lines
+    lines = stored(geometry.merged_lines(route, *keys).withColumn("line", F.monotonically_increasing_id()))
+    lengths = lines.groupBy(*keys).agg(F.sum(length).alias("merged_length_m"))
     regions = {"own": target.select(*keys, "row", "col"), "all": target.select("row", "col"), "safe": safe, "crop": vegetation.select("row", "col")}
     for name, region in regions.items():
-        on = [k for k in (*keys, "row", "col") if k in region.columns]
-        marked = marked.join(region.select(*on).distinct().withColumn(f"_{name}", F.lit(True)), on, "left")
-    outside_of = lambda c: F.sum(F.when(F.col(c).isNull(), F.col("metres")).otherwise(zero))
-    lengths = marked.groupBy(*keys).agg(
-        outside_of("_own").alias("outside_own_length_m"), outside_of("_all").alias("outside_all_length_m"), outside_of("_safe").alias("outside_safe_length_m"),
-        F.sum(F.when(F.col("_crop"), F.col("metres")).otherwise(zero)).alias("vegetation_length_m"),
+        on = [k for k in keys if k in region.columns]
+        met = geometry.inside_lengths(lines, geometry.cell_pieces(region, cell_m, *on), *on).groupBy(*keys).agg(F.sum("inside_m").alias(name))
+        lengths = lengths.join(met, list(keys), "left")
+    beyond = lambda c: F.greatest(F.col("merged_length_m") - F.coalesce(c, F.lit(0.0)), F.lit(0.0))
+    lengths = lengths.select(
+        *keys, beyond("own").alias("outside_own_length_m"), beyond("all").alias("outside_all_length_m"), beyond("safe").alias("outside_safe_length_m"),
+        F.coalesce("crop", F.lit(0.0)).alias("vegetation_length_m"),
     )
     crop = vegetation.select("row", "col").distinct().withColumn("_crop", F.lit(1))
     wheels = buffered_cells(route, VEHICLE_M, cell_m, *keys).join(crop, ["row", "col"], "left").groupBy(*keys).agg(
@@ -320,16 +393,27 @@ def mission_metrics(route: DataFrame, target: DataFrame, safe: DataFrame, vegeta
     return per.crossJoin(places).crossJoin(count).withColumn("feasibility", F.when(good, FEASIBLE).otherwise(WARNED))  # one row each
 
 
-def validated(route: DataFrame, points: DataFrame, target: DataFrame, safe: DataFrame, cell_m: float) -> DataFrame:
-    """One row of checks that must all hold for a finished mission."""
-    numbers = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("waypoint_id").alias("d"), F.min("waypoint_id").alias("lo"), F.max("waypoint_id").alias("hi"))
-    r = route.agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("segment_type") == "swath").alias("swaths"), F.count_if((F.col("x1") == F.col("x2")) & (F.col("y1") == F.col("y2"))).alias("points"))
-    off = outside(route.filter("segment_type = 'swath'"), target.select("row", "col").distinct(), cell_m).agg(F.count(F.lit(1)).alias("off"))
-    out = outside(route, safe.select("row", "col").distinct(), cell_m).agg(F.count(F.lit(1)).alias("out"))
-    met = numbers.crossJoin(r).crossJoin(off).crossJoin(out)  # one row each
-    checks = {"has_route": F.col("segments") > 0, "has_swaths": F.col("swaths") > 0, "has_waypoints": F.col("n") > 0, "waypoints_unique": F.col("n") == F.col("d"),
-              "waypoints_gapless": F.coalesce(F.col("hi") - F.col("lo") + 1 == F.col("n"), F.lit(False)), "no_empty_segments": F.col("points") == 0,
-              "swaths_in_target": F.col("off") == 0, "route_in_safe_area": F.col("out") == 0, "enough_waypoints": F.col("n") >= F.col("segments")}
+def validated(route: DataFrame, points: DataFrame, safe: DataFrame, fields: DataFrame, stages: DataFrame, files: DataFrame, cell_m: float) -> DataFrame:
+    """One row of the nine checks of a finished mission and whether all hold.
+
+    route: field, mission_order (through the mission), hop and ends; points: waypoint_id, x, y; safe: cells; fields: field, all that
+    were planned; stages: complete; files: exists.
+    """
+    r = route.filter("hop = 0").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("mission_order").alias("orders"))
+    lines = route.withColumn("line", F.monotonically_increasing_id())
+    met = geometry.inside_lengths(stored(lines.select("line", "x1", "y1", "x2", "y2")), geometry.cell_pieces(safe, cell_m))
+    out = met.agg(F.count_if(F.col("length_m") - F.col("inside_m") > NO_METRES).alias("out"))
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    n = points.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("waypoint_id").alias("ids"), F.count_if(~whole).alias("broken"))
+    s = stages.agg(F.bool_and("complete").alias("stages_ok"))
+    f = files.agg(F.bool_and("exists").alias("files_ok"))
+    mine, planned = route.select("field").distinct(), fields.select("field").distinct()
+    apart = mine.join(planned.withColumn("_p", F.lit(True)), "field", "full").join(mine.withColumn("_m", F.lit(True)), "field", "left").agg(F.count_if(F.col("_p").isNull() | F.col("_m").isNull()).alias("strange"))
+    met = r.crossJoin(out).crossJoin(n).crossJoin(s).crossJoin(f).crossJoin(apart)  # one row each
+    true = lambda c: F.coalesce(c, F.lit(False))
+    checks = {"stages_complete": true("stages_ok"), "output_files_exist": true("files_ok"), "route_not_empty": F.col("parts") > 0, "waypoints_not_empty": F.col("n") > 0,
+              "route_in_safe_area": F.col("out") == 0, "route_order_unique": F.col("orders") == F.col("parts"), "waypoint_order_unique": F.col("ids") == F.col("n"),
+              "coordinates_complete": F.col("broken") == 0, "fields_separated": F.col("strange") == 0}
     every = F.lit(True)
     for c in checks.values():
         every = every & c

@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators import geometry as G
 from fieldloom.operators import missions as P
 from fieldloom.operators import morphology as M
 from fieldloom.operators import sidewise as S
 from fieldloom.operators import zones as Z
 from fieldloom.plans.rasters import _FIELD, pixels, rounded, sided, zoned
 from fieldloom.plans.registry import query
-from fieldloom.session import stored
+from fieldloom.session import scratch, stored
+from fieldloom.sources import files
 from fieldloom.sources import raster as R
 
 _SWEEP = """ sw AS (SELECT min(col) x1, "row" y1, max(col) x2, "row" y2 FROM (SELECT "row", col, col - row_number() OVER (PARTITION BY "row" ORDER BY col) k FROM f WHERE ndre > 0.42 AND "row" % 4 = 0) GROUP BY "row", k HAVING count(*) > 3)"""
@@ -146,9 +148,100 @@ def sidewise_patches(spark, sf_dir):
     return side_patches(spark, sf_dir).select("side_id", "patch_id", "row", "col")
 
 
-#: A concave outline with a hole, in metres, for the polygon queries; scaled by the raster's height.
-OUTER, HOLE = ((2.0, 1.0), (28.0, 3.0), (30.0, 17.0), (16.0, 9.0), (4.0, 18.0)), ((20.0, 5.0), (25.0, 6.0), (24.0, 9.0))
+#: The rows' angle on the map, in degrees; a survey brings its own.
 ANGLE = 17.0
+#: The borders of the patches' cells, one side a metre, with the patch to the left.
+_BORDER = """, pp AS (SELECT pc.grp side_id, pn.patch_id, "row" r, col c FROM pc JOIN pn ON pn.grp = pc.grp AND pn.root = pc.root),
+ bo AS (SELECT side_id, patch_id, c x1, r y1, c + 1 x2, r y2 FROM pp a WHERE NOT EXISTS (SELECT 1 FROM pp b WHERE b.side_id = a.side_id AND b.patch_id = a.patch_id AND b.r = a.r - 1 AND b.c = a.c)
+  UNION ALL SELECT side_id, patch_id, c + 1, r + 1, c, r + 1 FROM pp a WHERE NOT EXISTS (SELECT 1 FROM pp b WHERE b.side_id = a.side_id AND b.patch_id = a.patch_id AND b.r = a.r + 1 AND b.c = a.c)
+  UNION ALL SELECT side_id, patch_id, c, r + 1, c, r FROM pp a WHERE NOT EXISTS (SELECT 1 FROM pp b WHERE b.side_id = a.side_id AND b.patch_id = a.patch_id AND b.r = a.r AND b.c = a.c - 1)
+  UNION ALL SELECT side_id, patch_id, c + 1, r, c + 1, r + 1 FROM pp a WHERE NOT EXISTS (SELECT 1 FROM pp b WHERE b.side_id = a.side_id AND b.patch_id = a.patch_id AND b.r = a.r AND b.c = a.c + 1))"""
+_SWATHS = _SIDE_PATCH + _BORDER + f""", ce AS (SELECT side_id, patch_id, avg(c + 0.5) cx, avg(r + 0.5) cy FROM pp GROUP BY 1, 2),
+ tu AS (SELECT bo.side_id, bo.patch_id, cx, cy, cx + (x1 - cx) * cos(radians({ANGLE})) + (y1 - cy) * sin(radians({ANGLE})) x1, cy - (x1 - cx) * sin(radians({ANGLE})) + (y1 - cy) * cos(radians({ANGLE})) y1,
+  cx + (x2 - cx) * cos(radians({ANGLE})) + (y2 - cy) * sin(radians({ANGLE})) x2, cy - (x2 - cx) * sin(radians({ANGLE})) + (y2 - cy) * cos(radians({ANGLE})) y2 FROM bo JOIN ce USING (side_id, patch_id)),
+ ba AS (SELECT side_id, patch_id, floor(min(least(y1, y2)) / 1.2) base FROM tu GROUP BY 1, 2),
+ ht AS (SELECT *, x1 + (k * 1.2 - y1) / (y2 - y1) * (x2 - x1) x FROM (SELECT *, unnest(range(CAST(ceil(least(y1, y2) / 1.2) AS BIGINT), CAST(ceil(greatest(y1, y2) / 1.2) AS BIGINT))) k FROM tu)),
+ pr AS (SELECT *, lead(x) OVER w x_to, row_number() OVER w i FROM ht WINDOW w AS (PARTITION BY side_id, patch_id, k ORDER BY x)),
+ sg AS (SELECT pr.*, k - base row_index, row_number() OVER (PARTITION BY pr.side_id, pr.patch_id ORDER BY k, x) segment_id FROM pr JOIN ba USING (side_id, patch_id) WHERE i % 2 = 1 AND x_to - x >= 1.0)"""
+
+
+def patch_corners(spark, sf_dir):
+    """The rings of the side patches' outlines; cells are a metre wide."""
+    return G.traced(_target(spark, sf_dir), 1.0, "side_id", "patch_id")
+
+
+def row_swaths(spark, sf_dir):
+    """Swaths at the rows' angle on the traced outlines of the side patches."""
+    middle = lambda c: F.avg(F.col(c) + 0.5)
+    cells = _target(spark, sf_dir)
+    centres = cells.groupBy("side_id", "patch_id").agg(middle("col").alias("cx"), middle("row").alias("cy"))
+    sides = G.cell_borders(cells, 1.0, "side_id", "patch_id")
+    return S.row_swaths(sides, centres, ANGLE, "side_id", "patch_id")
+
+
+@query(f"""SELECT side_id, CAST(patch_id AS INT) AS patch_id, CAST(row_index AS INT) AS row_index, CAST(segment_id AS INT) AS segment_id, round(x_to - x, 6) AS length_m,
+ round(cx + (x - cx) * cos(radians({ANGLE})) - (k * 1.2 - cy) * sin(radians({ANGLE})), 6) AS x1, round(cy + (x - cx) * sin(radians({ANGLE})) + (k * 1.2 - cy) * cos(radians({ANGLE})), 6) AS y1 FROM sg""", _SWATHS, True)
+def scanline_swaths(spark, sf_dir):
+    s = row_swaths(spark, sf_dir).withColumn("length_m", F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    return rounded(s.select("side_id", "patch_id", "row_index", "segment_id", "length_m", "x1", "y1"), "length_m", "x1", "y1")
+
+
+@query("""SELECT side_id, CAST(patch_id AS INT) AS patch_id, CAST(2 - (ou - re) // 4 AS BIGINT) AS rings, ou + re AS corners, CAST(sides AS BIGINT) AS border_m, CAST(n AS DOUBLE) AS area_m2 FROM
+ (SELECT side_id, patch_id, count(*) FILTER (d) AS ou, count(*) FILTER (NOT d) AS re FROM
+   (SELECT a.side_id, a.patch_id, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) > 0 d FROM bo a JOIN bo b ON a.side_id = b.side_id AND a.patch_id = b.patch_id AND a.x2 = b.x1 AND a.y2 = b.y1
+    WHERE (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) <> 0
+    AND ((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) > 0 OR (SELECT count(*) FROM bo o WHERE o.side_id = a.side_id AND o.patch_id = a.patch_id AND o.x1 = a.x2 AND o.y1 = a.y2) = 1)) GROUP BY 1, 2)
+ JOIN (SELECT side_id, patch_id, count(*) sides FROM bo GROUP BY 1, 2) USING (side_id, patch_id) JOIN (SELECT side_id, patch_id, count(*) n FROM pp GROUP BY 1, 2) USING (side_id, patch_id)""", _SIDE_PATCH + _BORDER, True)
+def patch_rings(spark, sf_dir):
+    """Outer rings and holes of each patch: left corners less right ones are four for an outer ring and minus four for a hole."""
+    keys = ["side_id", "patch_id"]
+    corners = stored(patch_corners(spark, sf_dir))
+    sides = G.corner_sides(corners, *keys).groupBy(*keys).agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).cast("long").alias("border_m"))
+    per = corners.groupBy(*keys, "ring").agg(F.count(F.lit(1)).alias("n"), F.first("signed_m2").alias("m2")).groupBy(*keys).agg(F.count(F.lit(1)).alias("rings"), F.sum("n").alias("corners"), F.sum("m2").alias("area_m2"))
+    return per.join(sides, keys)
+
+
+#: A field's outline for each side, from the table: a triangle over its cells.
+_TRIANGLE = """ fo AS (SELECT side_id, min(col) * 1.0 x0, max(col) + 1.0 x1, min("row") * 1.0 y0, max("row") + 1.0 y1, avg(col) xa FROM s GROUP BY side_id)"""
+
+
+def side_triangles(spark, sf_dir):
+    """side_id and the sides of a triangle: the lower corners of the side's box and a point at its top over the mean column."""
+    box = sided(spark, sf_dir).groupBy("side_id").agg(F.min("col").cast("double").alias("x0"), (F.max("col") + 1.0).alias("x1"), F.min("row").cast("double").alias("y0"), (F.max("row") + 1.0).alias("y1"), F.avg("col").alias("xa"))
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    return G.ring_sides(box.select("side_id", F.array(point("x0", "y0"), point("x1", "y0"), point("xa", "y1")).alias("points")), "side_id")
+
+
+def patch_triangles(spark, sf_dir):
+    """side_id, patch_id and the sides of the side's triangle, for every patch."""
+    patches = _target(spark, sf_dir).select("side_id", "patch_id").distinct()
+    return patches.join(F.broadcast(side_triangles(spark, sf_dir)), "side_id")  # three sides for each of two fields
+
+
+# a run's part of the triangle is linear between the heights where its sides meet the run's ends
+@query("""SELECT side_id, CAST(patch_id AS INT) AS patch_id, round(a, 5) AS inside_m2, round(n - a, 5) AS outside_m2, round(n + t - a, 5) AS union_m2 FROM
+ (SELECT side_id, patch_id, sum(n) n, sum(a) a FROM
+   (SELECT side_id, patch_id, "row", c0, c1, any_value(c1 - c0) n, coalesce(sum((w + w_to) / 2 * (y_to - y)), 0) a FROM
+     (SELECT *, greatest(least(x1 + (y - y0) / (y1 - y0) * (xa - x1), c1) - greatest(x0 + (y - y0) / (y1 - y0) * (xa - x0), c0), 0) w,
+        greatest(least(x1 + (y_to - y0) / (y1 - y0) * (xa - x1), c1) - greatest(x0 + (y_to - y0) / (y1 - y0) * (xa - x0), c0), 0) w_to FROM
+       (SELECT *, lead(y) OVER (PARTITION BY side_id, patch_id, "row", c0 ORDER BY y) y_to FROM
+         (SELECT DISTINCT *, unnest(["row", "row" + 1.0] || [least(greatest(v, "row"), "row" + 1.0) FOR v IN [y0 + (c0 - x0) / nullif(xa - x0, 0) * (y1 - y0), y0 + (c1 - x0) / nullif(xa - x0, 0) * (y1 - y0), y0 + (c0 - x1) / nullif(xa - x1, 0) * (y1 - y0), y0 + (c1 - x1) / nullif(xa - x1, 0) * (y1 - y0)] IF v IS NOT NULL]) y
+          FROM (SELECT ru.side_id, ru.patch_id, ru.r "row", ru.c0 * 1.0 c0, ru.c1 + 1.0 c1, x0, x1, y0, y1, xa FROM ru JOIN fo USING (side_id)))))
+    GROUP BY side_id, patch_id, "row", c0, c1) GROUP BY side_id, patch_id)
+ JOIN (SELECT side_id, (x1 - x0) * (y1 - y0) / 2 t FROM fo) USING (side_id)""",
+       _SIDE_PATCH + ", pp AS (SELECT pc.grp side_id, pn.patch_id, \"row\" r, col c FROM pc JOIN pn ON pn.grp = pc.grp AND pn.root = pc.root), ru AS (SELECT side_id, patch_id, r, min(c) c0, max(c) c1 FROM (SELECT *, c - row_number() OVER (PARTITION BY side_id, patch_id, r ORDER BY c) k FROM pp) GROUP BY side_id, patch_id, r, k)," + _TRIANGLE, True)
+def patch_overlay(spark, sf_dir):
+    """Area of each patch inside and outside its field's outline, and of both together, from the overlay of the traced rings."""
+    keys = ["side_id", "patch_id"]
+    rings = stored(G.corner_sides(patch_corners(spark, sf_dir), *keys))
+    fields = stored(patch_triangles(spark, sf_dir))
+    areas = [G.area(G.overlay(rings, fields, keep, *keys), *keys).withColumnRenamed("area_m2", name) for keep, name in (("and", "inside_m2"), ("minus", "outside_m2"), ("or", "union_m2"))]
+    met = areas[2].join(areas[0], keys, "left").join(areas[1], keys, "left").fillna(0.0)
+    return rounded(met.select(*keys, "inside_m2", "outside_m2", "union_m2"), "inside_m2", "outside_m2", "union_m2", places=5)
+
+
+#: An outline with a hole, in metres, for the polygon queries.
+OUTER, HOLE = ((2.0, 1.0), (28.0, 3.0), (30.0, 17.0), (16.0, 9.0), (4.0, 18.0)), ((20.0, 5.0), (25.0, 6.0), (24.0, 9.0))
 
 
 def rings(spark, sf_dir):
@@ -156,25 +249,6 @@ def rings(spark, sf_dir):
     return spark.createDataFrame(rows, "patch_id int, ring_id int, points array<struct<x:double,y:double>>")
 
 
-def _edge_sql() -> str:
-    import math
-
-    c, s = math.cos(math.radians(-ANGLE)), math.sin(math.radians(-ANGLE))
-    turn = lambda p: (p[0] * c - p[1] * s, p[0] * s + p[1] * c)
-    rows = [(*turn(a), *turn(b)) for ring in (OUTER, HOLE) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
-    values = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in r) + ")" for r in rows)
-    return f""" eg AS (SELECT * FROM (VALUES {values}) e(x1, y1, x2, y2)),
- ht AS (SELECT k, x1 + (k * 1.2 - y1) / (y2 - y1) * (x2 - x1) x FROM eg, (SELECT unnest(range(-100, 100)) k) WHERE k * 1.2 >= least(y1, y2) AND k * 1.2 < greatest(y1, y2)),
- pr AS (SELECT k, x, lead(x) OVER (PARTITION BY k ORDER BY x) x_to, row_number() OVER (PARTITION BY k ORDER BY x) i FROM ht),
- sg AS (SELECT k, x, x_to, dense_rank() OVER (ORDER BY k) - 1 row_index, row_number() OVER (ORDER BY k, x) - 1 segment_id FROM pr WHERE i % 2 = 1 AND x_to - x >= 1.0)"""
-
-
-@query(f"SELECT CAST(1 AS INT) AS patch_id, CAST(row_index AS INT) AS row_index, CAST(segment_id AS INT) AS segment_id, round(x_to - x, 6) AS length_m, round(x * cos(radians({ANGLE})) - k * 1.2 * sin(radians({ANGLE})), 6) AS x1, round(x * sin(radians({ANGLE})) + k * 1.2 * cos(radians({ANGLE})), 6) AS y1 FROM sg", _edge_sql())
-def scanline_swaths(spark, sf_dir):
-    s = S.scanline_swaths(rings(spark, sf_dir), ANGLE)
-    return s.select("patch_id", F.col("row_index").cast("int").alias("row_index"), F.col("segment_id").cast("int").alias("segment_id"), F.round(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 6).alias("length_m"), F.round("x1", 6).alias("x1"), F.round("y1", 6).alias("y1"))
-
-
 def patch_route(spark, sf_dir):
     """Swaths of the side patches' rows in snake order with straight connectors; cells are a metre wide."""
     r = M.runs(side_patches(spark, sf_dir), "side_id", "patch_id").filter("c1 > c0")
@@ -186,10 +260,11 @@ def patch_route(spark, sf_dir):
 
 
 def planned(spark, sf_dir):
-    """The route of every patch, its connectors straight where the patch covers them and by a path inside it elsewhere; and the connectors without any."""
-    swaths, links = patch_route(spark, sf_dir)
-    judged = stored(S.routed_connectors(links, _target(spark, sf_dir), 1.0, "side_id", "patch_id"))
-    return stored(S.patch_routes(swaths, judged, "side_id", "patch_id")), judged.filter("status = 'failed'")
+    """The route of every patch over its row-aligned swaths, connectors straight where the patch covers them and by a path inside it elsewhere; and the connectors without any."""
+    keys = ("side_id", "patch_id")
+    swaths = stored(S.snake_rows(row_swaths(spark, sf_dir), *keys))
+    judged = stored(S.routed_connectors(S.connectors(swaths, *keys), _target(spark, sf_dir), 1.0, *keys))
+    return stored(S.patch_routes(swaths, judged, *keys)), judged.filter("status = 'failed'")
 
 
 def whole_route(spark, sf_dir):
@@ -245,14 +320,24 @@ def side_metrics(spark, sf_dir):
 @query()
 def mission_metrics(spark, sf_dir):
     route, failed = planned(spark, sf_dir)
-    return S.mission_metrics(route, _target(spark, sf_dir), pixels(spark, sf_dir), zoned(spark, sf_dir).filter("zone > 0"), failed, S.waypoints(route, S.WAYPOINT_M), 1.0)
+    points = S.waypoints(route, S.WAYPOINT_M, "side_id", "patch_id")
+    return S.mission_metrics(route, _target(spark, sf_dir), pixels(spark, sf_dir), zoned(spark, sf_dir).filter("zone > 0"), failed, points, 1.0)
 
 
 @query()
 def validation_suite(spark, sf_dir):
+    """The nine checks on the mission of all patches, with its route and waypoints written as files."""
+    keys = ("side_id", "patch_id")
     route = whole_route(spark, sf_dir)
-    points = S.waypoints(route, S.WAYPOINT_M).select("waypoint_id")
-    return S.validated(route, points, _target(spark, sf_dir), pixels(spark, sf_dir), 1.0)
+    before = S.through_keys(route.groupBy(*keys).agg(F.max("mission_order").alias("n")), *keys).drop("n")
+    mission = stored(route.join(before, list(keys)).select(F.col("side_id").alias("field"), (F.col("before") + F.col("mission_order")).alias("mission_order"), "hop", "x1", "y1", "x2", "y2"))
+    points = stored(S.waypoints(route, S.WAYPOINT_M, *keys).select("waypoint_id", "x", "y"))
+    folder = scratch(spark)
+    for name, table in (("mission_route", mission), ("mission_waypoints", points)):
+        files.write_csv(table, f"{folder}/{name}")
+    target = _target(spark, sf_dir)
+    stages = [t.agg((F.count(F.lit(1)) > 0).alias("complete")) for t in (sided(spark, sf_dir), target, mission, points)]
+    return S.validated(mission, points, pixels(spark, sf_dir), target.select(F.col("side_id").alias("field")), reduce(lambda a, b: a.unionByName(b), stages), files.inventory(spark, folder, ["mission_route", "mission_waypoints"]), 1.0)
 
 
 @query('SELECT "row", col, round(1 + 5 * least(greatest(coalesce(risk, 1), 0), 1), 9) AS cost FROM (SELECT "row", col, CASE WHEN col % 7 <> 0 THEN ndvi * 1.3 - 0.2 END risk FROM f WHERE ndre > 0.1)')

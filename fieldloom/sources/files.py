@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators import geometry
+
 #: Lines of a paths file, in order; fixed by the format.
 PATH_NAMES = ("nir", "re", "r", "g", "ndvi", "dem", "shape")
 
@@ -68,6 +70,23 @@ def to_geojson(lines: DataFrame, *properties: str) -> DataFrame:
     return lines.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("value"))
 
 
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """polygon_id, ring, place, x, y, signed_m2: the corners of a GeoJSON file's outlines, repaired by crossing parity."""
+    return geometry.repaired(geometry.ring_sides(read_rings(spark, path), "polygon_id"), "polygon_id")
+
+
+def polygons_geojson(corners: DataFrame, *properties: str) -> DataFrame:
+    """value: a GeoJSON feature for each part of a region (see geometry.linked): its outer ring, then its holes, each closed."""
+    parts = geometry.nested(corners, *properties).select(*properties, "ring", "part")
+    points = F.array_sort(F.collect_list(F.struct("place", F.array("x", "y").alias("at"))))
+    ring = corners.join(parts, [*properties, "ring"]).groupBy(*properties, "part", "ring", "signed_m2").agg(F.transform(points, lambda p: p["at"]).alias("line"))
+    ring = ring.withColumn("line", F.concat("line", F.slice("line", 1, 1)))
+    rings = F.array_sort(F.collect_list(F.struct((-F.col("signed_m2")).alias("m2"), "ring", "line")))
+    whole = ring.groupBy(*properties, "part").agg(F.transform(rings, lambda r: r["line"]).alias("coordinates"))
+    shape = F.struct(F.lit("Polygon").alias("type"), "coordinates")
+    return whole.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("value"))
+
+
 def write_zones(zones: DataFrame, path: str) -> None:
     zones.write.mode("overwrite").partitionBy("dataset", "method").parquet(path)
 

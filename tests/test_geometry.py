@@ -146,3 +146,32 @@ def test_merged_lines(spark):
     df = spark.createDataFrame(rows, "k string, x1 double, y1 double, x2 double, y2 double")
     got = sorted((r["k"], *(round(r[c], 6) for c in G.ENDS)) for r in G.merged_lines(df, "k").collect())
     assert got == [("a", 0.0, 0.0, 4.0, 4.0), ("a", 0.0, 0.0, 6.0, 0.0), ("a", 0.0, 1.0, 4.0, 1.0), ("a", 2.0, 1.0, 2.0, 9.0), ("a", 7.0, 0.0, 8.0, 0.0), ("b", 0.0, 0.0, 4.0, 0.0)]
+
+
+def test_polygons_to_geojson_and_back(spark, tmp_path):
+    import json
+
+    from fieldloom.sources import files
+
+    hole = {(r, c) for r in range(5) for c in range(6)} - {(1, 1), (2, 1), (3, 4)} | {(8, 8)}
+    df = spark.createDataFrame(sorted(("a", r, c) for r, c in hole), "name string, row int, col int")
+    features = [json.loads(r["value"]) for r in files.polygons_geojson(G.traced(df, 1.0, "name"), "name").collect()]
+    assert sorted(len(f["geometry"]["coordinates"]) for f in features) == [1, 3]
+    assert all(r[0] == r[-1] for f in features for r in f["geometry"]["coordinates"])
+    path = tmp_path / "a.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    back = files.read_regions(spark, f"file://{path}")
+    rings = defaultdict(list)
+    for r in back.orderBy("polygon_id", "ring", "place").collect():
+        rings[r["polygon_id"], r["ring"]].append((r["x"], r["y"]))
+    assert {(r, c) for r in range(-1, 10) for c in range(-1, 10) if crosses(list(rings.values()), c + 0.5, r + 0.5)} == hole
+    bow = {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[list(p) for p in [*BOW_TIE, BOW_TIE[0]]]]}}
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [bow]}))
+    assert sorted(r["n"] for r in files.read_regions(spark, f"file://{path}").groupBy("ring").count().withColumnRenamed("count", "n").collect()) == [3, 3]
+
+
+def test_long_lines_over_small_or_no_regions(spark):
+    line = spark.createDataFrame([(1, -1e6, 0.5, 1e6, 0.5)], "line long, x1 double, y1 double, x2 double, y2 double")
+    cell = G.cell_pieces(spark.createDataFrame([(0, 0)], "row int, col int"), 1.0)
+    assert G.inside_lengths(line, cell).first()["inside_m"] == pytest.approx(1.0, abs=1e-4)
+    assert G.inside_lengths(line, cell.filter("y0 > 5")).first()["inside_m"] == 0

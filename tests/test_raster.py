@@ -202,30 +202,107 @@ def test_routes_and_metrics_hold_all_patches(spark, monkeypatch):
     monkeypatch.setattr(plans, "zoned", lambda *_: grid(spark, [(r, c, int(r < 3)) for _, _, r, c in cells], ("row", "col", "zone"), ("int",) * 3))
     monkeypatch.setattr(plans, "sided", ground)
     monkeypatch.setattr(plans, "pixels", ground)
+    monkeypatch.setattr(plans, "ANGLE", 0.0)  # rows from west to east, 1.2 m apart
+    at = {p: [1.2 * k for k in range(60) if low <= 1.2 * k < high] for p, low, high in [(p, 3 * p, 3 * p + 2) for p in range(1, 10)] + [(10, 40, 41)]}
+    wide = dict.fromkeys(range(1, 10), 4.0) | {10: 1.0}
+    strip = lambda r, y: y - 0.6 < r + 1 - 1e-9 and y + 0.6 > r + 1e-9
+    hit = {p: sum(wide[p] for r in ((3 * p, 3 * p + 1) if p < 10 else (40,)) if any(strip(r, y) for y in ys)) for p, ys in at.items()}
+    path = {p: wide[p] * len(ys) + 1.2 * (len(ys) - 1) for p, ys in at.items()}
     got = {r["patch_id"]: r for r in plans.patch_metrics(spark, "").collect()}
-    assert {p: (r["swath_count"], r["target_cells"], r["covered_cells"]) for p, r in got.items()} == {p: (2, 8, 8) for p in range(1, 10)} | {10: (0, 1, 0)}
-    assert [round(got[p]["path_length_m"], 6) for p in (1, 9, 10)] == [7.0, 7.0, 0.0]  # two swaths of three metres and a metre between
-    assert all(r["outside_own_length_m"] == r["outside_safe_length_m"] == r["failed_connector_count"] == 0 for r in got.values())
-    assert round(got[1]["vegetation_length_m"], 6) == 0 and got[1]["mission_name"] == "southwest_patch_01"
+    assert {p: (r["swath_count"], r["route_part_count"], r["target_cells"], r["covered_cells"]) for p, r in got.items()} == {p: (len(ys), 2 * len(ys) - 1, 8 if p < 10 else 1, hit[p]) for p, ys in at.items()}
+    assert all(math.isclose(got[p]["path_length_m"], path[p], abs_tol=1e-9) for p in at)
+    assert all(r["failed_connector_count"] == 0 and r["outside_own_length_m"] < 1e-6 and r["outside_safe_length_m"] < 1e-6 for r in got.values())
+    assert math.isclose(got[1]["vegetation_length_m"], 0, abs_tol=1e-6) and got[1]["mission_name"] == "southwest_patch_01"
     side = plans.side_metrics(spark, "").first()
-    assert (side["patch_count"], side["swath_count"], side["target_area_m2"], round(side["path_length_m"], 6)) == (10, 18, 73.0, 63.0)
+    assert (side["patch_count"], side["swath_count"], side["target_area_m2"]) == (10, sum(map(len, at.values())), 73.0) and math.isclose(side["path_length_m"], sum(path.values()))
     total = plans.mission_metrics(spark, "").first()
-    assert (total["target_cells"], total["covered_cells"], total["patch_count"]) == (len(cells), 72, 10)
+    assert (total["target_cells"], total["covered_cells"], total["patch_count"]) == (len(cells), sum(hit.values()), 10)
     assert total["feasibility"] == sidewise.FEASIBLE
-
-
-def test_driven_and_touched_cells(spark):
+    assert all(plans.validation_suite(spark, "").first().asDict().values())
+
+
+def test_lengths_outside_are_exact_and_count_once(spark):
+    """Metres outside a region of two cells, of a line driven twice, one across a corner and one along the border."""
+    region = grid(spark, [(1, 0, 0), (1, 1, 1)], ("k", "row", "col"), ("int",) * 3)
+    rows = [(1, 1, 0, "swath", -1.0, 0.5, 3.0, 0.5), (1, 2, 0, "swath", 2.0, 0.5, -1.0, 0.5), (1, 3, 0, "swath", 0.5, 0.5, 1.5, 1.5), (1, 4, 0, "swath", 0.0, 0.0, 0.0, 1.0)]
+    route = spark.createDataFrame(rows, "k int, mission_order int, hop int, segment_type string, x1 double, y1 double, x2 double, y2 double")
+    none = grid(spark, [], ("k",), ("int",))
+    m = sidewise.route_metrics(route, region, region, region.filter("col = 1"), none, 1.0, "k").first()
+    assert math.isclose(m["path_length_m"], 8 + 2**0.5) and math.isclose(m["outside_own_length_m"], 3.0, abs_tol=1e-5)
+    assert math.isclose(m["vegetation_length_m"], 2**0.5 / 2, abs_tol=1e-5)
+
+
+def test_waypoints_follow_parts_through_patches(spark):
+    """Numbers run patch by patch; a connector of two hops is one part; each point looks at its part's next one."""
+    rows = [(2, 1, 1, 0, "swath", 0.0, 0.0, 1.2, 0.0), (1, 2, 1, 0, "swath", 5.0, 5.0, 5.0, 5.0), (1, 1, 1, 0, "swath", 0.0, 0.0, 0.0, 0.5), (1, 1, 2, 0, "connector", 0.0, 0.5, 0.3, 0.5), (1, 1, 2, 1, "connector", 0.3, 0.5, 0.3, 1.6), (1, 1, 3, 0, "swath", 9.0, 1.6, 8.0, 1.6)]
+    route = spark.createDataFrame(rows, "side_id int, patch_id int, mission_order int, hop int, segment_type string, x1 double, y1 double, x2 double, y2 double")
+    got = sidewise.waypoints(route, 0.5, "side_id", "patch_id").orderBy("waypoint_id").collect()
+    want, number = [], 1
+    parts = {}
+    for r in rows:
+        parts.setdefault(r[:3], []).append((r[5:7], r[7:9]))
+    for key in sorted(parts):
+        line = [parts[key][0][0]] + [b for _, b in sorted(parts[key], key=lambda h: [r[3] for r in rows if r[:3] == key and r[5:7] == h[0]])]
+        whole = sum(math.dist(a, b) for a, b in zip(line, line[1:]))
+        n, points = max(1, math.ceil(whole / 0.5)), []
+        for i in range(n + 1):
+            left = i * whole / n
+            for a, b in zip(line, line[1:]):
+                m = math.dist(a, b)
+                if left <= m + 1e-12:
+                    break
+                left -= m
+            f = left / m if m else 0.0
+            points.append((a[0] + f * (b[0] - a[0]), a[1] + f * (b[1] - a[1])))
+        heading = [math.degrees(math.atan2(q[1] - p[1], q[0] - p[0])) for p, q in zip(points, points[1:])]
+        for (x, y), h in zip(points, heading + heading[-1:], strict=True):
+            want.append((*key, number, x, y, h))
+            number += 1
+    assert len(got) == len(want)
+    for r, w in zip(got, want, strict=True):
+        assert (r["side_id"], r["patch_id"], r["mission_order"], r["waypoint_id"]) == w[:4]
+        assert np.allclose((r["x"], r["y"], r["heading_deg"]), w[4:])
+
+
+def test_simpler_lines_stay_inside():
+    def plain(points, tolerance):
+        if len(points) < 3:
+            return points
+        a, b = np.array(points[0]), np.array(points[-1])
+        def off(p):
+            t = np.clip(np.dot(p - a, b - a) / max(np.dot(b - a, b - a), 1e-300), 0, 1)
+            return float(np.hypot(*(p - a - t * (b - a))))
+        far = [off(np.array(p)) for p in points[1:-1]]
+        k = int(np.argmax(far)) + 1
+        return plain(points[: k + 1], tolerance)[:-1] + plain(points[k:], tolerance) if max(far) > tolerance else [points[0], points[-1]]
+
+    rng = random.Random(6)
+    for _ in range(60):
+        line = [(0.0, 0.0)]
+        for _ in range(rng.randint(1, 40)):
+            line.append((line[-1][0] + rng.choice([0, 1, 1]), line[-1][1] + rng.choice([-1, 0, 1]) + rng.random() * 1e-3))
+        assert sidewise.simplified(line, 0.25) == plain(line, 0.25)
+    cells = {(0, 0), (0, 1), (1, 1)}
+    assert sidewise.covered([(0.2, 0.2), (1.5, 0.9), (1.5, 1.9)], cells, 1.0) and sidewise.covered([(0.0, 1.0), (1.0, 1.0)], cells, 1.0)
+    assert not sidewise.covered([(0.2, 0.2), (1.5, 1.9)], cells, 1.0) and sidewise.covered([(0.1, 0.1), (0.1, 0.1)], cells, 1.0)
+
+
+@pytest.mark.parametrize(("change", "check"), [
+    ("order", "route_order_unique"), ("number", "waypoint_order_unique"), ("place", "coordinates_complete"), ("field", "fields_separated"), ("safe", "route_in_safe_area"), ("file", "output_files_exist"), ("stage", "stages_complete"), ("empty", "route_not_empty"), (None, None)])
+def test_each_check_can_fail(spark, change, check):
+    route = [("a", 1, 0, 0.2, 0.5, 0.8, 0.5), ("b", 1 if change == "order" else 2, 0, 0.8, 0.5, 1.8, 0.5), ("c" if change == "field" else "b", 3, 0, 1.8, 0.5, 0.5, 0.5)]
+    points = [(1, 0.2, 0.5), (1 if change == "number" else 2, None if change == "place" else 0.8, 0.5)]
+    table = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    got = sidewise.validated(
+        table([] if change == "empty" else route, "field string, mission_order int, hop int, x1 double, y1 double, x2 double, y2 double"), table(points, "waypoint_id int, x double, y double"),
+        table([(0, 0)] + ([] if change == "safe" else [(0, 1)]), "row int, col int"), table([("a",), ("b",)], "field string"), table([(True,), (change != "stage",)], "complete boolean"), table([(change != "file",)], "exists boolean"), 1.0).first().asDict()
+    wrong = {n for n, ok in got.items() if not ok}
+    assert wrong == ({check, "all_ok"} | ({"fields_separated"} if change == "empty" else set()) if change else set())
+
+
+def test_touched_cells(spark):
     lines = grid(spark, [(0.3, 0.2, 7.1, 5.4), (2.5, 1.5, 6.5, 1.5), (4.0, 6.0, 1.0, 0.5)], ("x1", "y1", "x2", "y2"), ("double",) * 4)
     rows = [tuple(r) for r in lines.collect()]
-    got = {(r["row"], r["col"]): r["metres"] for r in sidewise.driven(lines, 1.0).collect()}
-    assert math.isclose(sum(got.values()), sum(math.hypot(c - a, d - b) for a, b, c, d in rows))
-    want = {}
-    for a, b, c, d in rows:
-        for i in range(4000):
-            f = (i + 0.5) / 4000
-            at = (math.floor(b + f * (d - b)), math.floor(a + f * (c - a)))
-            want[at] = want.get(at, 0) + math.hypot(c - a, d - b) / 4000
-    assert all(abs(got.get(k, 0) - want.get(k, 0)) < 0.51 for k in got.keys() | want.keys())
     hit = set()
     for a, b, c, d in rows:  # points of the strip, so finely that no overlap of note is missed
         n = math.hypot(c - a, d - b)
