@@ -3,7 +3,8 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters slide over the
 embedded bytes of a chunk and are max-pooled; a chunk's pooled activations are averaged over all chunks
 and a logistic unit turns them into one probability. Everything is trained here by Adam, on the driver, on the whole texts of a
-bounded sample of labelled documents: the first SAMPLE of each class in the order of a hash of the id, as many as fit in SAMPLE_BYTES.
+bounded sample of labelled documents: the first SAMPLE of each class in the order of a hash of the id, as many as fit in half
+of SAMPLE_BYTES for each class. A text of more than a quarter of a class's bytes isn't learnt from; it doesn't keep others out.
 
 Defined cases: null or empty text is one chunk of padding and gets a score; labels null or repeated: a document with
 any label 1 counts as good, one without label isn't learnt from; with labels of one class or none the score is the
@@ -155,9 +156,11 @@ def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE, sample_bytes:
     chosen = picks[0].unionByName(picks[1])
     met = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))  # at most 2 * sample rows
     per = stored(met.groupBy("l_id").agg(F.first("good").cast("int").alias("good"), F.min("text").alias("text")))
-    # at most 2 * sample rows: in the order of a hash, as many as fit
-    order = per.select("l_id", F.octet_length("text").alias("bytes")).withColumn("held", F.sum("bytes").over(Window.orderBy(key, "l_id")))
-    rows = per.join(F.broadcast(order.filter(F.col("held") <= sample_bytes).select("l_id")), "l_id")
+    # at most sample rows a class: in the order of a hash, as many as fit beside each other
+    most = sample_bytes // 2
+    order = per.select("l_id", "good", F.octet_length("text").alias("bytes")).filter(F.col("bytes") <= most // 4)
+    order = order.withColumn("held", F.sum("bytes").over(Window.partitionBy("good").orderBy(key, "l_id")))
+    rows = per.join(F.broadcast(order.filter(F.col("held") <= most).select("l_id")), "l_id")
     got = sorted((int(r["good"]), r["text"].encode()) for r in rows.select("good", "text").toLocalIterator())
     good = np.array([g for g, _ in got], np.float32)
     if not len(good) or good.min() == good.max():

@@ -557,3 +557,17 @@ def test_pipeline(spark, tmp_path, rows):
         assert kept.columns == docs.columns, name
     out = corpus_pipeline.run(spark, d)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
+
+
+def test_an_oversized_text_keeps_no_other_out_of_the_sample(spark):
+    """With a text beyond the sample's bytes, wherever it comes in order, the net is the one learnt without it."""
+    rng = random.Random(12)
+    words = ["the", "of", "and", "reading", "water", "house"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(8)) if i % 2 else "$$ ## " * 8, 1 if i % 2 else 0) for i in range(80)]
+    docs, marks = (lambda r: spark.createDataFrame([x[:2] for x in r], "doc_id long, text string")), (lambda r: spark.createDataFrame([(x[0], x[2]) for x in r], "doc_id long, quality int"))
+    plain = convnet.fit(docs(rows), marks(rows), sample_bytes=12_000)
+    assert isinstance(plain, convnet.Net)
+    for big in range(4):
+        more = [*rows, (1000 + big, "word " * 2000, big % 2)]
+        net = convnet.fit(docs(more), marks(more), sample_bytes=12_000)
+        assert all(np.array_equal(a, b) for a, b in zip(plain.parts(), net.parts(), strict=True))
