@@ -1,12 +1,14 @@
 """Substring dedup by collinear chaining: long passages that documents share, also with small changes.
 
 1. Seeds: of the hashes of all runs of K words, the least of every WINDOW neighbours (winnowing), so any WINDOW+K-1 equal
-   words in a row share a seed. A block of texts sends each distinct seed once, with the first document (in the order of
-   a hash of the document) that holds it.
+   words in a row share a seed; short runs and narrow windows find passages with many changes too. A block of texts sends each
+   distinct seed once, with the first document (in the order of a hash of the document) that holds it.
 2. A bucket of seeds finds the first document of all that holds a seed, the reference, and answers the blocks whose
    documents share it. So a passage in any number of documents costs a row for each block, and no pairs are made.
 3. In its block a document's matches with one reference are chained: a match follows another if it lies behind it in
    both texts, at a cost for the words between; the best predecessor comes from a Fenwick tree over the reference's places.
+   A chain of one match counts only if BESIDE of the NEAR words around it agree (4 bits of each travel with the seed): chance
+   matches of common words end here.
 4. The reference's words around a chain are fetched in tiles, each tile once for each block, and the chain is aligned: gaps between
    its matches are closed by the best single shift and both ends are extended while words agree. Stretches of MIN_WORDS
    words with IDENTITY of them equal are the result.
@@ -34,14 +36,16 @@ from fieldloom.llm.common import WORD, blocks_for, bounded, documents, id_text,
 from fieldloom.llm.shingles import _power_tables, mixed, shingle_hashes, slices, word_hashes
 from fieldloom.session import stored
 
-K, WINDOW = 8, 12
+K, WINDOW = 6, 10
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words between two matches of a chain that use up the worth of a match, counted in both texts together.
 GAP_WORDS = 80
 #: Extending stops when it has lost this many words against its best.
 DROP = 8
+#: Words beside a seed whose hashes travel with it, before and after it, and how many must agree for a match on its own.
+NEAR, BESIDE = (-2, -1, K, K + 1), 2
 #: Words around a chain that are looked at, and words in a tile of a reference.
-MARGIN, TILE = 256, 256
+MARGIN, TILE = 128, 128
 BLOCK_BYTES, BUCKETS = 4 << 20, 64
 
 
@@ -98,6 +102,24 @@ def run_heads(seed: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[n
 
 
 _AGAIN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def beside(words: np.ndarray, offsets: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Four bits, 1 to 15, of each of the NEAR words of a seed; 0 where the text has none."""
+    out = np.zeros(len(place), np.uint16)
+    begin, end = offsets[owner], offsets[owner + 1]
+    for i, step in enumerate(NEAR):
+        at = begin + place + step
+        some = (at >= begin) & (at < end)
+        out[some] |= ((words[at[some]] % np.uint64(15) + np.uint64(1)) << np.uint64(4 * i)).astype(np.uint16)
+    return out
+
+
+def agreeing(a: int, b: int) -> int:
+    """How many of the NEAR words agree; one that either text lacks agrees."""
+    return sum(not (x := a >> 4 * i & 15) or not (y := b >> 4 * i & 15) or x == y for i in range(len(NEAR)))
+
+
 SENT = "bucket int, block long, seed binary, uid binary, place binary"
 _SHARED = np.uint32(1 << 31)
 
@@ -107,14 +129,14 @@ def _sent(buckets: int):
 
     def run(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
         uid = docs["uid"].to_numpy(np.int64)
-        found = [(s, uid[first + o], p) for first, _, _, s, o, p in seeds(docs["text"].tolist())]
-        s, u, p = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found = [(s, uid[first + o], p, beside(w, at, o, p)) for first, w, at, s, o, p in seeds(docs["text"].tolist())]
+        s, u, p, near = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16))
         order = np.lexsort((p, u, s))
-        s, u, p = s[order], u[order], p[order].astype(np.uint32)
+        s, u, p, near = s[order], u[order], p[order].astype(np.uint32), near[order]
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         tail = np.concatenate([head[1:], [len(s)]]) - 1
         p = p[head] | np.where(u[head] != u[tail], _SHARED, np.uint32(0))
-        s, u = s[head], u[head]
+        s, u, near = s[head], u[head], near[head]
         where = (s % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         cut = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -122,8 +144,8 @@ def _sent(buckets: int):
         for b in range(buckets):
             own = order[cut[b] : cut[b + 1]]
             if len(own):
-                rows.append((b, key[0], s[own].tobytes(), u[own].tobytes(), p[own].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "block", "seed", "uid", "place"])
+                rows.append((b, key[0], s[own].tobytes(), u[own].tobytes(), p[own].tobytes(), near[own].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "block", "seed", "uid", "place", "near"])
 
     return run
 
@@ -132,7 +154,7 @@ ANSWERED = "block long, seed binary, uid binary, place binary"
 
 
 def _referred(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block the seeds that its documents share with others, with the reference's document and place.
+    """For each block the seeds that its documents share with others, with the reference's document and place, and its id or near words.
 
     The reference's own block is told as well: it has to know that the seed is shared.
     """
@@ -152,16 +174,17 @@ def _referred(rows: pd.DataFrame) -> pd.DataFrame:
     wanted = shared[group]
     out = []
     ref_u, ref_p = u[first][group], (p[first] & ~_SHARED)[group]
-    extra = np.concatenate([np.frombuffer(x, np.int64) for x in rows["id"]])[by][first][group][wanted] if "id" in rows else None
+    name, kind = ("id", np.int64) if "id" in rows else ("near", np.uint16)
+    extra = np.concatenate([np.frombuffer(x, kind) for x in rows[name]])[by][first][group][wanted]
     order = np.argsort(block[wanted], kind="stable")
-    extra = None if extra is None else extra[order]
+    extra = extra[order]
     s, ref_u, ref_p, block = s[wanted][order], ref_u[wanted][order], ref_p[wanted][order], block[wanted][order]
     cut = np.searchsorted(block, np.arange(len(rows) + 1))
     for i, b in enumerate(rows["block"]):
         own = slice(cut[i], cut[i + 1])
         if cut[i + 1] > cut[i]:
-            out.append((b, s[own].tobytes(), ref_u[own].tobytes(), ref_p[own].tobytes(), *([] if extra is None else [extra[own].tobytes()])))
-    return pd.DataFrame(out, columns=["block", "seed", "uid", "place", *([] if extra is None else ["id"])])
+            out.append((b, s[own].tobytes(), ref_u[own].tobytes(), ref_p[own].tobytes(), extra[own].tobytes()))
+    return pd.DataFrame(out, columns=["block", "seed", "uid", "place", name])
 
 
 def chains(x: np.ndarray, y: np.ndarray, worth: int = K, gap_words: int = GAP_WORDS) -> list[list[int]]:
@@ -231,15 +254,16 @@ CHAINED = "block long, doc_id string, uid long, n_words long, ref long, x binary
 
 
 def _chained(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """The chains of a block's documents, each with the document's words around it, and the stretches of shared windows."""
+    """The chains of a block's documents, each with 32 bits of the document's words around it, and the stretches of shared windows."""
     rows = []
     names = [c.split()[0] for c in CHAINED.split(", ")]
     if len(docs) and len(answers):
         s = np.concatenate([np.frombuffer(b, np.uint64) for b in answers["seed"]])
         u = np.concatenate([np.frombuffer(b, np.int64) for b in answers["uid"]])
         p = np.concatenate([np.frombuffer(b, np.uint32) for b in answers["place"]]).astype(np.int64)
+        near = np.concatenate([np.frombuffer(b, np.uint16) for b in answers["near"]])
         order = np.argsort(s)
-        s, u, p = s[order], u[order], p[order]
+        s, u, p, near = s[order], u[order], p[order], near[order]
         docs = docs.drop_duplicates("uid")
         ids, uid = docs["doc_id"].tolist(), docs["uid"].to_numpy(np.int64)
         for first, words, offsets, seed, owner, place in seeds(docs["text"].tolist()):
@@ -254,8 +278,9 @@ def _chained(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFr
                     rows.append((key[0], ids[first + i], int(uid[first + i]), int(offsets[i + 1] - offsets[i]), 0, None, None, int(begin[a] - offsets[i]), values[a:b].tobytes()))
             hit &= u[at] != uid[first + owner]
             d, x, ref, y = owner[hit], place[hit], u[at[hit]], p[at[hit]]
+            mine, its = beside(words, offsets, d, x), near[at[hit]]
             order = np.lexsort((x, ref, d))
-            d, x, ref, y = d[order], x[order], ref[order], y[order]
+            d, x, ref, y, mine, its = d[order], x[order], ref[order], y[order], mine[order], its[order]
             edge = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (ref[1:] != ref[:-1]), [True]])) if len(d) else []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 i = int(d[a])
@@ -268,9 +293,11 @@ def _chained(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFr
                     found = chains(gx, gy)
                 own = words[offsets[i] : offsets[i + 1]]
                 for c in found:
+                    if len(c) == 1 and agreeing(int(mine[a + c[0]]), int(its[a + c[0]])) < BESIDE:
+                        continue
                     cx, cy = gx[c], gy[c]
                     lo, hi = max(0, int(cx[0]) - MARGIN), min(len(own), int(cx[-1]) + K + MARGIN)
-                    rows.append((key[0], ids[first + i], int(uid[first + i]), len(own), int(ref[a]), cx.astype(np.int32).tobytes(), cy.astype(np.int32).tobytes(), lo, own[lo:hi].tobytes()))
+                    rows.append((key[0], ids[first + i], int(uid[first + i]), len(own), int(ref[a]), cx.astype(np.int32).tobytes(), cy.astype(np.int32).tobytes(), lo, own[lo:hi].astype(np.uint32).tobytes()))
     return pd.DataFrame(rows, columns=names)
 
 
@@ -289,7 +316,7 @@ def _tiles(key: tuple, docs: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame
             for i in range(len(raw)):
                 own = words[offsets[i] : offsets[i + 1]]
                 for block, tile in zip(ask[uid[first + i]]["block"], ask[uid[first + i]]["tile"], strict=True):
-                    rows.append((block, uid[first + i], ids[first + i], len(own), tile, own[tile * TILE : (tile + 1) * TILE].tobytes()))
+                    rows.append((block, uid[first + i], ids[first + i], len(own), tile, own[tile * TILE : (tile + 1) * TILE].astype(np.uint32).tobytes()))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in TILES.split(", ")])
 
 
@@ -384,9 +411,9 @@ def _aligned(key: tuple, chain_rows: pd.DataFrame, tiles: pd.DataFrame) -> pd.Da
         ids = dict(zip(tiles["ref"], tiles["ref_id"], strict=True))
         for c in chain_rows.itertuples():
             x, y = np.frombuffer(c.x, np.int32).astype(np.int64), np.frombuffer(c.y, np.int32).astype(np.int64)
-            a = np.frombuffer(c.words, np.uint64)
+            a = np.frombuffer(c.words, np.uint32)
             first, last = max(0, int(y[0]) - MARGIN) // TILE, (int(y[-1]) + K + MARGIN) // TILE
-            b = np.frombuffer(b"".join(known.get((c.ref, t), b"") for t in range(first, last + 1)), np.uint64)
+            b = np.frombuffer(b"".join(known.get((c.ref, t), b"") for t in range(first, last + 1)), np.uint32)
             from_x, from_y = c.begin, first * TILE
             cx, cy, equal = aligned(a, b, x - from_x, y - from_y)
             for i, j in alike(equal):
@@ -506,8 +533,8 @@ def passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES, buckets: int | Non
     bounded(docs.sparkSession)
     rows = docs.select(id_text(), uid_of(), text_of().alias("text"))
     rows = rows.withColumn("block", F.pmod("uid", F.lit(blocks))).repartition(blocks, "block")
-    sent = rows.groupBy("block").applyInPandas(_sent(buckets), SENT)
-    answers = sent.groupBy("bucket").applyInPandas(_referred, ANSWERED)
+    sent = rows.groupBy("block").applyInPandas(_sent(buckets), SENT + ", near binary")
+    answers = sent.groupBy("bucket").applyInPandas(_referred, ANSWERED + ", near binary")
     both = stored(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_chained, CHAINED))
     chained, stretches = both.filter("x is not null"), both.filter("x is null")
     spans = chained.mapInPandas(_asked, "block long, ref long, first long, last long")

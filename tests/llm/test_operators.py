@@ -571,3 +571,38 @@ def test_an_oversized_text_keeps_no_other_out_of_the_sample(spark):
         more = [*rows, (1000 + big, "word " * 2000, big % 2)]
         net = convnet.fit(docs(more), marks(more), sample_bytes=12_000)
         assert all(np.array_equal(a, b) for a, b in zip(plain.parts(), net.parts(), strict=True))
+
+
+def common_words(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize(("n", "rate", "even", "least"), [(60, 0.1, True, 0.9), (60, 0.1, False, 0.95), (100, 0.1, False, 0.95), (100, 0.15, False, 0.9), (200, 0.15, False, 0.95)])
+def test_recall_of_fuzzy_passages(spark, n, rate, even, least):
+    """Planted passages within IDENTITY are found, and what is found are alike stretches of both texts."""
+    rng = random.Random(int(n * 100 * rate) + even)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    words = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    rows, pairs = [], 60
+    for i in range(pairs):
+        base = words(n)
+        copy = list(base)
+        for at in range(4, n, round(1 / rate)) if even else rng.sample(range(n), int(n * rate)):
+            copy[at] = "changed" + rng.choice(vocabulary)
+        rows += [(2 * i, " ".join(words(80) + base + words(90))), (2 * i + 1, " ".join(words(120) + copy + words(40)))]
+    texts = {i: t.split(" ") for i, t in rows}
+    found = chaining.passages(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=20_000, buckets=3).collect()
+    met = set()
+    for r in found:
+        own, ref = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["ref_id"]][r["ref_start"] : r["ref_end"]]
+        assert len(own) >= chaining.MIN_WORDS and r["n_words"] == len(texts[r["doc_id"]])
+        assert r["equal_words"] <= common_words(own, ref) and r["equal_words"] >= chaining.IDENTITY * max(len(own), len(ref))
+        assert r["doc_id"] // 2 == r["ref_id"] // 2
+        met.add(r["doc_id"] // 2)
+    assert len(met) >= least * pairs, len(met)
