@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import WORD, documents, text_of, whole_row
+from fieldloom.operators.joins import split_join
 from fieldloom.session import stored
 
 #: Weights by the source's place in code point order, repeating; fixed by the contract.
@@ -44,6 +45,11 @@ def hash_key() -> Column:
     return F.conv(F.substring(F.md5(F.encode(own, "UTF-8")), 1, 15), 16, 10).cast("long")
 
 
+def source_key() -> Column:
+    """The source as a text that is never null and differs for null and empty ones."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source_key")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> DataFrame:
     """One row per source: rows, size, weight, target (double) and budget (whole words).
 
@@ -75,11 +81,10 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, epochs (whole takes) and cut (words of a last partial take)."""
     sized = stored(docs.select("doc_id", "source", word_count(text_of()).alias("size"), hash_key().alias("key")))  # texts are read once
-    plan = source_targets(sized, weights, most).withColumn("ranges", F.ceil(F.col("rows") / range_rows).cast("long"))
-    keyed = sized.join(
-        plan.select(F.col("source").alias("p_source"), "source_size", "target", "budget", "ranges"),
-        F.col("source").eqNullSafe(F.col("p_source")),
-    )
+    plan = stored(source_targets(sized, weights, most).withColumn("ranges", F.ceil(F.col("rows") / range_rows).cast("long")))
+    # a source's rows meet its plan by split_join: a hot source stays spread
+    plan = plan.select(source_key(), "source_size", "target", "budget", "ranges", F.col("rows").alias("n_rows"))
+    keyed = split_join(sized.withColumn("source_key", source_key()), plan, "source_key", "n_rows", sized.count()).drop("source_key")
     keyed = keyed.withColumn("range", F.floor(F.col("key") / (F.lit(float(1 << KEY_BITS)) / F.col("ranges"))).cast("long"))
     at = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size")).select(

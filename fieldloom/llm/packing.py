@@ -6,7 +6,7 @@ pieces need; where it equals the bins used, the partition is certified. Bins tha
 exchanged: whole bins of different partitions meet in half as many partitions as before,
 where their documents are packed again by best-fit decreasing, and the better of the two packings stays, so no
 round uses more sequences than the one before. It ends when the bound for all pieces together certifies the whole, when no
-bin has a gap, when one partition has held all that is open, or after `rounds`.
+bin has a gap, when one partition has held all that is open, or when a round has saved no sequence.
 
 Defined cases: null or empty text is its end id alone; a document longer than the capacity is cut into
 pieces of exactly `capacity` tokens, but for the first, which holds the remainder; repeated ids and rows are documents
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,6 @@ from fieldloom.session import stored
 CAPACITY = 1024
 #: Pieces a partition holds about in the first round; in a later one at most twice as many as in the one before.
 PARTITION_PIECES = 50_000
-ROUNDS = 4
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
@@ -134,19 +134,21 @@ def _pack(capacity: int, round_: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
-    """The pieces with sequence_id and offset. items: the columns of PIECES."""
+def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int | None = None) -> DataFrame:
+    """The pieces with sequence_id and offset. items: the columns of PIECES. rounds: at most so many, if given."""
     items = stored(items.withColumn("row", F.monotonically_increasing_id()))  # tells repeated rows apart
     groups = max(1, -(-items.count() // partition_pieces))
     start = items.select("row", "length", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = start.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    least, settled, done = bound_for(items, capacity), 0, None
-    for k in range(rounds):
+    least, settled, done, before = bound_for(items, capacity), 0, None, None
+    for k in count():
         packed = stored(rest.groupBy("part").applyInPandas(_pack(capacity, k), PACKED))
         bins = packed.groupBy("full").agg(F.count_distinct("sequence_id").alias("bins"), F.count(F.lit(1)).alias("n"))
         per = {r["full"]: (r["bins"], r["n"]) for r in bins.toLocalIterator()}  # two rows at most
         (full, _), (gaps, n) = per.get(True, (0, 0)), per.get(False, (0, 0))
-        last = not n or groups == 1 or k == rounds - 1 or settled + full + gaps == least
+        used = settled + full + gaps
+        last = not n or groups == 1 or used in (least, before) or k + 1 == rounds
+        before = used
         settled += full
         kept = (packed if last else packed.filter("full")).select("row", "sequence_id", "offset", "certified")
         done = kept if done is None else done.unionByName(kept)

@@ -107,7 +107,7 @@ def test_packing_exchange(spark):
     items = spark.createDataFrame([(str(i), 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECES)
     whole = len(packing.best_fit(lengths, 1024)[2])
     used = []
-    for rounds in (1, 2, 3, 4):
+    for rounds in (1, 2, 3, 4, None):
         packed = packing.pack(items, partition_pieces=40, rounds=rounds)
         got = packed.collect()
         assert sorted(r.doc_id for r in got) == sorted(str(i) for i in range(300))
