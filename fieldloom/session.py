@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +49,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder, removed when the driver's interpreter ends."""
+    """A fresh path in the shared folder, removed by `settled` or when the driver's interpreter ends."""
     path = f"{shared_dir(spark)}/fieldloom-{uuid.uuid4().hex}"
+    _made.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], *over: DataFrame) -> DataFrame:
+    """make()'s result, stored; the folders made on the way are removed, and those of the tables `over` that it replaces."""
+    first = len(_made)
+    out = stored(make())
+    done = _made[first:-1] + [p for p in _made[:first] for t in over for f in t.inputFiles()[:1] if f"/{os.path.basename(p)}/" in f]
+    for path in done:
+        _remove(spark, path)
+        _made.remove(path)
+    return out
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, computed once, survives lost executors."""
     spark = df.sparkSession
