@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters slide over the
 embedded bytes of a chunk and are max-pooled; a chunk's pooled activations are averaged over all chunks
-and a logistic unit turns them into one probability. Everything is trained here by Adam, on the driver, on the whole texts of a
+and a logistic unit turns them into one probability. Everything is trained here by Adam, in one task, on the whole texts of a
 bounded sample of labelled documents: the first SAMPLE of each class in the order of a hash of the id, as many as fit in half
 of SAMPLE_BYTES for each class. A text of more than a quarter of a class's bytes isn't learnt from; it doesn't keep others out.
 
@@ -14,6 +14,7 @@ alike, and of rows with one id the least text is learnt from; an empty table giv
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,11 +162,21 @@ def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE, sample_bytes:
     order = per.select("l_id", "good", F.octet_length("text").alias("bytes")).filter(F.col("bytes") <= most // 4)
     order = order.withColumn("held", F.sum("bytes").over(Window.partitionBy("good").orderBy(key, "l_id")))
     rows = per.join(F.broadcast(order.filter(F.col("held") <= most).select("l_id")), "l_id")
-    got = sorted((int(r["good"]), r["text"].encode()) for r in rows.select("good", "text").toLocalIterator())
+    learnt = rows.select("good", "text").groupBy(F.lit(0)).applyInPandas(_learnt, "share double, net binary").first()  # the bounded sample, in one task
+    if learnt is None:
+        return 1.0
+    return learnt["share"] if learnt["net"] is None else Net(*np.load(io.BytesIO(learnt["net"])).values())
+
+
+def _learnt(sample: pd.DataFrame) -> pd.DataFrame:
+    """The share of good texts of the sample, and the net's arrays unless its labels are all alike."""
+    got = sorted((int(g), t.encode()) for g, t in zip(sample["good"], sample["text"], strict=True))
     good = np.array([g for g, _ in got], np.float32)
-    if not len(good) or good.min() == good.max():
-        return float(good.mean()) if len(good) else 1.0
-    return trained([t for _, t in got], good)
+    held = None
+    if good.min() != good.max():
+        held = io.BytesIO()
+        np.savez(held, *trained([t for _, t in got], good).parts())
+    return pd.DataFrame({"share": [float(good.mean())], "net": [held and held.getvalue()]})
 
 
 def with_score(docs: DataFrame, net: Net | float, name: str = "score") -> DataFrame:
