@@ -162,7 +162,7 @@ def fit(docs: DataFrame, quality: DataFrame, sample: int = SAMPLE, sample_bytes:
     order = per.select("l_id", "good", F.octet_length("text").alias("bytes")).filter(F.col("bytes") <= most // 4)
     order = order.withColumn("held", F.sum("bytes").over(Window.partitionBy("good").orderBy(key, "l_id")))
     rows = per.join(F.broadcast(order.filter(F.col("held") <= most).select("l_id")), "l_id")
-    learnt = rows.select("good", "text").groupBy(F.lit(0)).applyInPandas(_learnt, "share double, net binary").first()  # the bounded sample, in one task
+    learnt = rows.select("good", "text").groupBy().applyInPandas(_learnt, "share double, net binary").first()  # the bounded sample, in one task
     if learnt is None:
         return 1.0
     return learnt["share"] if learnt["net"] is None else Net(*np.load(io.BytesIO(learnt["net"])).values())
