@@ -578,8 +578,8 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
         return pd.Series([t if s is None else cut_words(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(texts, spans, strict=True)])
 
     once = cut.asNondeterministic()  # else the filter below would evaluate it a second time
-    met = docs.select(whole_row(docs), uid_of(), "text").join(spans, F.col("uid") == F.col("s_uid"), "left")
-    left = met.filter("spans is not null").select("row", once("text", "spans").alias("text")).filter(F.col("text").rlike(WORD))
+    met = docs.select(whole_row(docs), uid_of()).join(spans, F.col("uid") == F.col("s_uid"), "left")  # the text travels once
+    left = met.filter("spans is not null").select("row", once("row.text", "spans").alias("text")).filter(F.col("text").rlike(WORD))
     made = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
