@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators import morphology, zones
+from fieldloom.operators import morphology, routing, zones
 from fieldloom.session import stored
 
 #: Runs of this many pixels or fewer are dropped.
 MIN_RUN = 3
 DIAGONAL = 1.414
+#: Transitions longer than this many margins are searched by tiles at once.
+FAR = 10
 
 
 def sweep(cells: DataFrame, spacing: int, min_run: int = MIN_RUN) -> DataFrame:
@@ -144,22 +146,18 @@ def connected(chain: DataFrame, cost: DataFrame, margin: int = 45, diagonal: flo
     """Connectors from each segment to the next: hops of a shortest path over the whole grid, or one straight hop where there is none.
 
     Each transition is a group of its own with the cells of a window around it. A path through cells outside the window
-    enters `margin` cells and more beyond the ends twice, so one that costs less than that is the shortest of all; the other
-    transitions are searched again in a window four times as wide, until it holds the grid.
+    enters `margin` cells and more beyond the ends twice, so one that costs less than that is the shortest of all. The other
+    transitions, and those over more than FAR margins, are searched tile by tile: see `routing.far_paths`.
     """
     known = cost.agg(F.min("cost").alias("least"), F.greatest(F.max("row") - F.min("row"), F.max("col") - F.min("col")).alias("extent")).first()
     w = Window.partitionBy("mission").orderBy("seq")
     legs = stored(chain.select("mission", "seq", F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.lead("x1").over(w).alias("bx"), F.lead("y1").over(w).alias("by")).filter("bx is not null"))
-    done = None
-    while True:
-        whole = margin >= (known["extent"] or 0)
-        hops = stored(_hops(legs, cost, margin, None if whole else 2 * (margin + 1) * (known["least"] or 0), diagonal))
-        kept = hops.drop("sure") if whole else hops.filter("sure").drop("sure")
-        done = kept if done is None else done.unionByName(kept)
-        legs = legs.join(kept.select("mission", "seq").distinct(), ["mission", "seq"], "left_anti")
-        if whole or not hops.filter("not sure").take(1):
-            return done
-        legs, margin = stored(legs), 4 * margin
+    if margin >= (known["extent"] or 0):
+        return _hops(legs, cost, margin, None, diagonal).drop("sure")
+    close = legs.filter(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) <= FAR * margin)
+    near = stored(_hops(close, cost, margin, 2 * (margin + 1) * (known["least"] or 0), diagonal)).filter("sure").drop("sure")
+    rest = stored(legs.join(near.select("mission", "seq").distinct(), ["mission", "seq"], "left_anti"))
+    return near.unionByName(routing.far_paths(rest, cost, diagonal)) if rest.take(1) else near
 
 
 def _hops(legs: DataFrame, cost: DataFrame, margin: int, most: float | None, diagonal: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import geometry as G
 from fieldloom.operators import missions as P
 from fieldloom.operators import morphology as M
+from fieldloom.operators import routing
 from fieldloom.operators import sidewise as S
 from fieldloom.operators import zones as Z
 from fieldloom.plans.rasters import _FIELD, pixels, rounded, sided, zoned
@@ -102,6 +103,20 @@ def astar_transitions(spark, sf_dir):
     return P.connected(chain, stored(M.cost_grid(z, "nitrogen")))
 
 
+@query()
+def far_connectors(spark, sf_dir):
+    """The connectors of the nitrogen mission's chain, all of them by tiles of 64 pixels: steps and cost of each."""
+    z = stored(zoned(spark, sf_dir))
+    chain = stored(P.chained(P.swaths(z, "nitrogen").withColumn("mission", F.lit("nitrogen"))))
+    w = Window.partitionBy("mission").orderBy("seq")
+    legs = chain.select("mission", "seq", F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.lead("x1").over(w).alias("bx"), F.lead("y1").over(w).alias("by")).filter("bx is not null")
+    cost = stored(M.cost_grid(z, "nitrogen"))
+    hops = routing.far_paths(legs, cost, P.DIAGONAL, 64)
+    paid = hops.join(cost.select(F.col("row").cast("double").alias("y2"), F.col("col").cast("double").alias("x2"), "cost"), ["x2", "y2"], "left")
+    step = F.col("cost") * F.when((F.col("x1") == F.col("x2")) | (F.col("y1") == F.col("y2")), 1.0).otherwise(P.DIAGONAL)
+    return paid.groupBy("mission", "seq", "routed").agg(F.count(F.lit(1)).alias("steps"), F.round(F.sum(F.when(F.col("routed"), step)), 6).alias("cost"))
+
+
 @query("""SELECT CAST(round((SELECT sum(x2 - x1) FROM sg)) AS DOUBLE) AS length_m, round(100.0 * count(*) FILTER (EXISTS (SELECT 1 FROM sg WHERE y1 BETWEEN z."row" - 8 AND z."row" + 8 AND abs(y1 - z."row") + greatest(x1 - z.col, z.col - x2, 0) <= 8)) / count(*), 1) AS served_pct FROM z WHERE zone >= 1""",
        f"{_CORRIDOR}, ca AS ({_RUNS.format('cr', '')}), ta AS ({_RUNS.format('z', ' AND zone > 0')}), sg AS (SELECT * FROM ca WHERE (SELECT count(*) FROM ca) >= 3 UNION ALL SELECT * FROM ta WHERE (SELECT count(*) FROM ca) < 3)", True)
 def mission_coverage(spark, sf_dir):
