@@ -137,7 +137,11 @@ def split_orthophoto(pixels: DataFrame) -> DataFrame:
 def align_bilinear(source: DataFrame, target: DataFrame, scale_row: float, scale_col: float, shift_row: float = 0.0, shift_col: float = 0.0, value: str = "elev") -> DataFrame:
     """`value` of source at the places of target: a target pixel's centre is mapped affinely and its four neighbours weighted.
     Neighbours outside or null don't count; a pixel without any neighbour is null."""
-    at = target.select("row", "col", ((F.col("row") + 0.5) * scale_row + shift_row - 0.5).alias("y"), ((F.col("col") + 0.5) * scale_col + shift_col - 0.5).alias("x"))
+    return bilinear_at(source, target.select("row", "col", ((F.col("row") + 0.5) * scale_row + shift_row - 0.5).alias("y"), ((F.col("col") + 0.5) * scale_col + shift_col - 0.5).alias("x")), value)
+
+
+def bilinear_at(source: DataFrame, at: DataFrame, value: str = "elev") -> DataFrame:
+    """row, col, `value` of source at the places (y, x: rows and columns of its pixels' centres) of each row, col of `at`."""
     near = at.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (0, 1) for j in (0, 1)])).alias("d"))
     near = near.withColumn("s_row", (F.floor("y") + F.col("d.dy")).cast("int")).withColumn("s_col", (F.floor("x") + F.col("d.dx")).cast("int"))
     weight = (1 - F.abs(F.col("y") - F.col("s_row"))) * (1 - F.abs(F.col("x") - F.col("s_col")))
