@@ -1,7 +1,7 @@
 """Token ids as a content-addressed store.
 
 Layout of a store, all Parquet in one folder that every executor sees:
-  chunks/    hash (16 bytes), data (ids, little-endian, `width` bytes each); every distinct chunk once
+  chunks/    hash (16 bytes), data (ids, little-endian, `width` bytes each), refs (how often recipes name it); every distinct chunk once
   recipes/   part, pos, doc_id, inner_start, n_tokens, chunks (hashes, 16 bytes each), root; ascending by doc_id
   manifest/  part, part_start, docs, tokens, root, and store_root, the Merkle root over the parts' roots
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import bounded, documents, id_text, text_of, with_ids
 from fieldloom.llm.tokens import default_tokenizer, encoder
+from fieldloom.operators.joins import LEAST_HOT, MOST_HOT
 from fieldloom.session import scratch, stored
 
 #: Chunks of MIN to MAX ids, cut where the rolling hash of the last WINDOW ids begins with the bits of MASK zero.
@@ -95,7 +96,7 @@ def cuts(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
 
 def _chunked(tokenizer: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, sent = encoder(tokenizer), set()
+        enc, sent = encoder(tokenizer), {}  # chunk: how often it came again
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.iloc[at : at + 1000]
@@ -110,15 +111,23 @@ def _chunked(tokenizer: str, end_id: int):
                     for e in ends:
                         data = raw[begin * width : e * width]
                         names.append(h := digest(data))
-                        if h not in sent:
-                            sent.add(h)
+                        if h in sent:
+                            sent[h] += 1
+                        else:
+                            sent[h] = 0
                             chunks.append((h, data))
                         begin = e
                     recipes.append(b"".join(names))
                 if len(sent) > 200_000:  # this only saves work: the store makes chunks unique
+                    yield repeats(sent)
                     sent.clear()
                 yield pd.DataFrame({"kind": "recipe", "doc_id": part["doc_id"].to_numpy(), "n_tokens": np.diff(starts), "hash": None, "data": recipes})
-                yield pd.DataFrame({"kind": "chunk", "doc_id": None, "n_tokens": 0, "hash": [h for h, _ in chunks], "data": [x for _, x in chunks]})
+                yield pd.DataFrame({"kind": "chunk", "doc_id": None, "n_tokens": 1, "hash": [h for h, _ in chunks], "data": [x for _, x in chunks]})
+        yield repeats(sent)
+
+    def repeats(sent: dict) -> pd.DataFrame:
+        again = [(h, n) for h, n in sent.items() if n]
+        return pd.DataFrame({"kind": "repeat", "doc_id": None, "n_tokens": [n for _, n in again], "hash": [h for h, _ in again], "data": None})
 
     return run
 
@@ -152,7 +161,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     rows = docs.select(id_text(), text_of().alias("text"))
     kinds = "kind string, doc_id string, n_tokens long, hash binary, data binary"
     staged = stored(rows.mapInPandas(_chunked(tokenizer or default_tokenizer(), end_id), kinds), "kind")
-    unique = staged.filter("kind = 'chunk'").groupBy("hash").agg(F.first("data").alias("data"))
+    unique = staged.filter("kind <> 'recipe'").groupBy("hash").agg(F.first("data", ignorenulls=True).alias("data"), F.sum("n_tokens").alias("refs"))
     unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = staged.filter("kind = 'recipe'").select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", F.col("data").alias("chunks"))
     parts = max(1, -(-recipes.count() // PART_ROWS))
@@ -264,10 +273,26 @@ def _refs(spark: SparkSession, path: str) -> DataFrame:
     return refs.mapInPandas(_references, "part int, pos long, idx long, hash binary")
 
 
+def resolved(spark: SparkSession, path: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """part, pos, idx of every reference with `read`'s columns of its chunk, null where the store lacks it.
+
+    Chunks with very many references, a bounded number, are broadcast; their references then join on a key of their own that no
+    chunk has, so they stay spread.
+    """
+    chunks = spark.read.schema("hash binary, data binary, refs long").parquet(f"{path}/chunks")
+    limit = max(LEAST_HOT, (chunks.agg(F.sum("refs")).first()[0] or 0) // MOST_HOT)
+    hot, cold = read(chunks.filter(F.col("refs") > limit)), read(chunks.filter(F.col("refs") <= limit))
+    names = [c for c in hot.columns if c != "hash"]
+    met = _refs(spark, path).join(F.broadcast(hot.select("hash", F.struct(*names).alias("found"))), "hash", "left")
+    own = F.unhex(F.md5(F.concat_ws(",", "part", "pos", "idx")))
+    met = met.withColumn("hash", F.when(F.col("found").isNull(), F.col("hash")).otherwise(own))
+    met = met.join(cold.select("hash", F.struct(*names).alias("other")), "hash", "left").withColumn("found", F.coalesce("found", "other"))
+    return met.select("part", "pos", "idx", *[F.col(f"found.{c}").alias(c) for c in names])
+
+
 def checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a store, from its files, everything verified."""
-    chunks = spark.read.schema("hash binary, data binary").parquet(f"{path}/chunks").mapInPandas(_checked(width), "hash binary, length long, crc long")
-    met = _refs(spark, path).join(chunks, "hash", "left")
+    met = resolved(spark, path, lambda chunks: chunks.select("hash", "data").mapInPandas(_checked(width), "hash binary, length long, crc long"))
     per = met.groupBy("part", "pos").agg(F.collect_list(F.struct("idx", "length", "crc")).alias("refs"))
     rows = _recipes(spark, path).select("part", "pos", "doc_id", "start", "n_tokens").join(per, ["part", "pos"])
     return with_ids(rows.select(id_text(), "start", "n_tokens", "refs").mapInPandas(_documents_crc, "doc_id string, start long, n_tokens long, ids_crc32 long"), "doc_id")
@@ -275,8 +300,7 @@ def checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens and the ids themselves, put together from the chunks."""
-    chunks = spark.read.schema("hash binary, data binary").parquet(f"{path}/chunks")
-    met = _refs(spark, path).join(chunks, "hash").groupBy("part", "pos").agg(F.collect_list(F.struct("idx", "data")).alias("refs"))
+    met = resolved(spark, path, lambda chunks: chunks.select("hash", "data")).groupBy("part", "pos").agg(F.collect_list(F.struct("idx", "data")).alias("refs"))
     rows = _recipes(spark, path).select("part", "pos", "doc_id", "start", "n_tokens").join(met, ["part", "pos"])
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

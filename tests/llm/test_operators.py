@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import spark_partition_id
 
 from fieldloom.llm import chaining, contexttree, convnet, fingerprints, jaccardjoin, mixing, packing, quality, shingles, tokencounts, tokens, tokenstore
 from fieldloom.session import scratch
@@ -190,6 +191,30 @@ def test_token_store(spark, docs, rows, empty):
     assert tokenstore.checksums(spark, nothing).count() == 0
 
 
+def test_token_store_with_a_hot_chunk(spark):
+    """Half of all references name one chunk: they stay spread, and every document's ids come back."""
+    rng = random.Random(8)
+    texts = [(i, "" if i % 2 else " ".join(rng.choice(["red", "blue", "green"]) for _ in range(30)) + f" {i}") for i in range(6000)]
+    path = scratch(spark)
+    tokenstore.write_store(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), path)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    named = tokenstore._refs(spark, path).groupBy("hash").count()
+    assert chunks.join(named, "hash").filter("refs <> count").count() == 0 and chunks.count() == named.count()
+    assert chunks.agg({"refs": "max"}).first()[0] == 3000 > tokenstore.LEAST_HOT
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        met = tokenstore.resolved(spark, path, lambda c: c.select("hash", "data"))
+        sizes = sorted(r["count"] for r in met.groupBy(spark_partition_id()).count().collect())
+        assert sum(sizes) == 6000 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokenstore.checksums(spark, path).collect()}
+    assert got == {i: (len(x := expected_ids(t, 0)), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in texts}
+
+
 def test_context_tree(spark, docs, rows, empty):
     got = contexttree.score_texts(docs, depth=3, block_bytes=20_000, buckets=5).collect()
     assert len(got) == len(rows) and contexttree.score_texts(empty).count() == 0
