@@ -103,14 +103,21 @@ def astar_transitions(spark, sf_dir):
     return P.connected(chain, stored(M.cost_grid(z, "nitrogen")))
 
 
+def far_legs(spark, sf_dir):
+    """The legs and the cost grid of `far_connectors`."""
+    px = stored(pixels(spark, sf_dir))
+    chain = stored(P.chained(P.swaths(stored(Z.threshold_zones(px)), "water").withColumn("mission", F.lit("water"))))
+    w = Window.partitionBy("mission").orderBy("seq")
+    legs = chain.select("mission", "seq", F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.lead("x1", 5).over(w).alias("bx"), F.lead("y1", 5).over(w).alias("by")).filter("bx is not null")
+    cost = stored(px.filter("ndre < 0.5").select("row", "col", (1 + 4 * F.greatest("ndre", F.lit(0.0))).alias("cost")))
+    return legs, cost
+
+
 @query()
 def far_connectors(spark, sf_dir):
-    """The connectors of the nitrogen mission's chain, all of them by tiles of 64 pixels: steps and cost of each."""
-    z = stored(zoned(spark, sf_dir))
-    chain = stored(P.chained(P.swaths(z, "nitrogen").withColumn("mission", F.lit("nitrogen"))))
-    w = Window.partitionBy("mission").orderBy("seq")
-    legs = chain.select("mission", "seq", F.col("x2").alias("ax"), F.col("y2").alias("ay"), F.lead("x1").over(w).alias("bx"), F.lead("y1").over(w).alias("by")).filter("bx is not null")
-    cost = stored(M.cost_grid(z, "nitrogen"))
+    """Paths from each swath of the water mission's chain to the fifth after it, by tiles of 64 pixels: dense canopy is closed, other pixels
+    cost more the denser they are. Steps and cost of each."""
+    legs, cost = far_legs(spark, sf_dir)
     hops = routing.far_paths(legs, cost, P.DIAGONAL, 64)
     paid = hops.join(cost.select(F.col("row").cast("double").alias("y2"), F.col("col").cast("double").alias("x2"), "cost"), ["x2", "y2"], "left")
     step = F.col("cost") * F.when((F.col("x1") == F.col("x2")) | (F.col("y1") == F.col("y2")), 1.0).otherwise(P.DIAGONAL)

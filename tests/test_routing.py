@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 import random
 
 import pytest
@@ -78,3 +79,21 @@ def test_far_connector_of_a_chain(spark):
     hops = sorted(missions.connected(chain, spark.createDataFrame([(*p, v) for p, v in cost.items()], KINDS), margin=5).collect(), key=lambda x: x["hop"])
     paid = sum(cost[int(x["y2"]), int(x["x2"])] * (1.0 if x["y1"] == x["y2"] or x["x1"] == x["x2"] else missions.DIAGONAL) for x in hops)
     assert abs(paid - least_cost(cost, (4, 2), (9, 145))) < 1e-9
+
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_far_connectors_query(spark):
+    """Every leg of the registered query against a plain search."""
+    from fieldloom.plans import missions as plans
+
+    legs, cost = plans.far_legs(spark, DATA)
+    grid = {(r["row"], r["col"]): r["cost"] for r in cost.collect()}
+    ends = {r["seq"]: ((int(r["ay"]), int(r["ax"])), (int(r["by"]), int(r["bx"]))) for r in legs.collect()}
+    got = {r["seq"]: r for r in plans.far_connectors(spark, DATA).collect()}
+    assert got and got.keys() == ends.keys()
+    for seq, (a, b) in ends.items():
+        want = least_cost(grid, a, b)
+        assert got[seq]["routed"] == (want is not None) and (want is None or abs(got[seq]["cost"] - want) < 1e-6)
