@@ -35,16 +35,29 @@ def quantile_init(points: DataFrame, k: int) -> Centres:
     return [tuple(round(row[c][i], 8) for c in NAMES) for i in range(k)]
 
 
-def lloyd(points: DataFrame, k: int, iterations: int = 4, init: Centres | None = None) -> Centres:
-    """K-means by Lloyd's iterations; an emptied cluster keeps its centre. Centres are rounded to 8 places each time."""
-    centres = init or quantile_init(points, k)
+def tolerance(points: DataFrame, share: float = 1e-4) -> float:
+    """The sum of squared moves at which K-means stops: a share of the features' mean variance."""
+    total = points.agg(reduce(lambda a, b: a + b, [F.var_pop(c) for c in NAMES]).alias("v")).first()["v"]
+    return share * (total or 0.0) / len(NAMES)
+
+
+def moved(before: Centres, after: Centres) -> float:
+    """Sum of the centres' squared moves."""
+    return sum((a - b) ** 2 for x, y in zip(before, after, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def lloyd(points: DataFrame, k: int, iterations: int = 300, init: Centres | None = None) -> Centres:
+    """K-means by Lloyd's iterations until the centres' moves are within `tolerance`; an emptied cluster keeps its centre.
+
+    Centres are rounded to 8 places each time.
+    """
+    centres, enough = init or quantile_init(points, k), tolerance(points)
     for _ in range(iterations):
         rows = nearest_centre(points, centres).groupBy("label").agg(*[F.avg(c).alias(c) for c in NAMES]).collect()  # k rows
-        moved = {r["label"]: tuple(round(r[c], 8) for c in NAMES) for r in rows}
-        after = [moved.get(i, c) for i, c in enumerate(centres)]
-        if after == centres:
+        found = {r["label"]: tuple(round(r[c], 8) for c in NAMES) for r in rows}
+        before, centres = centres, [found.get(i, c) for i, c in enumerate(centres)]
+        if moved(before, centres) <= enough:
             break
-        centres = after
     return centres
 
 
@@ -161,9 +174,9 @@ def fuzzy_means(points: DataFrame, k: int, m: float = 2.0, iterations: int = 100
         w = [F.pow(F.col("u")[i], F.lit(float(m))) if m != 2.0 else F.col("u")[i] * F.col("u")[i] for i in range(k)]
         row = memberships(points, centres, m).agg(*[(F.sum(w[i] * F.col(c)) / F.sum(w[i])).alias(f"{c}_{i}") for i in range(k) for c in NAMES]).first()
         after = [tuple(round(row[f"{c}_{i}"], 8) for c in NAMES) for i in range(k)]
-        moved = max(abs(a - b) for x, y in zip(after, centres, strict=True) for a, b in zip(x, y, strict=True))
+        furthest = max(abs(a - b) for x, y in zip(after, centres, strict=True) for a, b in zip(x, y, strict=True))
         centres = after
-        if moved < error:
+        if furthest < error:
             return centres, step
     return centres, iterations
 

@@ -35,31 +35,48 @@ _D = lambda p, c: " + ".join(f"({p}.{f} - {c}.{f}) * ({p}.{f} - {c}.{f})" for f
 _C0 = " c0 AS (SELECT i AS label, " + ", ".join(f"round(quantile_cont({f}, [{', '.join(str((i + 0.5) / K) for i in range(K))}])[i + 1], 8) AS {f}" for f in _N) + f" FROM pt, (SELECT unnest(range({K})) i) GROUP BY i)"
 
 
-def _lloyd(steps: int) -> str:
-    out = [_PT, _C0]
-    for s in range(steps):
-        out.append(f" l{s} AS (SELECT \"row\", col, arg_min(c.label, d) label, min(d) d2 FROM (SELECT pt.\"row\", pt.col, c.label, {_D('pt', 'c')} d FROM pt, c{s} c) c GROUP BY 1, 2)")
-        out.append(f" c{s + 1} AS (SELECT label, " + ", ".join(f"round(avg({f}), 8) AS {f}" for f in _N) + f" FROM l{s} JOIN pt USING (\"row\", col) GROUP BY label)")
-    out.append(f" lab AS (SELECT \"row\", col, arg_min(c.label, d) label, min(d) d2 FROM (SELECT pt.\"row\", pt.col, c.label, {_D('pt', 'c')} d FROM pt, c{steps} c) c GROUP BY 1, 2)")
-    return ",".join(out)
+#: The state of an iteration is one row: f1_0 is centre 0's first feature.
+_WIDE = [(f, i) for i in range(K) for f in _N]
+_START = ", ".join(f"max({f}) FILTER (label = {i}) AS {f}_{i}" for f, i in _WIDE)
+_APARTS = ", ".join("(" + " + ".join(f"({f} - {f}_{i}) * ({f} - {f}_{i})" for f in _N) + f") AS d{i}" for i in range(K))
+_HELD = ", ".join(f"any_value({f}_{i}) AS o{f}_{i}" for f, i in _WIDE)
+_NARROW = " UNION ALL ".join(f"SELECT {i} AS label, " + ", ".join(f"{f}_{i} AS {f}" for f in _N) + " FROM last_step" for i in range(K))
 
 
-@query("SELECT CAST(label AS INT) AS label, " + ", ".join(f"round({f}, 6) AS {f}" for f in _N) + " FROM c4", _lloyd(4))
+def _steps(means: str, move: str, go_on: str) -> str:
+    """Recursive steps from c0 till `go_on` fails, then the last centres as cf and all points' squared distances as ef."""
+    news = ", ".join(f"{f}_{i}" for f, i in _WIDE)
+    near = f'SELECT "row", col, {", ".join(_N)}, {_APARTS}'
+    return f"""{_PT},{_C0}, tol AS (SELECT 1e-4 * ({" + ".join(f"var_pop({f})" for f in _N)}) / {len(_N)} AS enough FROM pt),
+ steps AS (SELECT 0 AS step, 1e9 AS move, enough, {_START} FROM c0, tol GROUP BY enough
+ UNION ALL SELECT step + 1, {move}, enough, {news} FROM (SELECT step, enough, {means}, {_HELD} FROM (SELECT step, enough, {", ".join(f"{f}_{i}" for f, i in _WIDE)}, {near.removeprefix("SELECT ")} FROM pt, steps WHERE {go_on}) GROUP BY step, enough)),
+ last_step AS (SELECT * FROM steps ORDER BY step DESC LIMIT 1), cf AS ({_NARROW}), ef AS ({near} FROM pt, last_step)"""
+
+
+_LABEL = "CASE WHEN " + " WHEN ".join(" AND ".join(f"d{i} <= d{j}" for j in range(K) if j != i) + f" THEN {i}" for i in range(K)) + " END"
+_LLOYD = _steps(
+    ", ".join(f"coalesce(round(avg({f}) FILTER (({_LABEL}) = {i}), 8), any_value({f}_{i})) AS {f}_{i}" for f, i in _WIDE),
+    " + ".join(f"({f}_{i} - o{f}_{i}) ** 2" for f, i in _WIDE),
+    "move > enough AND step < 300",
+) + f', lab AS (SELECT "row", col, {_LABEL} AS label, least({", ".join(f"d{i}" for i in range(K))}) AS d2 FROM ef)'
+
+
+@query("SELECT CAST(label AS INT) AS label, " + ", ".join(f"round({f}, 6) AS {f}" for f in _N) + " FROM cf", _LLOYD, True)
 def lloyd_centroids(spark, sf_dir):
-    c = C.lloyd(points(spark, sf_dir), K, 4)
+    c = C.lloyd(points(spark, sf_dir), K)
     return rounded(spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "label int, " + ", ".join(f"{f} double" for f in _N)), *_N)
 
 
-@query('SELECT "row", col, CAST(label AS INT) AS label FROM lab', _lloyd(4))
+@query('SELECT "row", col, CAST(label AS INT) AS label FROM lab', _LLOYD, True)
 def nearest_centroid_labels(spark, sf_dir):
     p = points(spark, sf_dir)
-    return C.nearest_centre(p, C.lloyd(p, K, 4)).select("row", "col", "label")
+    return C.nearest_centre(p, C.lloyd(p, K)).select("row", "col", "label")
 
 
-@query("SELECT round(sum(d2), 6) AS inertia FROM lab", _lloyd(4))
+@query("SELECT round(sum(d2), 6) AS inertia FROM lab", _LLOYD, True)
 def inertia(spark, sf_dir):
     p = points(spark, sf_dir)
-    return rounded(Q.inertia(p, C.lloyd(p, K, 4)), "inertia")
+    return rounded(Q.inertia(p, C.lloyd(p, K)), "inertia")
 
 
 @query('SELECT label, row_number() OVER (ORDER BY avg(ndre), label) AS zone FROM (SELECT CAST(col % 4 AS INT) AS label, ndre FROM f WHERE ndre > 0.1) GROUP BY label')
@@ -136,49 +153,42 @@ def compactness(spark, sf_dir):
     return Q.compactness(zoned(spark, sf_dir))
 
 
-_U = [" + ".join(f"d{i} / d{j}" for j in range(K)) for i in range(K)]
-
-
-def _fuzzy(steps: int) -> str:
-    out = [_PT, _C0]
-    for s in range(steps + 1):
-        ds = ", ".join(f"max(CASE WHEN c.label = {i} THEN {_D('pt', 'c')} END) d{i}" for i in range(K))
-        out.append(f' e{s} AS (SELECT pt."row", pt.col, ' + ", ".join(f"any_value(pt.{f}) {f}" for f in _N) + f', {ds} FROM pt, c{s} c GROUP BY 1, 2)')
-        us = ", ".join(f"(1.0 / d{i}) / ({' + '.join(f'1.0 / d{j}' for j in range(K))}) u{i}" for i in range(K))
-        out.append(f" u{s} AS (SELECT *, {us} FROM e{s})")
-        if s < steps:
-            out.append(f" c{s + 1} AS (" + " UNION ALL ".join(f"SELECT {i} AS label, " + ", ".join(f"round(sum(u{i} * u{i} * {f}) / sum(u{i} * u{i}), 8) AS {f}" for f in _N) + f" FROM u{s}" for i in range(K)) + ")")
-    return ",".join(out)
+_SHARE = [f"(1.0 / d{i}) / ({' + '.join(f'1.0 / d{j}' for j in range(K))})" for i in range(K)]
+_FUZZY = _steps(
+    ", ".join(f"round(sum(({_SHARE[i]}) * ({_SHARE[i]}) * {f}) / sum(({_SHARE[i]}) * ({_SHARE[i]})), 8) AS {f}_{i}" for f, i in _WIDE),
+    "greatest(" + ", ".join(f"abs({f}_{i} - o{f}_{i})" for f, i in _WIDE) + ")",
+    "move >= 0.005 AND step < 100",
+) + ", uf AS (SELECT *, " + ", ".join(f"{_SHARE[i]} AS u{i}" for i in range(K)) + " FROM ef)"
 
 
-def fuzzy(spark, sf_dir, steps: int = 3):
+def fuzzy(spark, sf_dir):
     p = points(spark, sf_dir)
-    centres, _ = C.fuzzy_means(p, K, iterations=steps, error=0.0)
+    centres, _ = C.fuzzy_means(p, K)
     return C.memberships(p, centres), centres
 
 
-@query('SELECT "row", col, round(u0, 6) AS u0, round(u1, 6) AS u1, round(u2, 6) AS u2 FROM u3', _fuzzy(3))
+@query('SELECT "row", col, round(u0, 6) AS u0, round(u1, 6) AS u1, round(u2, 6) AS u2 FROM uf', _FUZZY, True)
 def fuzzy_memberships(spark, sf_dir):
     u, _ = fuzzy(spark, sf_dir)
     return u.select("row", "col", *[F.round(F.col("u")[i], 6).alias(f"u{i}") for i in range(K)])
 
 
-_APART = "(SELECT min(" + _D("a", "b") + ") FROM c3 a JOIN c3 b ON a.label < b.label)"
+_APART = "(SELECT min(" + _D("a", "b") + ") FROM cf a JOIN cf b ON a.label < b.label)"
 
 
 @query(f"""SELECT round(avg(u0*u0+u1*u1+u2*u2), 6) AS pc, round(avg(-(u0*ln(u0+1e-12)+u1*ln(u1+1e-12)+u2*ln(u2+1e-12))), 6) AS pe, round(avg(u0*u0*d0+u1*u1*d1+u2*u2*d2) / ({_APART} + 1e-12), 6) AS xb,
  round(avg(1 - t), 6) AS uncertainty, round(100 * avg(CAST(1 - t > 0.35 AS INT)), 6) AS pct_uncertain, round(100 * avg(CAST(s > 0.30 AS INT)), 6) AS pct_transition, round(100 * avg(CAST(t > 0.70 AS INT)), 6) AS pct_crisp
- FROM (SELECT *, greatest(u0, u1, u2) t, list_sort([u0, u1, u2])[2] s FROM u3)""", _fuzzy(3))
+ FROM (SELECT *, greatest(u0, u1, u2) t, list_sort([u0, u1, u2])[2] s FROM uf)""", _FUZZY, True)
 def fuzzy_indices(spark, sf_dir):
     u, centres = fuzzy(spark, sf_dir)
     t = Q.fuzzy_indices(u, centres)
     return rounded(t, *t.columns)
 
 
-_SOFT = " UNION ALL ".join(f"SELECT {i + 1} AS zone, '{f}' AS feature, round(sum(u{i}*{f})/sum(u{i}), 6) AS mean, round(sqrt(greatest(sum(u{i}*{f}*{f})/sum(u{i}) - (sum(u{i}*{f})/sum(u{i})) ** 2, 0)), 6) AS std FROM u3" for i in range(K) for f in _N)
+_SOFT = " UNION ALL ".join(f"SELECT {i + 1} AS zone, '{f}' AS feature, round(sum(u{i}*{f})/sum(u{i}), 6) AS mean, round(sqrt(greatest(sum(u{i}*{f}*{f})/sum(u{i}) - (sum(u{i}*{f})/sum(u{i})) ** 2, 0)), 6) AS std FROM uf" for i in range(K) for f in _N)
 
 
-@query(_SOFT, _fuzzy(3))
+@query(_SOFT, _FUZZY, True)
 def soft_zone_stats(spark, sf_dir):
     return rounded(Q.soft_zone_stats(fuzzy(spark, sf_dir)[0]), "mean", "std")
 
@@ -189,18 +199,18 @@ def hard_zone_stats(spark, sf_dir):
     return rounded(t, *[c for c in t.columns if c not in ("label", "n")])
 
 
-@query('SELECT "row", col FROM u3 WHERE list_sort([u0, u1, u2])[2] > 0.30', _fuzzy(3))
+@query('SELECT "row", col FROM uf WHERE list_sort([u0, u1, u2])[2] > 0.30', _FUZZY, True)
 def transition_pixels(spark, sf_dir):
     return fuzzy(spark, sf_dir)[0].filter(F.element_at(F.array_sort("u"), -2) > 0.30).select("row", "col")
 
 
-@query('SELECT "row", col, round(u1 + 0.5 * u2, 6) AS x, round(u2 * 0.8660254037844386, 6) AS y FROM u3', _fuzzy(3))
+@query('SELECT "row", col, round(u1 + 0.5 * u2, 6) AS x, round(u2 * 0.8660254037844386, 6) AS y FROM uf', _FUZZY, True)
 def ternary_projection(spark, sf_dir):
     u = F.col("u")
     return fuzzy(spark, sf_dir)[0].select("row", "col", F.round(u[1] + 0.5 * u[2], 6).alias("x"), F.round(u[2] * 0.8660254037844386, 6).alias("y"))
 
 
-@query('SELECT CAST("row" / 10 AS INT) AS "row", CAST(col / 10 AS INT) AS col, round(1 - greatest(u0, u1, u2), 6) AS uncertainty FROM u3 WHERE "row" % 10 = 0 AND col % 10 = 0', _fuzzy(3))
+@query('SELECT CAST("row" / 10 AS INT) AS "row", CAST(col / 10 AS INT) AS col, round(1 - greatest(u0, u1, u2), 6) AS uncertainty FROM uf WHERE "row" % 10 = 0 AND col % 10 = 0', _FUZZY, True)
 def uncertainty_map(spark, sf_dir):
     from fieldloom.sources.raster import decimate_nearest
 
@@ -290,7 +300,7 @@ def smoothing_effect(spark, sf_dir):
     return raw.crossJoin(after).select(F.round("raw", 2).alias("raw"), F.round("smoothed", 2).alias("smoothed"), F.round(F.col("raw") - F.col("smoothed"), 2).alias("drop"))  # one row each
 
 
-@query("SELECT CAST(i AS INT) AS id, " + ", ".join(f"round({f}, 6) AS {f}" for f in _N) + " FROM (SELECT *, row_number() OVER (ORDER BY f1) i FROM c3)", _fuzzy(3))
+@query("SELECT CAST(i AS INT) AS id, " + ", ".join(f"round({f}, 6) AS {f}" for f in _N) + " FROM (SELECT *, row_number() OVER (ORDER BY f1) i FROM cf)", _FUZZY, True)
 def centre_profile(spark, sf_dir):
     c = C.by_first(fuzzy(spark, sf_dir)[1])
     return rounded(spark.createDataFrame([(i + 1, *x) for i, x in enumerate(c)], "id int, " + ", ".join(f"{f} double" for f in _N)), *_N)
