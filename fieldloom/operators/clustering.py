@@ -61,9 +61,9 @@ def lloyd(points: DataFrame, k: int, iterations: int = 300, init: Centres | None
     return centres
 
 
-def mini_batch(points: DataFrame, k: int, batches: int = 8, share: float = 0.1) -> Centres:
+def mini_batch(points: DataFrame, k: int, batches: int = 8, share: float = 0.1, init: Centres | None = None) -> Centres:
     """Mini-batch K-means: each batch is a hash slice of the points, centres move by their running counts."""
-    centres, seen = quantile_init(points, k), [0] * k
+    centres, seen = list(init or quantile_init(points, k)), [0] * k
     slice_ = F.pmod(F.xxhash64("row", "col"), F.lit(max(1, round(1 / share))))
     for b in range(batches):
         part = points.filter(slice_ == b % max(1, round(1 / share)))
@@ -192,7 +192,9 @@ def fit_labels(points: DataFrame, method: str, k: int) -> DataFrame:
         return gaussian_mixture(points, k)
     if method == "fuzzy":
         return memberships(points, fuzzy_means(points, k)[0]).withColumn("label", (F.array_position("u", F.array_max("u")) - 1).cast("int")).drop("u")
-    fits = {"kmeans": lambda: lloyd(points, k, 20), "minibatch": lambda: mini_batch(points, k), "ward": lambda: sampled_centres(points, k, "ward"), "spectral": lambda: sampled_centres(points, k, "spectral")}
+    from fieldloom.operators.seeding import best_of_starts, parallel_seeds
+
+    fits = {"kmeans": lambda: best_of_starts(points, k), "minibatch": lambda: mini_batch(points, k, init=[tuple(map(float, c)) for c in parallel_seeds(points, k, 1)[0]]), "ward": lambda: sampled_centres(points, k, "ward"), "spectral": lambda: sampled_centres(points, k, "spectral")}
     return nearest_centre(points, fits[method]()).drop("d2")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import clustering as C
 from fieldloom.operators import metrics as Q
 from fieldloom.operators import morphology as M
+from fieldloom.operators import seeding as S
 from fieldloom.operators import zones as Z
 from fieldloom.plans.rasters import pixels, rounded, zoned
 from fieldloom.plans.registry import query
@@ -250,13 +251,21 @@ def fuzziness_sweep(spark, sf_dir):
 def k_sweep(spark, sf_dir):
     p, out = points(spark, sf_dir), []
     for k in range(2, 7):
-        centres = C.lloyd(p, k, 10)
+        centres = S.best_of_starts(p, k)
         labelled = C.nearest_centre(p, centres)
         one = Q.inertia(p, centres).crossJoin(Q.calinski_harabasz(labelled)).crossJoin(Q.davies_bouldin(labelled)).crossJoin(Q.silhouette(labelled).drop("n"))  # one row each
         out.append(one.withColumn("k", F.lit(k)))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+@query()
+def kmeans_restarts(spark, sf_dir):
+    """Ten starts of K-means from parallel seeds, run to convergence, and the one kept."""
+    report = S.restarts(points(spark, sf_dir), K)[1]
+    report["best"] = report.index == report["inertia"].to_numpy().argmin()
+    return spark.createDataFrame(report, "start int, iterations int, inertia double, converged boolean, best boolean")
+
+
 def _quality(labelled, name):
     one = Q.silhouette(labelled).drop("n").crossJoin(Q.davies_bouldin(labelled)).crossJoin(Q.calinski_harabasz(labelled)).crossJoin(Q.variance_reduction(labelled))  # one row each
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((F.min("n") / F.max("n")).alias("balance"))
