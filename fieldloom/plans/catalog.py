@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from fieldloom.plans import clusters, missions, rasters, reports, surfaces  # noqa: F401
+from fieldloom.plans import clusters, fieldrun, missions, rasters, reports, surfaces  # noqa: F401
 from fieldloom.plans.registry import ORACLE, QUERIES  # noqa: F401
