@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 FAST = ["band_indices", "canopy_zone_stats", "minmax_features", "decimate_average", "false_colour_stretch", "p80_sidewise", "side_stats", "diamond_dilation", "closing_5x5", "zone_components", "filled_holes", "gaussian_smoothing",
         "variance_reduction", "davies_bouldin", "sweep_segments", "vine_sweeps_nitrogen", "scanline_swaths", "sidewise_patches", "per_field_kpis", "cells_in_polygon", "cropped_raster", "rgb_preview",
         "experiment_geometry", "experiment_risk", "mission_layers", "side_split", "snake_rows", "patch_rings", "patch_overlay", "nearest_free_cell",
-        "contour_totals", "zone_densities", "hexagon_counts", "warped_elevation"]
+        "lloyd_centroids", "fuzzy_indices", "contour_totals", "zone_densities", "hexagon_counts", "warped_elevation"]
 
 
 @pytest.fixture(scope="module")
