@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,8 +198,7 @@ def routed_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys:
     """keys, mission_order, status, points: a connector is direct if the region covers it, routed if a path inside the region
     leads from its first to its last cell (within MARGIN_M of the connector's box), else failed, without points.
 
-    Only connectors that aren't direct are searched, each in a task's group of its own with its window of the region's cells, which
-    are met by key and row. An end outside the region starts from the nearest cell. The path of cell centres is simplified where the
+    Only connectors that aren't direct are searched, each in its window of the region's cells. An end outside the region starts from the nearest cell. The path of cell centres is simplified where the
     region still covers it.
     """
     judged = stored(judged_connectors(lines, region, cell_m, *keys))
@@ -212,29 +210,25 @@ def routed_connectors(lines: DataFrame, region: DataFrame, cell_m: float, *keys:
     span = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) * MARGIN_SHARE
     legs = legs.withColumn("reach", F.ceil(F.greatest(F.lit(MARGIN_M), span) / cell_m).cast("int"))
     costs = region.select(*keys, "row", "col").distinct().join(corridor_grid(region, risk), ["row", "col"])
-    rows = F.explode(F.sequence(F.least("ar", "br") - F.col("reach"), F.greatest("ar", "br") + F.col("reach")))
-    asked = legs.select(*keys, "mission_order", rows.alias("row"), (F.least("ac", "bc") - F.col("reach")).alias("c0"), (F.greatest("ac", "bc") + F.col("reach")).alias("c1"))
-    cells = asked.join(costs, [*keys, "row"]).filter("col between c0 and c1").select(*[F.col(k).alias(f"c_{k}") for k in (*keys, "mission_order")], "row", "col", "cost")
+    box = [(F.least("ar", "br") - F.col("reach")).alias("r0"), (F.greatest("ar", "br") + F.col("reach")).alias("r1"), (F.least("ac", "bc") - F.col("reach")).alias("c0"), (F.greatest("ac", "bc") + F.col("reach")).alias("c1")]
+    cells = missions.in_windows(legs.select(*keys, "mission_order", *box), costs, *keys)
     group = [*keys, "mission_order"]
     kinds = ", ".join(f"{k} {lines.schema[k].dataType.simpleString()}" for k in group)
 
-    def run(key: tuple, leg: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if not len(leg):
-            return pd.DataFrame(columns=[*group, "status", "points"])
-        a = leg.iloc[0]
-        cost = dict(zip(zip(near["row"].tolist(), near["col"].tolist(), strict=True), near["cost"].tolist(), strict=True))
-        first, last = _free((int(a.ar), int(a.ac)), cost), _free((int(a.br), int(a.bc)), cost)
+    def run(a: dict, cost: dict) -> list[tuple]:
+        first, last = _free((int(a["ar"]), int(a["ac"])), cost), _free((int(a["br"]), int(a["bc"])), cost)
         path = missions.shortest_path(cost, first, last, 2**0.5) if first and last else None
         points, status = [], "failed"
         if path is not None:
-            whole = [(a.x1, a.y1), *[((c + 0.5) * cell_m, (r + 0.5) * cell_m) for r, c in path[1:-1]], (a.x2, a.y2)]
+            whole = [(a["x1"], a["y1"]), *[((c + 0.5) * cell_m, (r + 0.5) * cell_m) for r, c in path[1:-1]], (a["x2"], a["y2"])]
             short = simplified(whole, SIMPLER * cell_m)
             points, status = short if covered(short, cost, cell_m) else whole, "routed"
             if not covered(points, cost, cell_m):  # an end lies too far outside
                 points, status = [], "failed"
-        return pd.DataFrame({**dict(zip(group, [[k] for k in key], strict=True)), "status": [status], "points": [[{"x": float(x), "y": float(y)} for x, y in points]]})
+        return [(*[a[k] for k in group], status, [{"x": float(x), "y": float(y)} for x, y in points])]
 
-    routed = legs.groupBy(*group).cogroup(cells.groupBy(*[f"c_{k}" for k in group])).applyInPandas(run, f"{kinds}, status string, points array<struct<x:double,y:double>>")
+    legs = legs.select(*group, "x1", "y1", "x2", "y2", "ar", "ac", "br", "bc")
+    routed = missions.each_leg(legs, cells, group, run, f"{kinds}, status string, points array<struct<x:double,y:double>>")
     return direct.unionByName(routed)
 
 
