@@ -46,7 +46,15 @@ def bin_size(table: DataFrame, xs: tuple[str, ...], ys: tuple[str, ...]) -> floa
     return max(r["w"] or 0.0, r["h"] or 0.0, EPS) / max(1, math.isqrt(r["n"]))
 
 
-def in_bins(lines: DataFrame, size: float) -> DataFrame:
+def key_bins(table: DataFrame, *keys: str) -> DataFrame:
+    """keys and `size`, the width of the key's bins: see `bin_size`, by the key's own sides. A long side of one of many small
+    outlines passes as few bins as that outline has sides, however many outlines there are."""
+    spread = [F.max(F.greatest(*c)) - F.min(F.least(*c)) for c in (("x1", "x2"), ("y1", "y2"))]
+    bins = F.greatest(F.lit(1.0), F.floor(F.sqrt(F.count(F.lit(1)))))
+    return table.groupBy(*keys).agg((F.greatest(*spread, F.lit(EPS)) / bins).alias("size"))
+
+
+def in_bins(lines: DataFrame, size: float | Column) -> DataFrame:
     """Each line once for every bin (by, bx) that it passes: by bands of y, then by its x within the band."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = lines.withColumn("by", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
@@ -60,7 +68,8 @@ def in_bins(lines: DataFrame, size: float) -> DataFrame:
 
 def crossings(sides: DataFrame, *keys: str) -> DataFrame:
     """keys, y: the heights at which two sides of a key cross inside both."""
-    near = in_bins(sides.select(*keys, *ENDS), bin_size(sides, ("x1", "x2"), ("y1", "y2")))
+    sized = sides.join(key_bins(sides, *keys), list(keys)) if keys else sides.crossJoin(key_bins(sides))  # one row
+    near = in_bins(sized.select(*keys, "size", *ENDS), F.col("size"))
     own = lambda t, p: t.select(*keys, "by", "bx", *[F.col(c).alias(p + c) for c in ENDS])
     met = own(near, "a").join(own(near, "b"), [*keys, "by", "bx"]).filter(F.struct(*["a" + c for c in ENDS]) < F.struct(*["b" + c for c in ENDS]))
     c = {p + n: F.col(p + n) for p in "ab" for n in ENDS}
@@ -87,9 +96,10 @@ def convex_pieces(a: DataFrame, *keys: str, b: DataFrame | None = None, keep: st
     sides = stored(sides)
     ys = sides.select(*keys, F.col("y1").alias("y")).unionByName(sides.select(*keys, F.col("y2").alias("y"))).unionByName(crossings(sides, *keys)).distinct()
     slabs = stored(ys.withColumn("top", F.lead("y").over(Window.partitionBy(*keys).orderBy("y"))).filter("top is not null"))
-    size = bin_size(sides, ("x1", "x2"), ("y1", "y2"))
-    banded = sides.withColumn("band", F.explode(F.sequence(F.floor(F.col("y1") / size), F.floor(F.col("y2") / size))))
-    cut = banded.join(slabs.withColumn("band", F.floor(F.col("y") / size)), [*keys, "band"]).filter("y >= y1 and y < y2")
+    bins = stored(key_bins(sides, *keys))
+    sized = lambda t: t.join(bins, list(keys)) if keys else t.crossJoin(bins)  # noqa: E731  # one row
+    banded = sized(sides).withColumn("band", F.explode(F.sequence(F.floor(F.col("y1") / F.col("size")), F.floor(F.col("y2") / F.col("size"))))).drop("size")
+    cut = banded.join(sized(slabs).withColumn("band", F.floor(F.col("y") / F.col("size"))).drop("size"), [*keys, "band"]).filter("y >= y1 and y < y2")
     cut = cut.select(*keys, F.col("y").alias("y0"), F.col("top").alias("top"), _at(F.col("y")).alias("x0"), _at(F.col("top")).alias("xt"), "in_a", "in_b", "turn")
     # sides on one another count as one place
     by = Window.partitionBy(*keys, "y0").orderBy(F.col("x0") + F.col("xt"), "xt")
