@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,13 +253,32 @@ def corridor_grid(region: DataFrame, risk: DataFrame | None = None) -> DataFrame
     return met.select("row", "col", (1 + 5 * F.least(F.greatest(F.coalesce("risk", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))).alias("cost"))
 
 
+#: Rows and columns of a block of free cells.
+FREE_BLOCK = 512
+
+
 def nearest_free(points: DataFrame, free: DataFrame, most: int = 8) -> DataFrame:
-    """For points (id, row, col) the nearest free cell within `most` rows and columns, by (d2, row, col)."""
-    near = points.select("id", "row", "col", F.explode(F.sequence(F.col("row") - most, F.col("row") + most)).alias("f_row"))
-    cells = free.select(F.col("row").alias("f_row"), F.col("col").alias("f_col"))
-    met = near.join(cells, "f_row").filter(F.abs(F.col("f_col") - F.col("col")) <= most)
-    d2 = F.pow(F.col("f_row") - F.col("row"), 2) + F.pow(F.col("f_col") - F.col("col"), 2)
-    return met.groupBy("id").agg(F.min(F.struct(d2.cast("long").alias("d2"), "f_row", "f_col")).alias("b")).select("id", "b.d2", "b.f_row", "b.f_col")
+    """For points (id, row, col) the nearest free cell within `most` rows and columns, by (d2, row, col).
+
+    Free cells are dealt by blocks, a point is looked for in each block that its square meets; a task holds a block's cells and the points
+    that look into it, and a point gives one row a block instead of one for each free cell near it.
+    """
+    block = lambda c: F.floor(c / FREE_BLOCK).cast("int")
+    span = lambda c: F.explode(F.sequence(block(F.col(c) - most), block(F.col(c) + most)))
+    asked = points.select("id", F.col("row").alias("row"), F.col("col").alias("col"), span("row").alias("b_row")).withColumn("b_col", span("col"))
+    cells = free.filter("row is not null and col is not null").select(F.col("row").alias("f_row"), F.col("col").alias("f_col"), block(F.col("row")).alias("b_row"), block(F.col("col")).alias("b_col"))
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((points, "id"), (points, "row"), (free, "col"))]
+
+    def looked(own: pa.Table, near: pa.Table) -> pa.Table:
+        row, col, s_row, s_col = [t[c].to_numpy().astype(np.int64) for t, c in ((own, "row"), (own, "col"), (near, "f_row"), (near, "f_col"))]
+        order = np.lexsort((s_col, s_row))
+        at, d2 = morphology.nearest_of(row, col, s_row[order], s_col[order], most, square=True)
+        hit = np.flatnonzero(at >= 0)
+        found = near.take(pa.array(order[at[hit]])) if len(hit) else near.slice(0, 0)
+        return pa.table({"id": own["id"].take(pa.array(hit)), "d2": pa.array(d2[hit]), "f_row": found["f_row"].cast(own["row"].type), "f_col": found["f_col"]})
+
+    hits = asked.groupBy("b_row", "b_col").cogroup(cells.groupBy("b_row", "b_col")).applyInArrow(looked, "id {}, d2 long, f_row {}, f_col {}".format(*kinds))
+    return hits.groupBy("id").agg(F.min(F.struct("d2", "f_row", "f_col")).alias("b")).select("id", "b.d2", "b.f_row", "b.f_col")
 
 
 def through_keys(counts: DataFrame, *keys: str) -> DataFrame:
