@@ -15,7 +15,7 @@ from fieldloom.operators import sidewise as S
 from fieldloom.operators import zones as Z
 from fieldloom.plans.rasters import pixels
 from fieldloom.plans.registry import query
-from fieldloom.session import scratch
+from fieldloom.session import scratch, stored
 from fieldloom.sources import files
 from fieldloom.sources import raster as R
 from fieldloom.sources.manifest import Stage, resume
@@ -124,7 +124,7 @@ def write_bands(spark: SparkSession, px: DataFrame, root: str) -> str:
 def resumed_run(spark, sf_dir):
     """A whole run over the raster's band tables, then the same again: rows of each stage, and whether the second call made it anew."""
     root = scratch(spark)
-    at = write_bands(spark, pixels(spark, sf_dir), root)
+    at = write_bands(spark, stored(pixels(spark, sf_dir)), root)  # six bands read it
     field_run(spark, at, f"{root}/out")
     again = field_run(spark, at, f"{root}/out")
     return spark.createDataFrame([(r["stage"], r["rows"], r["made"]) for r in again], "stage string, rows long, made_again boolean")
