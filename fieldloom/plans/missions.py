@@ -135,9 +135,13 @@ def mission_coverage(spark, sf_dir):
 def mission_comparison(spark, sf_dir):
     """Segments and metres of each rule's mission, simple and slope-aware, and of the older snake."""
     z = stored(zoned(spark, sf_dir))
-    simple = P.mission(z, "water").unionByName(P.mission(z, "nitrogen"))
-    old = P.snake_mission(z, "nitrogen").select(F.lit("snake").alias("mission"), "x1", "y1", "x2", "y2")
-    return P.path_length(simple.select("mission", "x1", "y1", "x2", "y2").unionByName(old))
+    field, slopes, out = stored(M.field_mask(z)), stored(M.slope(z, 1.0)), []
+    for rule in ("water", "nitrogen"):
+        chain = P.ordered(z, rule, rule, field=field)  # both modes drive the same swaths in the same order
+        out.append(P.joined_up(chain))
+        out.append(P.joined_up(chain.withColumn("mission", F.lit(f"{rule}_slope")), stored(M.cost_grid(z, rule, slopes, field=field))))
+    out.append(P.snake_mission(z, "nitrogen").select(F.lit("snake").alias("mission"), "x1", "y1", "x2", "y2"))
+    return P.path_length(reduce(lambda a, b: a.unionByName(b), [t.select("mission", "x1", "y1", "x2", "y2") for t in out]))
 
 
 @query()
