@@ -46,6 +46,15 @@ def bin_size(table: DataFrame, xs: tuple[str, ...], ys: tuple[str, ...]) -> floa
     return max(r["w"] or 0.0, r["h"] or 0.0, EPS) / max(1, math.isqrt(r["n"]))
 
 
+def even_size(table: DataFrame, xs: tuple[str, ...], ys: tuple[str, ...]) -> float:
+    """Width of square bins of which the table's box holds about as many as the table has rows. On a long narrow map those of
+    `bin_size` are as wide as the map, and each holds ever more rows as the map grows in length."""
+    spread = [F.max(F.greatest(*c)) - F.min(F.least(*c)) for c in (xs, ys)]
+    r = table.agg(F.count(F.lit(1)).alias("n"), spread[0].alias("w"), spread[1].alias("h")).first()
+    w, h, n = r["w"] or 0.0, r["h"] or 0.0, max(1, r["n"])
+    return max(math.sqrt(w * h / n), max(w, h) / n, EPS)
+
+
 def key_bins(table: DataFrame, *keys: str) -> DataFrame:
     """keys and `size`, the width of the key's bins: see `bin_size`, by the key's own sides. A long side of one of many small
     outlines passes as few bins as that outline has sides, however many outlines there are."""
@@ -299,7 +308,8 @@ def inside_parts(lines: DataFrame, pieces: DataFrame, *keys: str, line: str = "l
     keys: columns that line and piece must have in common. A line along the region's border is inside.
     """
     # as wide as both tables ask for: a long line over small pieces, or over none, passes few bins
-    size = max(bin_size(pieces, ("l0", "l1", "r0", "r1"), ("y0", "y1")), bin_size(lines, ("x1", "x2"), ("y1", "y2")))
+    pieces = stored(pieces)
+    size = max(even_size(pieces, ("l0", "l1", "r0", "r1"), ("y0", "y1")), even_size(lines, ("x1", "x2"), ("y1", "y2")))
     p = pieces.select(*keys, F.col("y0").alias("p0"), F.col("y1").alias("p1"), "l0", "l1", "r0", "r1")
     p = p.withColumn("by", F.explode(F.sequence(F.floor((F.col("p0") - EPS) / size), F.floor((F.col("p1") + EPS) / size))))
     p = p.withColumn("bx", F.explode(F.sequence(F.floor((F.least("l0", "l1") - EPS) / size), F.floor((F.greatest("r0", "r1") + EPS) / size))))

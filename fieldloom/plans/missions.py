@@ -165,8 +165,8 @@ _SIDE_PATCH = """ s AS (SELECT *, CAST(1 + ("row" // 8) % 2 AS INT) side_id FROM
  pn AS (SELECT grp, root, row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, min("row" * 100000 + col)) patch_id FROM pc GROUP BY grp, root)"""
 
 
-def side_patches(spark, sf_dir):
-    return S.patches(S.side_targets(sided(spark, sf_dir).withColumn("priority", F.col("ndvi"))))
+def side_patches(spark, sf_dir, survey=None):
+    return S.patches(S.side_targets((sided(spark, sf_dir) if survey is None else survey).withColumn("priority", F.col("ndvi"))))
 
 
 @query('SELECT pc.grp AS side_id, CAST(patch_id AS INT) AS patch_id, "row", CAST(col AS INT) AS col FROM pc JOIN pn ON pn.grp = pc.grp AND pn.root = pc.root', _SIDE_PATCH, True)
@@ -196,10 +196,10 @@ def patch_corners(spark, sf_dir):
     return G.traced(_target(spark, sf_dir), 1.0, "side_id", "patch_id")
 
 
-def row_swaths(spark, sf_dir):
+def row_swaths(spark, sf_dir, cells=None):
     """Swaths at the rows' angle on the traced outlines of the side patches."""
     middle = lambda c: F.avg(F.col(c) + 0.5)
-    cells = _target(spark, sf_dir)
+    cells = _target(spark, sf_dir) if cells is None else cells
     centres = cells.groupBy("side_id", "patch_id").agg(middle("col").alias("cx"), middle("row").alias("cy"))
     sides = G.cell_borders(cells, 1.0, "side_id", "patch_id")
     return S.row_swaths(sides, centres, ANGLE, "side_id", "patch_id")
@@ -285,11 +285,13 @@ def patch_route(spark, sf_dir):
     return swaths, S.connectors(swaths, "side_id", "patch_id")
 
 
-def planned(spark, sf_dir):
-    """The route of every patch over its row-aligned swaths, connectors straight where the patch covers them and by a path inside it elsewhere; and the connectors without any."""
+def planned(spark, sf_dir, target=None):
+    """The route of every patch over its row-aligned swaths, connectors straight where the patch covers them and by a path inside it elsewhere; and
+    the connectors without any. target: the patches' cells, if known."""
     keys = ("side_id", "patch_id")
-    swaths = stored(S.snake_rows(row_swaths(spark, sf_dir), *keys))
-    judged = stored(S.routed_connectors(S.connectors(swaths, *keys), _target(spark, sf_dir), 1.0, *keys))
+    target = _target(spark, sf_dir) if target is None else target
+    swaths = stored(S.snake_rows(row_swaths(spark, sf_dir, target), *keys))
+    judged = stored(S.routed_connectors(S.connectors(swaths, *keys), target, 1.0, *keys))
     return stored(S.patch_routes(swaths, judged, *keys)), judged.filter("status = 'failed'")
 
 
@@ -320,50 +322,62 @@ def waypoints_heading(spark, sf_dir):
     return S.waypoints(whole_route(spark, sf_dir), S.WAYPOINT_M, "side_id", "patch_id")
 
 
-def _target(spark, sf_dir):
-    return stored(side_patches(spark, sf_dir).select("side_id", "patch_id", "row", "col"))
+def _surveyed(spark, sf_dir):
+    """row, col, side_id, ndvi and zone of the raster, stored: all tables of a measured mission come from it."""
+    return stored(Z.threshold_zones(sided(spark, sf_dir)).select("row", "col", "side_id", "ndvi", "zone"))
 
 
-def _measured(spark, sf_dir, *keys):
+def _target(spark, sf_dir, survey=None):
+    return stored(side_patches(spark, sf_dir, survey).select("side_id", "patch_id", "row", "col"))
+
+
+def _measured(spark, sf_dir, survey, target, *keys):
     """Metrics of all patches by these keys, against the sides' own pixels as safe area and the zones above 0 as crop."""
-    route, failed = planned(spark, sf_dir)
-    safe = sided(spark, sf_dir).select("side_id", "row", "col") if "patch_id" not in keys else pixels(spark, sf_dir).select("row", "col")
-    return S.route_metrics(route, _target(spark, sf_dir), safe, zoned(spark, sf_dir).filter("zone > 0"), failed, 1.0, *keys)
+    route, failed = planned(spark, sf_dir, target)
+    safe = survey.select(*[c for c in ("side_id", "row", "col") if c != "side_id" or "patch_id" not in keys])
+    return S.route_metrics(route, target, safe, survey.filter("zone > 0"), failed, 1.0, *keys)
 
 
 @query()
 def patch_metrics(spark, sf_dir):
+    survey = _surveyed(spark, sf_dir)
     name = F.format_string("%s_patch_%02d", S.side_name(F.col("side_id")), F.col("patch_id"))
-    return _measured(spark, sf_dir, "side_id", "patch_id").withColumn("side_name", S.side_name(F.col("side_id"))).withColumn("mission_name", name)
+    per = _measured(spark, sf_dir, survey, _target(spark, sf_dir, survey), "side_id", "patch_id")
+    return per.withColumn("side_name", S.side_name(F.col("side_id"))).withColumn("mission_name", name)
 
 
 @query()
 def side_metrics(spark, sf_dir):
-    count = _target(spark, sf_dir).groupBy("side_id").agg(F.count_distinct("patch_id").alias("patch_count"))
-    return _measured(spark, sf_dir, "side_id").join(count, "side_id").withColumn("side_name", S.side_name(F.col("side_id")))
+    survey = _surveyed(spark, sf_dir)
+    target = _target(spark, sf_dir, survey)
+    count = target.groupBy("side_id").agg(F.count_distinct("patch_id").alias("patch_count"))
+    return _measured(spark, sf_dir, survey, target, "side_id").join(count, "side_id").withColumn("side_name", S.side_name(F.col("side_id")))
 
 
 @query()
 def mission_metrics(spark, sf_dir):
-    route, failed = planned(spark, sf_dir)
+    survey = _surveyed(spark, sf_dir)
+    target = _target(spark, sf_dir, survey)
+    route, failed = planned(spark, sf_dir, target)
     points = S.waypoints(route, S.WAYPOINT_M, "side_id", "patch_id")
-    return S.mission_metrics(route, _target(spark, sf_dir), pixels(spark, sf_dir), zoned(spark, sf_dir).filter("zone > 0"), failed, points, 1.0)
+    return S.mission_metrics(route, target, survey, survey.filter("zone > 0"), failed, points, 1.0)
 
 
 @query()
 def validation_suite(spark, sf_dir):
     """The nine checks on the mission of all patches, with its route and waypoints written as files."""
     keys = ("side_id", "patch_id")
-    route = whole_route(spark, sf_dir)
+    survey = _surveyed(spark, sf_dir)
+    target = _target(spark, sf_dir, survey)
+    route = planned(spark, sf_dir, target)[0]
     before = S.through_keys(route.groupBy(*keys).agg(F.max("mission_order").alias("n")), *keys).drop("n")
     mission = stored(route.join(before, list(keys)).select(F.col("side_id").alias("field"), (F.col("before") + F.col("mission_order")).alias("mission_order"), "hop", "x1", "y1", "x2", "y2"))
     points = stored(S.waypoints(route, S.WAYPOINT_M, *keys).select("waypoint_id", "x", "y"))
     folder = scratch(spark)
     for name, table in (("mission_route", mission), ("mission_waypoints", points)):
         files.write_csv(table, f"{folder}/{name}")
-    target = _target(spark, sf_dir)
-    stages = [t.agg((F.count(F.lit(1)) > 0).alias("complete")) for t in (sided(spark, sf_dir), target, mission, points)]
-    return S.validated(mission, points, pixels(spark, sf_dir), target.select(F.col("side_id").alias("field")), reduce(lambda a, b: a.unionByName(b), stages), files.inventory(spark, folder, ["mission_route", "mission_waypoints"]), 1.0)
+    stages = [t.agg((F.count(F.lit(1)) > 0).alias("complete")) for t in (survey, target, mission, points)]
+    return S.validated(mission, points, survey.select("row", "col"), target.select(F.col("side_id").alias("field")), reduce(lambda a, b: a.unionByName(b), stages), files.inventory(spark, folder, ["mission_route", "mission_waypoints"]), 1.0)
 
 
 @query('SELECT "row", col, round(1 + 5 * least(greatest(coalesce(risk, 1), 0), 1), 9) AS cost FROM (SELECT "row", col, CASE WHEN col % 7 <> 0 THEN ndvi * 1.3 - 0.2 END risk FROM f WHERE ndre > 0.1)')
